@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ PRIVATE_V4 = (
 PUBLIC_IN_V4 = ("192.0.0.9/32", "192.0.0.10/32")
 PRIVATE_V6 = (
     "::1/128", "::/128", "::ffff:0:0/96", "64:ff9b:1::/48", "100::/64", "2001::/23",
-    "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10",
+    "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10",
 )
 PUBLIC_IN_V6 = (
     "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28",
@@ -30,40 +31,49 @@ _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ipv4_number(ip: Column) -> Column:
     """Dotted quad as a long; null when it is not a valid IPv4 address."""
-    p = F.split(ip, r"\.")
-    value = sum(F.get(p, F.lit(i)).try_cast("long") * (256 ** (3 - i)) for i in range(4))
-    return F.when(ip.rlike(_V4), value)
+    def number(p: Column) -> Column:
+        return sum(F.get(p, F.lit(i)).try_cast("long") * (256 ** (3 - i)) for i in range(4))
+
+    return F.when(ip.rlike(_V4), bind(F.split(ip, r"\."), number))
+
+
+def _plain_ipv6(bare: Column) -> Column:
+    """Replace an embedded dotted quad by its two hexadecimal groups."""
+    def groups(n: Column) -> Column:
+        high, low = F.floor(n / 65536).cast("long"), n % 65536
+        return F.concat(F.regexp_replace(bare, r"[0-9.]+$", ""), F.lower(F.hex(high)), F.lit(":"), F.lower(F.hex(low)))
+
+    quad = F.regexp_extract(bare, r":([0-9]+(?:\.[0-9]+){3})$", 1)
+    return F.when(bare.contains("."), bind(ipv4_number(quad), groups)).otherwise(bare)
 
 
 def ipv6_hex(ip: Column) -> Column:
     """IPv6 address as 32 hex digits; null when it is not a valid address."""
-    bare = F.lower(F.substring_index(ip, "%", 1))
-    # An embedded dotted quad becomes its two hexadecimal groups.
-    quad = F.regexp_extract(bare, r":([0-9]+(?:\.[0-9]+){3})$", 1)
-    n = ipv4_number(quad)
-    groups = F.concat(
-        F.lower(F.hex(F.floor(n / 65536).cast("long"))), F.lit(":"), F.lower(F.hex(n % 65536))
-    )
-    full = F.when(quad == "", bare).otherwise(
-        F.concat(F.regexp_replace(bare, r"[0-9.]+$", ""), groups)
-    )
-    gapped = full.contains("::")
-    halves = F.split(full, "::")
-    part = lambda s: F.filter(F.split(s, ":"), lambda x: x != "")
-    left = part(F.get(halves, F.lit(0)))
-    right = F.when(gapped, part(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    have = F.size(left) + F.size(right)
-    fill = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - have, F.lit(0)))
-    text = F.concat_ws("", F.transform(F.concat(left, fill, right), lambda g: F.lpad(g, 4, "0")))
-    shape = full.rlike(r"^([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$") | (
-        gapped
-        & (F.size(halves) == 2)
-        & (have <= 7)
-        & full.rlike(r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$")
-    )
-    return F.when(ip.contains(":") & shape, text)
+    group = "[0-9a-f]{1,4}"
+    run = f"({group}(:{group})*)?"
+
+    def digits(full: Column) -> Column:
+        gapped = full.contains("::")
+        part = lambda side: F.filter(F.split(side, ":"), lambda x: x != "")
+        left = part(F.substring_index(full, "::", 1))
+        right = F.when(gapped, part(F.substring_index(full, "::", -1))).otherwise(F.array().cast("array<string>"))
+        shape = full.rlike(f"^({group}:){{7}}{group}$") | full.rlike(f"^{run}::{run}$")
+        return F.when(shape, bind(F.struct(left.alias("l"), right.alias("r"), gapped.alias("g")), spread))
+
+    def spread(s: Column) -> Column:
+        have = F.size(s["l"]) + F.size(s["r"])
+        fill = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - have, F.lit(0)))
+        text = F.concat_ws("", F.transform(F.concat(s["l"], fill, s["r"]), lambda g: F.lpad(g, 4, "0")))
+        return F.when(~s["g"] | (have <= 7), text)
+
+    return F.when(ip.contains(":"), bind(_plain_ipv6(F.lower(F.substring_index(ip, "%", 1))), digits))
 
 
 def _v4_in(number: Column, net: str) -> Column:
@@ -85,15 +95,17 @@ def _any(tests: list[Column]) -> Column:
 
 def is_private_ip(ip: Column) -> Column:
     """True for an address in a private range; null or unparsable is false."""
-    v4, v6 = ipv4_number(ip), ipv6_hex(ip)
 
     def private4(n: Column) -> Column:
         return _any([_v4_in(n, x) for x in PRIVATE_V4]) & ~_any([_v4_in(n, x) for x in PUBLIC_IN_V4])
 
-    mapped = F.conv(F.substring(v6, 25, 8), 16, 10).cast("long")
-    private6 = _any([_v6_in(v6, x) for x in PRIVATE_V6]) & ~_any([_v6_in(v6, x) for x in PUBLIC_IN_V6])
-    test = F.when(ip.contains(":"), F.when(_v6_in(v6, MAPPED_V4), private4(mapped)).otherwise(private6))
-    return F.coalesce(test.otherwise(private4(v4)), F.lit(False))
+    def private6(h: Column) -> Column:
+        inside = _any([_v6_in(h, x) for x in PRIVATE_V6]) & ~_any([_v6_in(h, x) for x in PUBLIC_IN_V6])
+        mapped = F.conv(F.substring(h, 25, 8), 16, 10).cast("long")
+        return F.when(_v6_in(h, MAPPED_V4), bind(mapped, private4)).otherwise(inside)
+
+    test = F.when(ip.contains(":"), bind(ipv6_hex(ip), private6)).otherwise(bind(ipv4_number(ip), private4))
+    return F.coalesce(test, F.lit(False))
 
 
 def network(cidr: str) -> ipaddress.IPv4Network | ipaddress.IPv6Network:
@@ -102,8 +114,10 @@ def network(cidr: str) -> ipaddress.IPv4Network | ipaddress.IPv6Network:
 
 
 def in_network(ip: Column, cidr: str) -> Column:
-    net = network(cidr)
-    test = _v4_in(ipv4_number(ip), cidr) if net.version == 4 else _v6_in(ipv6_hex(ip), cidr)
+    if network(cidr).version == 4:
+        test = bind(ipv4_number(ip), lambda n: _v4_in(n, cidr))
+    else:
+        test = bind(ipv6_hex(ip), lambda h: _v6_in(h, cidr))
     return F.coalesce(test, F.lit(False))
 
 
@@ -156,15 +170,15 @@ def flow_direction(
         rules += [(src_ip == client_ip, up), (dst_ip == client_ip, down)]
     if server_ip:
         rules += [(src_ip == server_ip, down), (dst_ip == server_ip, up)]
-    inside, outside = is_private_ip(src_ip), is_private_ip(dst_ip)
     to_443, from_443 = dst_port == 443, src_port == 443
-    rules += [
-        (inside & ~outside, up),
-        (outside & ~inside, down),
-        (to_443 & ~from_443, up),
-        (from_443 & ~to_443, down),
-    ]
-    return F.coalesce(*[F.when(test, value) for test, value in rules], F.lit("unknown"))
+
+    def by_range(p: Column) -> Column:
+        return F.when(p["s"] & ~p["d"], up).when(p["d"] & ~p["s"], down)
+
+    hinted = [F.when(test, value) for test, value in rules]
+    private = bind(F.struct(is_private_ip(src_ip).alias("s"), is_private_ip(dst_ip).alias("d")), by_range)
+    ports = F.when(to_443 & ~from_443, up).when(from_443 & ~to_443, down)
+    return F.coalesce(*hinted, private, ports, F.lit("unknown"))
 
 
 def direction_code(direction: Column) -> Column:

@@ -56,12 +56,14 @@ def burst_features(
     ts: str = "ts",
     size: str = "length",
     keep: Sequence[str] = (),
+    first: Column | None = None,
 ) -> DataFrame:
     """One row per burst: times, counts, bytes, mean and sample deviation.
 
     Reuses the partitioning of ``with_bursts``, so no further exchange.  A null
     size counts as 0; undefined statistics are 0.  ``keep`` names columns that
-    are constant per key.
+    are constant per key; ``first`` adds its minimum as ``first_at``, the place
+    of the burst in the input.
     """
     bytes_ = F.coalesce(F.col(size), F.lit(0))
     zero = F.lit(0.0)
@@ -74,6 +76,7 @@ def burst_features(
         F.coalesce(F.stddev_samp(inner_gap()), zero).alias("inter_packet_time_std"),
         F.coalesce(F.avg(bytes_), zero).alias("packet_size_mean"),
         F.coalesce(F.stddev_samp(bytes_), zero).alias("packet_size_std"),
+        *([F.min(first).alias("first_at")] if first is not None else []),
     )
     return out.withColumn("duration", F.col("end_ts") - F.col("start_ts"))
 

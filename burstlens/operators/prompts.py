@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from burstlens.operators.scan import TARGET_ROWS, sliced_scan
 
 # Line separators and blanks of plain text.
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029]"
 BLANK = r"[\s\x1c-\x1f]"
 
 
@@ -18,13 +18,16 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{BLANK}+|{BLANK}+$", "")
 
 
+# A complete JSON list of strings.  JSON readers ignore what follows the list
+# and turn numbers into text, so the form is checked first.
+_JSON_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+_GAP = r"[ \t\n\r]*+"
+JSON_STRINGS = rf"^{_GAP}\[{_GAP}(?:{_JSON_STRING}{_GAP}(?:,{_GAP}{_JSON_STRING}{_GAP})*+)?+\]{_GAP}\z"
+
+
 def _string_list(text: Column) -> Column:
     """A JSON list whose entries are all strings, else null."""
-    parsed = F.try_parse_json(text)
-    items = F.try_variant_get(parsed, "$", "array<variant>")
-    kinds = F.transform(items, lambda v: F.schema_of_variant(v))
-    strict = F.forall(kinds, lambda k: k == "STRING")
-    return F.when(items.isNotNull() & strict, F.try_variant_get(parsed, "$", "array<string>"))
+    return F.when(text.rlike(JSON_STRINGS), F.from_json(text, "array<string>"))
 
 
 def normalize_chain(text: Column) -> Column:
