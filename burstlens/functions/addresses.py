@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from burstlens.functions.binding import bind
+
 KEY = ("src_ip", "src_port", "dst_ip", "dst_port", "protocol")
 
 # Address ranges that are not globally reachable, and the
@@ -31,11 +32,6 @@ _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def ipv4_number(ip: Column) -> Column:
     """Dotted quad as a long; null when it is not a valid IPv4 address."""
     def number(p: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from burstlens.functions.binding import bind
+
 # Characters that count as readable text.
 UNREADABLE = r"[^\x09-\x0D\x20-\x7E]"
 
@@ -16,24 +18,30 @@ def detected_name(fields: Sequence[Column], keywords: Sequence[str]) -> Column:
 
     The fields are joined by a blank, so that no keyword arises across two.
     """
-    names = F.lower(F.concat_ws(" ", *fields))
-    return F.coalesce(
-        *[F.when(names.contains(k.lower()), F.lit(k.upper())) for k in keywords],
-        F.lit(None).cast("string"),
+    none = F.lit(None).cast("string")
+    return bind(
+        F.lower(F.concat_ws(" ", *fields)),
+        lambda names: F.coalesce(*[F.when(names.contains(k.lower()), F.lit(k.upper())) for k in keywords], none),
     )
 
 
 def hex_text(payload: Column) -> Column:
     """Text of a hex payload (colons allowed); null unless it is strict UTF-8."""
-    digits = F.replace(payload, F.lit(":"), F.lit(""))
-    whole = digits.rlike(r"^([0-9A-Fa-f]{2})*$")
-    return F.try_validate_utf8(F.when(whole, F.unhex(digits)).cast("string"))
+
+    def decode(digits: Column) -> Column:
+        whole = digits.rlike(r"^([0-9A-Fa-f]{2})*+$")
+        return F.try_validate_utf8(F.when(whole, F.unhex(digits)).cast("string"))
+
+    return bind(F.replace(payload, F.lit(":"), F.lit("")), decode)
 
 
 def is_readable(text: Column, threshold: float = 0.90) -> Column:
     """Share of printable ASCII above the threshold; empty text is not readable."""
-    kept = F.length(F.regexp_replace(text, UNREADABLE, ""))
-    return F.coalesce((F.length(text) > 0) & (kept / F.nullif(F.length(text), F.lit(0)) > threshold), F.lit(False))
+
+    def share(t: Column) -> Column:
+        return F.try_divide(F.length(F.regexp_replace(t, UNREADABLE, "")), F.length(t))
+
+    return F.coalesce(bind(text, share) > threshold, F.lit(False))
 
 
 def looks_structured(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bursts",)
+MODULES = ("bursts", "captures", "store", "model", "prompts", "streams")
 
 
 def load():

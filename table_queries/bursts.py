@@ -29,12 +29,12 @@ def flowlets_sliced(spark, sf):
 
 
 @query(f"""WITH {FLOWLETS} SELECT user_id, flowlet_id,
-  round(inter_packet_time_mean / 1e6, 5) AS gap_mean, round(inter_packet_time_std / 1e6, 5) AS gap_std,
+  round(inter_packet_time_mean, 3) AS gap_mean, round(inter_packet_time_std / 1e6, 5) AS gap_std,
   round(packet_size_mean, 6) AS size_mean, round(packet_size_std, 6) AS size_std FROM fl""")
 def packet_stats(spark, sf):
     return user_flowlets(spark, sf).select(
         "user_id", "flowlet_id",
-        F.round(F.col("inter_packet_time_mean") / 1e6, 5).alias("gap_mean"),
+        F.round("inter_packet_time_mean", 3).alias("gap_mean"),
         F.round(F.col("inter_packet_time_std") / 1e6, 5).alias("gap_std"),
         F.round("packet_size_mean", 6).alias("size_mean"), F.round("packet_size_std", 6).alias("size_std"))
 
@@ -214,7 +214,7 @@ j AS (SELECT pr.*, cf.n FROM pr LEFT JOIN cf ON pr.user_id = cf.user_id AND pr.q
 SELECT 'evt_' || row_number() OVER (ORDER BY user_id, flowlet_id) AS id,
   strftime(make_timestamp(start_ts), '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, 'unknown' AS "userId",
   'u' || user_id AS "srcIp", 'unknown' AS "dstIp", total_bytes AS bytes, 'UNKNOWN' AS protocol,
-  query_id IS NOT NULL AS "llmUsage", CASE WHEN query_id IS NOT NULL THEN CASE WHEN n > 0 THEN 0.9 ELSE 0.5 END END AS "llmConfidence"
+  query_id IS NOT NULL AS "llmUsage", CASE WHEN query_id IS NOT NULL THEN CAST(CASE WHEN n > 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) END AS "llmConfidence"
 FROM j""")
 def traffic_events(spark, sf):
     paired = _paired(spark, sf)
