@@ -15,6 +15,7 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, Ty
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PARTS = ("models", "lookup", "blocks")
 
@@ -38,7 +39,7 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         w = rng.normal(0.0, np.sqrt(2 * gamma), (self.getOrDefault(self.width), size))
         b = rng.uniform(0.0, 2 * np.pi, size)
 
-        @F.pandas_udf("array<double>")
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def cosines(x: pd.Series) -> pd.Series:
             return pd.Series(list(np.sqrt(2.0 / size) * np.cos(np.stack(x.to_numpy()) @ w + b)))
 

@@ -9,6 +9,7 @@ from itertools import combinations_with_replacement
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burstlens.operators.scan import TARGET_ROWS, assign_slices, drop_slices, plan_slices, scan
 
@@ -98,7 +99,7 @@ def class_stats(df: DataFrame, features: Sequence[str], *, label: str, target_ro
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.erfc(x / math.sqrt(2)) if x == x else float("nan"))
 

@@ -141,14 +141,15 @@ _VECTOR = f"""{_LL}, fl AS (SELECT user_id, flowlet_id, (max(t) - min(t)) / 1e6
 _CLIPPED = ", ".join(f"round(greatest(least(coalesce({c}, -100), 0), -100), 4) AS f{i + 8}" for i, c in enumerate(features.LIKELIHOODS))
 
 
-@query(f"""WITH {_VECTOR} SELECT fl.user_id, fl.flowlet_id, CAST(round(duration, 4) AS DOUBLE) AS f0, CAST(packet_count AS DOUBLE) AS f1, CAST(total_bytes AS DOUBLE) AS f2,
-  round(inter_packet_time_mean, 7) AS f3, round(inter_packet_time_std, 4) AS f4, round(packet_size_mean, 4) AS f5, round(packet_size_std, 4) AS f6,
+@query(f"""WITH {_VECTOR} SELECT fl.user_id, fl.flowlet_id, CAST(round(duration * 1e6) AS DOUBLE) AS f0, CAST(packet_count AS DOUBLE) AS f1, CAST(total_bytes AS DOUBLE) AS f2,
+  round(inter_packet_time_mean * 1e6, 3) AS f3, round(inter_packet_time_std, 4) AS f4, round(packet_size_mean, 4) AS f5, round(packet_size_std, 4) AS f6,
   CAST(CASE WHEN fl.user_id % 3 <> 0 THEN 0 WHEN fl.flowlet_id % 2 = 0 THEN 1 ELSE -1 END AS DOUBLE) AS f7, {_CLIPPED}
 FROM fl LEFT JOIN ll ON fl.user_id = ll.user_id AND fl.flowlet_id = ll.flowlet_id""")
 def ml_vector(spark, sf):
     v = vectors(spark, sf).select(*IDENT, vector_to_array("features").alias("v"))
-    digits = {3: 7}
-    return v.select(*IDENT, *[F.round(F.col("v")[i], digits.get(i, 4)).alias(f"f{i}") for i in range(12)])
+    # Times in microseconds, where the digits of both engines agree.
+    scaled = {0: F.round(F.col("v")[0] * 1e6), 3: F.round(F.col("v")[3] * 1e6, 3)}
+    return v.select(*IDENT, *[scaled.get(i, F.round(F.col("v")[i], 4)).alias(f"f{i}") for i in range(12)])
 
 
 @query("""WITH g AS (SELECT DISTINCT 'u' || user_id AS g, user_id FROM events), h AS (
@@ -171,11 +172,13 @@ def group_split_sliced(spark, sf):
 def labelled(spark, sf):
     flow = user_flowlets(spark, sf).withColumns(
         {c: F.col(c) / 1e6 for c in ("duration", "inter_packet_time_mean", "inter_packet_time_std")})
+    # Equal deviations must be equal numbers, or ranks would differ by rounding.
+    flow = flow.withColumns({c: F.round(c, 6) for c in ("inter_packet_time_std", "packet_size_std")})
     return flow.withColumn("label", (F.col("user_id") % 3 == 0).cast("int"))
 
 
 _LABELLED = f"""{FLOWLETS}, lb AS (SELECT user_id, CAST(duration / 1e6 AS DOUBLE) AS duration, CAST(packet_count AS DOUBLE) AS packet_count, CAST(total_bytes AS DOUBLE) AS total_bytes,
-  inter_packet_time_mean / 1e6 AS inter_packet_time_mean, inter_packet_time_std / 1e6 AS inter_packet_time_std, packet_size_mean, packet_size_std,
+  inter_packet_time_mean / 1e6 AS inter_packet_time_mean, round(inter_packet_time_std / 1e6, 6) AS inter_packet_time_std, packet_size_mean, round(packet_size_std, 6) AS packet_size_std,
   CAST(user_id % 3 = 0 AS INTEGER) AS label FROM fl)"""
 _PAIRS = " UNION ALL ".join(
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS correlation FROM lb"
