@@ -274,9 +274,9 @@ def field_records_8(spark, sf):
 
 @query(f"""WITH {ENDS}, c AS (SELECT *, CAST(regexp_extract(src_ip, '^10[.]0[.]0[.]([0-9]+)$', 1) AS VARCHAR) AS s,
   CAST(regexp_extract(dst_ip, '^10[.]0[.]0[.]([0-9]+)$', 1) AS VARCHAR) AS d FROM en)
-SELECT event_id FROM c WHERE size > 20 AND ((s <> '' AND CAST(s AS INTEGER) BETWEEN 64 AND 127) OR (d <> '' AND CAST(d AS INTEGER) BETWEEN 64 AND 127))""")
+SELECT event_id FROM c WHERE size > 20 AND ((s <> '' AND CAST(s AS INTEGER) BETWEEN 8 AND 15) OR (d <> '' AND CAST(d AS INTEGER) BETWEEN 8 AND 15))""")
 def network_filter(spark, sf):
-    test = ip.touches_network(F.col("src_ip"), F.col("dst_ip"), "10.0.0.77/26", F.col("size") > 20)
+    test = ip.touches_network(F.col("src_ip"), F.col("dst_ip"), "10.0.0.13/29", F.col("size") > 20)
     return ends(events(spark, sf)).where(test).select("event_id")
 
 
