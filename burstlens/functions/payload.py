@@ -29,7 +29,8 @@ def hex_text(payload: Column) -> Column:
     """Text of a hex payload (colons allowed); null unless it is strict UTF-8."""
 
     def decode(digits: Column) -> Column:
-        whole = digits.rlike(r"^([0-9A-Fa-f]{2})*+$")
+        # unhex is null for other characters but would accept an odd length.
+        whole = F.length(digits) % 2 == 0
         return F.try_validate_utf8(F.when(whole, F.unhex(digits)).cast("string"))
 
     return bind(F.replace(payload, F.lit(":"), F.lit("")), decode)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from burstlens.functions import render
 from burstlens.operators.scan import TARGET_ROWS, sliced_scan
+from burstlens.session import broadcast_if_small
 
 
 def default_transform(flowlets: DataFrame, *, root: str | None = None) -> DataFrame:
@@ -45,7 +46,7 @@ def document_rows(
     )
     if existing is not None:
         top = next_index(existing, capture=capture).select(capture, (F.col("next_index") - 1).alias("_top"))
-        numbered = numbered.join(top, capture, "left")
+        numbered = numbered.join(broadcast_if_small(top), capture, "left")
         numbered = numbered.withColumn("_n", F.col("_n") + F.coalesce("_top", F.lit(0))).drop("_top")
     shaped = numbered.transform(transform)
     body = [c for c in shaped.columns if c not in (capture, "_n")]

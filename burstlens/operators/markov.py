@@ -34,12 +34,17 @@ def coverage(freq: DataFrame, *, by: Sequence[str], share: float = 0.9) -> DataF
 
 
 def fit_blocks(df: DataFrame, *, by: Sequence[str], value: str, share: float = 0.9) -> DataFrame:
+    """``blocks_of`` the values of a column."""
+    return blocks_of(value_frequencies(df, by=by, value=value), by=by, share=share)
+
+
+def blocks_of(freq: DataFrame, *, by: Sequence[str], share: float = 0.9) -> DataFrame:
     """Block of every seen value: itself when it is a block, else the nearest.
 
     The nearest block is one of the two neighbours on the number line, found by
     windows over the frequency table; at equal distance the more frequent one.
     """
-    freq = coverage(value_frequencies(df, by=by, value=value), by=by, share=share)
+    freq = coverage(freq, by=by, share=share)
     line = Window.partitionBy(*by).orderBy("value")
     own = F.when(F.col("is_block"), F.struct("value", "rank"))
     below = F.last(own, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
@@ -82,29 +87,40 @@ def explode_sequence(df: DataFrame, array: Column, *, ident: Sequence[str], attr
     )
 
 
-def transitions(steps: DataFrame, *, by: Sequence[str]) -> DataFrame:
+def step_counts(steps: DataFrame, *, by: Sequence[str]) -> DataFrame:
+    """Number of equal steps: by, attr, prev_state, state, n, n_start, n_end.
+
+    Everything fitted below comes from this one combinable pass.
+    """
+    return steps.groupBy(*by, "attr", "prev_state", "state").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("is_first").cast("long")).alias("n_start"),
+        F.sum(F.col("is_last").cast("long")).alias("n_end"),
+    )
+
+
+def transitions(counts: DataFrame, *, by: Sequence[str]) -> DataFrame:
     """Counts and row-normalised probabilities of state -> next state."""
-    counts = steps.where(F.col("prev_state").isNotNull()).groupBy(
-        *by, F.col("prev_state").alias("state"), F.col("state").alias("next_state")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*by, "state"))
-    return counts.withColumn("p", F.col("n") / total)
+    pairs = counts.where(F.col("prev_state").isNotNull()).groupBy(
+        *by, "attr", F.col("prev_state").alias("state"), F.col("state").alias("next_state")
+    ).agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*by, "attr", "state"))
+    return pairs.withColumn("p", F.col("n") / total)
 
 
-def sequence_ends(steps: DataFrame, *, by: Sequence[str], totals: DataFrame | None = None) -> DataFrame:
+def sequence_ends(counts: DataFrame, *, by: Sequence[str], totals: DataFrame | None = None) -> DataFrame:
     """Start and end probability of each state over all sequences.
 
-    ``totals`` (by, n_sequences) gives the number of sequences when empty ones
-    must count; without it every sequence with a first state counts.
+    ``totals`` (by, attr, n_sequences) gives the number of sequences when empty
+    ones must count; without it every sequence with a first state counts.
     """
-    counts = steps.groupBy(*by, "state").agg(
-        F.sum(F.col("is_first").cast("long")).alias("n_start"), F.sum(F.col("is_last").cast("long")).alias("n_end")
-    )
+    group = [*by, "attr"]
+    ends = counts.groupBy(*group, "state").agg(F.sum("n_start").alias("n_start"), F.sum("n_end").alias("n_end"))
     if totals is None:
-        counts = counts.withColumn("n_sequences", F.sum("n_start").over(Window.partitionBy(*by)))
+        ends = ends.withColumn("n_sequences", F.sum("n_start").over(Window.partitionBy(*group)))
     else:
-        counts = counts.join(totals.select(*by, "n_sequences"), list(by))
-    out = counts.where((F.col("n_start") > 0) | (F.col("n_end") > 0))
+        ends = ends.join(totals.select(*group, "n_sequences"), group)
+    out = ends.where((F.col("n_start") > 0) | (F.col("n_end") > 0))
     return out.withColumns({
         "p_start": F.col("n_start") / F.col("n_sequences"), "p_end": F.col("n_end") / F.col("n_sequences"),
     })

@@ -112,8 +112,10 @@ def traffic_events(
     the global order (a number first); the numbering is a running count over
     slices of it.
     """
-    words = queries.select(*scope, "query_id", "confidence")
-    joined = paired.join(words, [*scope, "query_id"], "left")
+    words = queries.select(*scope, F.col("query_id").alias("_q"), "confidence")
+    # Rows without a query are spread over many keys that match nothing.
+    spread = F.coalesce("query_id", -1 - F.pmod(F.xxhash64(*order), F.lit(4096)))
+    joined = paired.withColumn("_q", spread).join(words, [*scope, "_q"], "left")
     numbered = sliced_scan(
         joined, [], list(order), target_rows=target_rows, running={"_n": F.lit(1).cast("long")}
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from burstlens.functions.addresses import KEY, direction_code, flow_direction, flow_key_columns
 from burstlens.operators import addresses, bursts, flows
+from burstlens.session import stage
 from burstlens.sources import captures
 
 AT = ("block", "row")
@@ -40,7 +41,7 @@ def flowlets_by_address(
     comes from the file's own header.
     """
     lines = captures.read_lines(spark, path, glob=glob)
-    found = flowlets_of(captures.parse_packets(lines), gap=gap, bidirectional=bidirectional)
+    found = flowlets_of(stage(captures.parse_packets(lines), "packets"), gap=gap, bidirectional=bidirectional)
     headers = captures.read_headers(lines)
     seen = addresses.carry_ip_map(headers, addresses.end_addresses(found)) if carry else headers
     return addresses.label_by_ip(found, seen, truth_map=headers)
@@ -62,8 +63,8 @@ def flowlets_by_folder(
     """Bursts of the class folders below ``root``, with direction."""
     lines = captures.read_lines(spark, root, glob=glob, recursive=True)
     direct = F.regexp_extract("source_file", r"^(.*)/[^/]+/[^/]+$", 1) == root.rstrip("/")
-    packets = captures.parse_packets(captures.with_folder_class(lines.where(direct)).drop("traffic_class"))
-    found = flowlets_of(packets, gap=gap, bidirectional=bidirectional)
+    chosen = captures.with_folder_class(lines.where(direct)).drop("traffic_class")
+    found = flowlets_of(stage(captures.parse_packets(chosen), "packets"), gap=gap, bidirectional=bidirectional)
     return with_direction(captures.with_folder_class(found), **hints)
 
 
@@ -72,7 +73,7 @@ def labelled_dataset(
 ) -> dict[str, DataFrame]:
     """captures, flows, flowlets and totals of every file below ``root``."""
     lines = captures.read_lines(spark, root, glob=glob, recursive=True)
-    found = flowlets_of(captures.parse_packets(lines), gap=gap, bidirectional=bidirectional)
+    found = flowlets_of(stage(captures.parse_packets(lines), "packets"), gap=gap, bidirectional=bidirectional)
     flowlets = captures.with_path_class(found, root)
     per_flow = flows.flow_summary(flowlets, key=["source_file", *KEY], first="first_at", keep=["traffic_class"])
     files = captures.with_path_class(lines.select("source_file").distinct(), root)

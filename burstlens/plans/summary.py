@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from burstlens.functions.addresses import KEY
 from burstlens.operators import flows, queries
 from burstlens.plans.ingest import flowlets_of, with_direction
+from burstlens.session import stage
 from burstlens.sources import captures
 
 UPLOAD, RESPONSE = "client_to_server", "server_to_client"
@@ -30,7 +31,7 @@ def capture_summary(
     ordered scans then cut that timeline into slices.
     """
     lines = captures.read_lines(spark, path, glob=glob)
-    found = flowlets_of(captures.parse_packets(lines), gap=gap, bidirectional=bidirectional, per_file=per_file)
+    found = flowlets_of(stage(captures.parse_packets(lines), "packets"), gap=gap, bidirectional=bidirectional, per_file=per_file)
     directed = with_direction(found, **hints)
     scope = ["source_file"] if per_file else []
     key = [*scope, *KEY]

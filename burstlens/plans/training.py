@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from burstlens.functions import labels
 from burstlens.operators import evaluate, features, markov, models
-from burstlens.session import broadcast_if_small, settle
+from burstlens.session import broadcast_if_small, hint_if_small, settle
 
 
 def array_steps(flowlets: DataFrame, *, ident: Sequence[str]) -> DataFrame:
@@ -26,14 +26,15 @@ def array_steps(flowlets: DataFrame, *, ident: Sequence[str]) -> DataFrame:
 def fit_fingerprints(steps: DataFrame, *, cls: str) -> dict[str, DataFrame]:
     """Size blocks per class and Markov tables per class and attribute.
 
-    The fitted tables are settled once; they hold at most the distinct sizes
-    and the pairs of blocks, never a row per packet.
+    The steps are read once, into counts of equal steps; blocks, transitions
+    and ends all come from that table, never from a row per packet.
     """
-    sizes = steps.where(F.col("attr") == "size_block").withColumn("value", F.col("state").cast("long"))
-    blocks = settle(markov.fit_blocks(sizes, by=[cls], value="value"))
-    mapped = markov.map_sizes(steps, broadcast_if_small(blocks), on=[cls])
-    trans = settle(markov.transitions(mapped, by=[cls, "attr"]))
-    ends = settle(markov.sequence_ends(mapped, by=[cls, "attr"]))
+    raw = settle(markov.step_counts(steps, by=[cls]))
+    sizes = raw.where(F.col("attr") == "size_block").groupBy(cls, F.col("state").cast("long").alias("value"))
+    blocks = settle(markov.blocks_of(sizes.agg(F.sum("n").alias("n")), by=[cls]))
+    mapped = markov.map_sizes(raw, hint_if_small(blocks), on=[cls])
+    trans = settle(markov.transitions(mapped, by=[cls]))
+    ends = settle(markov.sequence_ends(mapped, by=[cls]))
     return {"blocks": blocks, "transitions": trans, "ends": ends, "lookup": markov.lookup_table(trans, ends, cls=cls)}
 
 

@@ -37,11 +37,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the settled table has at most ``max_rows`` rows.
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a large intermediate table below the shared folder and read it back.
+
+    Later passes read only their columns, and a lost executor costs no
+    recomputation of what came before.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def hint_if_small(fixed: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only when a settled table has at most ``max_rows`` rows.
 
     Beyond that the table is returned unhinted: the join is then a shuffle
     join whose skewed partitions the adaptive planner splits.
     """
-    fixed = settle(df)
     return F.broadcast(fixed) if fixed.count() <= max_rows else fixed
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``hint_if_small`` of a table that is settled here first."""
+    return hint_if_small(settle(df), max_rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burstlens.functions import capture_text as ct
@@ -68,22 +68,70 @@ def pair_lines(
     lines the 1st, 3rd, ... open packets and the others are address lines.
     ``strict`` lets every clock line open a packet and takes only other lines
     as addresses.
+
+    Lines ordered by (block, row) are paired block by block; any other order
+    is paired per file by sliced scans.
     """
+    tagged = lines.withColumn("_clock", ct.is_clock_line(F.col(value)))
     by = list(order)
-    slicing = plan_slices(lines, [file], by[0], target_rows=target_rows)
-    tagged = assign_slices(lines, [file], by[0], slicing)
-    tagged = tagged.withColumn("_clock", ct.is_clock_line(F.col(value)))
+    if by[0] == "block":
+        paired = _pair_in_blocks(tagged, file, by, value)
+    else:
+        slicing = plan_slices(lines, [file], by[0], target_rows=target_rows)
+        paired = _pair_in_order(assign_slices(tagged, [file], by[0], slicing), file, by, value)
     if strict:
-        seen = scan(tagged, [file], by, lead={"address": F.col(value), "_nc": F.col("_clock")})
-        seen = seen.withColumn("address", F.when(~F.col("_nc"), F.col("address")))
-        return drop_slices(seen.where("_clock")).drop("_clock", "_nc")
+        address = F.when(~ct.is_clock_line(F.col("address")), F.col("address"))
+        paired = paired.where("_clock").withColumn("address", address)
+    else:
+        paired = paired.where(F.col("_clock") & (F.col("_in_run") % 2 == 1))
+    return paired.drop("_clock", "_in_run")
+
+
+def _pair_in_order(tagged: DataFrame, file: str, by: list[str], value: str) -> DataFrame:
+    """Next line and place in the run of clock lines, by ordered scans."""
     counted = scan(
         tagged, [file], by, lead={"address": F.col(value)}, running={"_n": F.lit(1).cast("long")}
     )
     runs = scan(counted, [file], by, carry={"_other": F.when(~F.col("_clock"), F.col("_n"))})
     in_run = F.col("_n") - F.coalesce("_other", F.lit(0))
-    opened = runs.where(F.col("_clock") & (in_run % 2 == 1))
-    return drop_slices(opened).drop("_clock", "_n", "_other")
+    return drop_slices(runs.withColumn("_in_run", in_run)).drop("_n", "_other")
+
+
+def _pair_in_blocks(tagged: DataFrame, file: str, by: list[str], value: str) -> DataFrame:
+    """The same with one window per file block, the unit Spark reads.
+
+    A block is bounded by spark.sql.files.maxPartitionBytes, so a file of any
+    size spreads over many tasks.  Each block hands its first line, its number
+    of lines and its last other line to the blocks around it; both uses of the
+    lines share one exchange.
+    """
+    block, *rows = by
+    part = [file, block]
+    inside = Window.partitionBy(*part).orderBy(*rows)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = tagged.withColumns({
+        "_next": F.lead(value).over(inside),
+        "_end": F.lead(F.lit(True)).over(inside).isNull(),
+        "_n": F.row_number().over(inside),
+    })
+    seen = seen.withColumn("_other", F.max(F.when(~F.col("_clock"), F.col("_n"))).over(upto))
+    edges = seen.groupBy(*part).agg(
+        F.max("_n").cast("long").alias("_rows"), F.max("_other").alias("_tail"), F.min_by(value, "_n").alias("_head")
+    )
+    blocks = Window.partitionBy(file).orderBy(block)
+    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(
+        *part, "_tail", F.lead("_head").over(blocks).alias("_after"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"),
+    )
+    last_other = F.last(F.col("_base") + F.col("_tail"), ignorenulls=True).over(before)
+    edges = edges.withColumn("_open", F.col("_base") - F.coalesce(last_other, F.lit(0))).drop("_tail", "_base")
+    joined = seen.join(edges, part, "left")
+    run = F.when(F.col("_other").isNotNull(), F.col("_n") - F.col("_other")).otherwise(F.col("_n") + F.col("_open"))
+    out = joined.withColumns({
+        "address": F.when(F.col("_end"), F.col("_after")).otherwise(F.col("_next")), "_in_run": run,
+    })
+    return out.drop("_next", "_end", "_n", "_other", "_after", "_open")
 
 
 def parse_packets(
@@ -97,22 +145,20 @@ def parse_packets(
     protocol_by_number: bool = False,
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
-    """One row per packet: file, order columns, ts, proto, ends, length, raw."""
+    """One row per packet: file, order columns, ts, protocol, ends, length, raw."""
     paired = pair_lines(lines, file=file, order=order, strict=strict, target_rows=target_rows)
+    ended = ct.address_ends(paired, "address", rule=split_rule, ipv6_compat=ipv6_compat)
     line, address = F.col("value"), F.col("address")
-    ends = ct.address_ends(address, rule=split_rule, ipv6_compat=ipv6_compat)
-    parsed = paired.withColumn("_ends", ends)
-    return parsed.select(
+    measured = ended.withColumns({"_la": ct.line_length(address), "_lc": ct.line_length(line)})
+    return measured.select(
         file,
         *order,
         ct.clock_seconds(line).alias("ts"),
         ct.protocol(line, by_number=protocol_by_number).alias("protocol"),
-        F.col("_ends.src.host").alias("src_ip"),
-        F.col("_ends.src.port").alias("src_port"),
-        F.col("_ends.dst.host").alias("dst_ip"),
-        F.col("_ends.dst.port").alias("dst_port"),
-        ct.packet_length(line, address).alias("length"),
-        ct.length_source(line, address).alias("length_source"),
+        "src_ip", "src_port", "dst_ip", "dst_port",
+        # The length of the address line, else of the clock line.
+        F.coalesce("_la", "_lc").alias("length"),
+        F.when(F.col("_la").isNotNull(), "address").when(F.col("_lc").isNotNull(), "clock").alias("length_source"),
         F.struct(line.alias("line1"), address.alias("line2")).alias("raw"),
     )
 
@@ -169,8 +215,6 @@ def file_ranks(files: DataFrame, *, file: str = "source_file") -> DataFrame:
     Ranked inside each folder and shifted by the files of earlier folders, so
     that only the list of folders is ordered as a whole.
     """
-    from pyspark.sql import Window
-
     split = files.select(file).distinct().select(
         file,
         F.regexp_replace(file, r"/?[^/]*$", "").alias("_dir"),

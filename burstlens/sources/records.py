@@ -44,6 +44,8 @@ def of_protocols(protocol: Column, names: Sequence[str] = ("tcp", "http", "http2
 
 def decoded_payloads(records: DataFrame, *, payload_column: str = "payload", threshold: float = 0.90) -> DataFrame:
     """Rows whose payload is strict UTF-8 and readable, with ``text``."""
-    text = payload.hex_text(F.col(payload_column))
-    out = records.withColumn("text", text).where(payload.is_readable(F.col("text"), threshold))
+    # A filter inside the generator: the payload is decoded once per row, where
+    # a filter on the column would be pushed down and decode it again.
+    text = F.array(payload.hex_text(F.col(payload_column)))
+    out = records.select("*", F.explode(F.filter(text, lambda t: payload.is_readable(t, threshold))).alias("text"))
     return out.withColumn("structured", payload.looks_structured(F.col("text")))

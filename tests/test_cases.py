@@ -73,10 +73,10 @@ def test_host_port(spark, rule, token, want):
 
 def test_ipv6_destination(spark):
     line = "    2001:db8::1.50000 > 2001:db8::2.443: Flags [.], length 5"
-    ends = value(spark, ct.address_ends(F.col("t")), t=line)
-    assert (ends["src"]["host"], ends["dst"]["host"], ends["dst"]["port"]) == ("2001:db8::1", "2001:db8::2", 443)
-    compat = value(spark, ct.address_ends(F.col("t"), ipv6_compat=True), t=line)
-    assert compat["dst"]["host"] == "2001"
+    df = spark.createDataFrame([(line,)], "t string")
+    ends = ct.address_ends(df, "t").first()
+    assert (ends.src_ip, ends.src_port, ends.dst_ip, ends.dst_port) == ("2001:db8::1", 50000, "2001:db8::2", 443)
+    assert ct.address_ends(df, "t", ipv6_compat=True).first().dst_ip == "2001"
 
 
 def test_protocol_by_number(spark):
@@ -141,8 +141,8 @@ def chain(spark, sequences):
 
 
 def test_markov_fit_and_score(spark):
-    st = chain(spark, [["a", "b", "a"], ["b"]])
-    trans, ends = markov.transitions(st, by=["cls", "attr"]), markov.sequence_ends(st, by=["cls", "attr"])
+    st = markov.step_counts(chain(spark, [["a", "b", "a"], ["b"]]), by=["cls"])
+    trans, ends = markov.transitions(st, by=["cls"]), markov.sequence_ends(st, by=["cls"])
     assert one(trans.orderBy("state").select("state", "next_state", "p")) == [("a", "b", 1.0), ("b", "a", 1.0)]
     assert one(ends.orderBy("state").select("state", "p_start", "p_end")) == [("a", 0.5, 0.5), ("b", 0.5, 0.5)]
     table = markov.lookup_table(trans, ends, cls="cls")
@@ -153,7 +153,8 @@ def test_markov_fit_and_score(spark):
 
 def test_empty_sequences_count_when_totals_are_given(spark):
     totals = spark.createDataFrame([("llm", "time_gap", 4)], "cls string, attr string, n_sequences long")
-    ends = markov.sequence_ends(chain(spark, [["a"], ["b"]]), by=["cls", "attr"], totals=totals)
+    counts = markov.step_counts(chain(spark, [["a"], ["b"]]), by=["cls"])
+    ends = markov.sequence_ends(counts, by=["cls"], totals=totals)
     assert {r.p_start for r in ends.collect()} == {0.25}
 
 

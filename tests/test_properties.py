@@ -76,13 +76,14 @@ def test_steps(spark, target):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("target", [10**6, 60])
-def test_line_pairing(spark, target):
+@pytest.mark.parametrize("order,target", [(["row"], 10**6), (["row"], 60), (["block", "row"], 0)])
+def test_line_pairing(spark, order, target):
+    """Per file, in slices of a file, and block by block."""
     rng = random.Random(target)
     files = {f"f{i}": [rng.random() < rng.choice([0.2, 0.5, 0.9]) for _ in range(120)] for i in range(6)}
-    rows = [(f, 0, i, ("00:00:01.5 IP " if clock else "   a ") + str(i)) for f, kinds in files.items() for i, clock in enumerate(kinds)]
+    rows = [(f, i // 9 * 100, i, ("00:00:01.5 IP " if clock else "   a ") + str(i)) for f, kinds in files.items() for i, clock in enumerate(kinds)]
     df = spark.createDataFrame(rows, "source_file string, block long, row long, value string").repartition(5)
-    got = captures.pair_lines(df, order=["row"], target_rows=target)
+    got = captures.pair_lines(df, order=order, target_rows=target)
     want = set()
     for f, kinds in files.items():
         i = 0
