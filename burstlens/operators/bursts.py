@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burstlens.operators.scan import TARGET_ROWS, assign_slices, drop_slices, plan_slices, scan
+from burstlens.operators.scan import SLICE, TARGET_ROWS, assign_slices, drop_slices, plan_slices, scan
 
 STATISTICS = (
     "duration",
@@ -37,11 +37,44 @@ def with_bursts(
     """
     by = [ts, *order]
     slicing = plan_slices(packets, key, ts, target_rows=target_rows)
-    sliced = assign_slices(packets, key, ts, slicing)
-    gapped = scan(sliced, key, by, lag={"_prev_ts": F.col(ts)})
+    if slicing is not None and slicing.splits:
+        return _bursts_over_slices(assign_slices(packets, key, ts, slicing), list(key), by, gap)
+    gapped = scan(packets, key, by, lag={"_prev_ts": F.col(ts)})
     gapped = gapped.withColumn("gap", F.col(ts) - F.col("_prev_ts")).drop("_prev_ts")
     opened = gapped.withColumn("opens", F.col("gap").isNull() | (F.col("gap") > F.lit(gap)))
-    return drop_slices(scan(opened, key, by, running={"flowlet_id": F.col("opens").cast("long")}))
+    return scan(opened, key, by, running={"flowlet_id": F.col("opens").cast("long")})
+
+
+def _bursts_over_slices(packets: DataFrame, key: list[str], by: list[str], gap: float) -> DataFrame:
+    """The same over slices of the busy keys, with one edge row per slice.
+
+    A slice reports its first and last time and how many bursts open inside it;
+    from these follow, for the next slices, the time of the previous packet and
+    the number of bursts so far.
+    """
+    ts, part = F.col(by[0]), [*key, SLICE]
+    w = Window.partitionBy(*part).orderBy(*by)
+    local = packets.withColumn("_prev", F.lag(ts).over(w))
+    inner = F.coalesce(ts - F.col("_prev") > F.lit(gap), F.lit(False)).cast("long")
+    local = local.withColumn("_inner", F.sum(inner).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    hot = local.where("_hot") if "_hot" in packets.columns else local
+    edges = hot.groupBy(*part).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.max("_inner").alias("_opens"))
+    over = (Window.partitionBy(*key) if key else Window.partitionBy()).orderBy(SLICE)
+    edges = edges.withColumn("_before", F.lag("_hi").over(over))
+    fresh = F.col("_before").isNull() | (F.col("_lo") - F.col("_before") > F.lit(gap))
+    edges = edges.withColumn("_fresh", fresh.cast("long"))
+    so_far = F.sum(F.col("_opens") + F.col("_fresh")).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select(*part, "_before", "_fresh", so_far.alias("_base"))
+
+    # A key that is not cut has no edge row: its first packet opens burst 1.
+    joined = local.join(edges, part, "left")
+    out = joined.withColumn("gap", ts - F.coalesce("_prev", "_before"))
+    out = out.withColumns({
+        "opens": F.col("gap").isNull() | (F.col("gap") > F.lit(gap)),
+        "flowlet_id": F.coalesce("_base", F.lit(0)) + F.coalesce("_fresh", F.lit(1)) + F.col("_inner"),
+    })
+    return drop_slices(out).drop("_prev", "_inner", "_before", "_fresh", "_base")
 
 
 def inner_gap() -> Column:
@@ -113,6 +146,22 @@ def burst_sequences(
     )
 
 
+def feature_records(
+    flowlets: DataFrame, sequences: DataFrame | None = None, *, key: Sequence[str], flow_key: Sequence[str]
+) -> DataFrame:
+    """The exchanged burst record: flow key as a struct, sequences as arrays.
+
+    ``key`` identifies a burst together with flowlet_id; ``flow_key`` names the
+    fields of the struct.  A burst whose sequences have several parts gives one
+    record per part.
+    """
+    out = flowlets
+    if sequences is not None:
+        out = flowlets.join(sequences, [*key, "flowlet_id"], "left")
+    rest = [c for c in out.columns if c not in flow_key]
+    return out.select(F.struct(*flow_key).alias("flow_key"), *rest)
+
+
 def packet_steps(
     bursts: DataFrame,
     *,

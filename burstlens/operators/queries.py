@@ -92,6 +92,20 @@ def query_summary(
     return out.withColumn("confidence", F.when(F.col("responses") > 0, "high").otherwise("low"))
 
 
+def nested_responses(
+    paired: DataFrame, *, scope: Sequence[str], fields: Sequence[str], order: Sequence[str], part_size: int = 10_000,
+    target_rows: int = TARGET_ROWS,
+) -> DataFrame:
+    """Responses of each query as a list, in parts of ``part_size``."""
+    ident = [*scope, "query_id"]
+    rows = paired.where(F.col("query_role") == "response")
+    numbered = sliced_scan(rows, ident, list(order), target_rows=target_rows, running={"_n": F.lit(1).cast("long")})
+    part = F.floor((F.col("_n") - 1) / part_size).cast("int").alias("part")
+    items = F.sort_array(F.collect_list(F.struct("_n", F.struct(*fields).alias("r"))))
+    packed = numbered.groupBy(*ident, part).agg(items.alias("_i"))
+    return packed.select(*ident, "part", F.col("_i.r").alias("response_flowlets"))
+
+
 def first_queries(queries: DataFrame, n: int = 10, *, scope: Sequence[str] = ()) -> DataFrame:
     return queries.orderBy(*scope, "query_id").limit(n)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstlens.functions import labels
+from burstlens.sources.captures import file_ranks
 
 
 def capture_counts(flowlets: DataFrame, *, capture: str = "capture_id") -> DataFrame:
@@ -64,6 +65,36 @@ def new_captures(files: DataFrame, captures: DataFrame) -> DataFrame:
     return files.join(captures.select("file_path"), "file_path", "left_anti")
 
 
+def register_captures(
+    files: DataFrame, captures: DataFrame, *, created_at: Column, status: str = "completed", maps: DataFrame | None = None
+) -> DataFrame:
+    """Registry rows of the files that are new, with ids after the highest one.
+
+    ``maps`` (file_path, llm_ip_map) gives the stored address map.
+    """
+    fresh = new_captures(files.select("file_path").distinct(), captures)
+    ranked = file_ranks(fresh, file="file_path")
+    top = captures.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    empty = F.create_map().cast("map<string,string>")
+    if maps is None:
+        rows = ranked.withColumn("llm_ip_map", empty)
+    else:
+        rows = ranked.join(maps.select("file_path", "llm_ip_map"), "file_path", "left")
+        rows = rows.withColumn("llm_ip_map", F.coalesce("llm_ip_map", empty))
+    return rows.select(
+        (F.col("file_rank") + top).alias("id"), "file_path", created_at.cast("timestamp").alias("created_at"),
+        F.lit(status).alias("status"), "llm_ip_map", F.lit(None).cast("string").alias("notes"),
+    )
+
+
+def require_capture(captures: DataFrame, capture_id: int, *, key: str = "id") -> DataFrame:
+    """The capture's row; an unknown capture is an error."""
+    one = captures.where(F.col(key) == F.lit(capture_id))
+    if one.isEmpty():
+        raise LookupError(f"capture {capture_id} not found")
+    return one
+
+
 def unparsed_captures(captures: DataFrame, flowlets: DataFrame, *, key: str = "id") -> DataFrame:
     """Captures that have no bursts yet."""
     parsed = flowlets.select(F.col("capture_id").alias(key)).distinct()

@@ -9,11 +9,23 @@ from burstlens.functions.addresses import KEY
 from burstlens.operators import flows, queries
 from burstlens.plans.ingest import flowlets_of, with_direction
 from burstlens.session import stage
-from burstlens.sources import captures
+from burstlens.sources import captures, sinks
 
 UPLOAD, RESPONSE = "client_to_server", "server_to_client"
 
 
+def write_summary(tables: dict[str, DataFrame], path: str, *, scope: tuple[str, ...] = ("source_file",)) -> None:
+    """Flows with their bursts, queries with their responses, and the events, as JSON lines."""
+    key = [*scope, *KEY]
+    body = ["start_ts", "end_ts", "packet_count", "total_bytes", "query_id", "query_role"]
+    sinks.write_json(flows.nested_flows(tables["flowlets"], key=key, fields=body), f"{path}/flows")
+    answers = queries.nested_responses(
+        tables["flowlets"], scope=list(scope), fields=[*KEY, "flowlet_id", "start_ts", "end_ts", "total_bytes"],
+        order=["start_ts", "flow_at", "flowlet_id"])
+    sinks.write_json(tables["queries"].join(answers, [*scope, "query_id"], "left"), f"{path}/queries")
+    sinks.write_json(tables["events"], f"{path}/events")
+
+
 def capture_summary(
     spark: SparkSession,
     path: str,

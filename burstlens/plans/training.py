@@ -75,6 +75,39 @@ def train_and_evaluate(
     }
 
 
+def train_provider(
+    flowlets: DataFrame,
+    steps: DataFrame,
+    *,
+    provider: str,
+    ident: Sequence[str],
+    group: str,
+    estimators: Mapping[str, Estimator],
+    with_direction: bool = True,
+    fit_on: str = "all",
+    test: float = 0.2,
+    seed: int = 42,
+) -> dict[str, Any]:
+    """Provider against other traffic, from bursts and their steps to models.
+
+    ``flowlets`` needs source_file, traffic_class and the feature columns;
+    ``ident`` names the burst in both tables.  Blocks and chains are fitted on
+    all rows, or with ``fit_on="train"`` on the training flows alone.
+    """
+    if fit_on not in ("all", "train"):
+        raise ValueError("fit_on is 'all' or 'train'")
+    rows = flowlets.where(features.provider_rows(F.col("source_file"), F.col("traffic_class"), provider))
+    rows = rows.withColumn("label", (F.col("traffic_class") == "llm").cast("int"))
+    split = features.group_split(rows, group=group, test=test, seed=seed)
+    chosen = split if fit_on == "all" else split.where(~F.col("is_test"))
+    known = steps.join(chosen.select(*ident, "traffic_class"), list(ident))
+    fit = fit_fingerprints(known, cls="traffic_class")
+    scores = score_fingerprints(
+        steps.join(rows.select(*ident), list(ident), "left_semi"), fit["blocks"], fit["lookup"], ident=ident, cls="traffic_class")
+    vectors = feature_table(rows, scores, ident=ident, with_direction=with_direction, keep=["label", group])
+    return {**fit, **train_and_evaluate(vectors, label="label", group=group, estimators=estimators, test=test, seed=seed)}
+
+
 def annotate(
     vectors: DataFrame, fitted: Mapping[str, Any], *, provider: str = "ChatGPT", threshold: float = 0.5
 ) -> DataFrame:

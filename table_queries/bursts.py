@@ -8,6 +8,8 @@ from burstlens.functions import addresses, labels, render
 from burstlens.functions.addresses import KEY
 from burstlens.operators import bursts, flows, queries
 from burstlens.plans.ingest import with_direction
+from burstlens.session import scratch_path
+from burstlens.sources import sinks, tables
 from table_queries.adapters import (
     BURSTS, ENDS, EV, FLOWLETS, FLOWS, USER, ends, events, flow_flowlets, table, user_bursts, user_flowlets,
 )
@@ -183,6 +185,35 @@ def query_pairs_sliced(spark, sf):
     return _paired(spark, sf, target_rows=20).select("user_id", "flowlet_id", "query_id", "query_role")
 
 
+@query(f"""WITH {_ROLES}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id, query_id ORDER BY start_ts, flowlet_id) - 1 AS k
+  FROM pr WHERE query_role = 'response')
+SELECT user_id, query_id, CAST(k // 2 AS INTEGER) AS part, string_agg(flowlet_id || ':' || total_bytes, ',' ORDER BY k) AS responses
+FROM n GROUP BY user_id, query_id, k // 2""")
+def nested_responses(spark, sf):
+    """Responses of each query in lists of two."""
+    n = queries.nested_responses(_paired(spark, sf), scope=USER, fields=["flowlet_id", "total_bytes"],
+                                 order=["start_ts", "flowlet_id"], part_size=2)
+    text = F.transform("response_flowlets", lambda r: F.concat_ws(":", r["flowlet_id"], r["total_bytes"]))
+    return n.select("user_id", "query_id", "part", F.array_join(text, ",").alias("responses"))
+
+
+@query(f"""WITH {BURSTS} SELECT 'u' || user_id AS src_ip, flowlet_id, count(*) AS packet_count, CAST(sum(size) AS BIGINT) AS total_bytes,
+  count(*) AS sizes, count(*) - 1 AS gaps, CAST(sum(size) AS BIGINT) AS size_sum FROM b GROUP BY user_id, flowlet_id""")
+def feature_records(spark, sf):
+    """Exchanged records written as JSON lines and read with the record schema."""
+    b = user_bursts(spark, sf)
+    key_fields = {"src_ip": F.concat(F.lit("u"), F.col("user_id").cast("string")), "src_port": F.lit(1), "dst_ip": F.lit("d"),
+                  "dst_port": F.lit(2), "protocol": F.lit("TCP")}
+    found = bursts.burst_features(b, key=USER, ts="t", size="size").withColumns(key_fields)
+    seq = bursts.burst_sequences(b, key=USER, ts="t", order=["event_id"], size="size")
+    path = scratch_path(spark, "records")
+    sinks.write_json(bursts.feature_records(found, seq, key=USER, flow_key=KEY), path)
+    r = tables.load_flowlets(spark, path, "json", multi_line=False)
+    total = F.aggregate("packet_sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    return r.select("flow_key.src_ip", "flowlet_id", "packet_count", "total_bytes", F.size("packet_sizes").cast("long").alias("sizes"),
+                    F.size("inter_packet_times").cast("long").alias("gaps"), total.alias("size_sum"))
+
+
 @query(f"WITH {_ROLES} SELECT user_id, flowlet_id, start_ts, next_upload_ts FROM up")
 def next_upload(spark, sf):
     up = _directed(spark, sf).where(F.col("direction") == "client_to_server")

@@ -77,6 +77,14 @@ def new_captures(spark, sf):
     return store.new_captures(files, files.where("id % 3 = 0")).select("file_path")
 
 
+@query(f"""WITH {REGISTRY}, old AS (SELECT * FROM rg WHERE id % 3 = 0), fresh AS (SELECT * FROM rg WHERE id % 3 <> 0)
+SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY file_path) AS id, file_path, 'completed' AS status FROM fresh""")
+def register_captures(spark, sf):
+    files = registry(spark, sf)
+    rows = store.register_captures(files, files.where("id % 3 = 0"), created_at=F.lit("2025-01-01 00:00:00"))
+    return rows.select("id", "file_path", "status")
+
+
 @query(f"WITH {STORED}, {REGISTRY} SELECT id FROM rg WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.capture_id = rg.id)")
 def unparsed_captures(spark, sf):
     return store.unparsed_captures(registry(spark, sf), stored(spark, sf)).select("id")

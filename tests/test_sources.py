@@ -2,12 +2,13 @@
 
 import json
 import os
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from burstlens.operators import documents, models
+from burstlens.operators import documents, models, store
 from burstlens.plans import ingest, summary, training
 from burstlens.session import scratch_path
 from burstlens.sources import captures, sinks, tables
@@ -43,6 +44,53 @@ def test_whole_timeline_equals_one_file(spark):
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
 
 
+def test_summary_as_json(spark):
+    path = scratch_path(spark, "summary")
+    summary.write_summary(summary.capture_summary(spark, SAMPLE), path)
+    flows = spark.read.json(f"{path}/flows")
+    assert flows.count() == 47 and flows.select(F.explode("flowlets")).count() == 53
+    found = spark.read.json(f"{path}/queries")
+    answered = found.where("confidence = 'high'")
+    assert found.count() == 29 and answered.where(F.size("response_flowlets") != F.col("responses")).count() == 0
+    assert spark.read.json(f"{path}/events").count() == 53
+
+
+def test_capture_registry(spark):
+    have = spark.createDataFrame([(4, "d/a")], "id long, file_path string")
+    files = spark.createDataFrame([("d/c",), ("d/a",), ("d/b",)], "file_path string")
+    maps = spark.createDataFrame([("d/c", {"1.1.1.1": "A"})], "file_path string, llm_ip_map map<string,string>")
+    rows = store.register_captures(files, have, created_at=F.lit("2025-01-01"), maps=maps).orderBy("id").collect()
+    assert [(r.id, r.file_path, r.llm_ip_map) for r in rows] == [(5, "d/b", {}), (6, "d/c", {"1.1.1.1": "A"})]
+    assert store.require_capture(have, 4).count() == 1
+    with pytest.raises(LookupError):
+        store.require_capture(have, 5)
+
+
+def test_training_run_of_a_provider(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(240):
+        llm = i % 2 == 0
+        sizes = [rng.choice([1200, 1300]) if llm else rng.choice([60, 70, 80]) for _ in range(rng.randrange(1, 6))]
+        rows.append((f"u{i % 40}", i, "caps/ChatGPT/x" if llm else "caps/all/x", "llm" if llm else "non_llm", sizes, [0.05] * (len(sizes) - 1),
+                     float(len(sizes)), len(sizes), sum(sizes)))
+    rows.append(("u99", 999, "caps/claude/x", "llm", [5], [], 0.0, 1, 5))
+    f = spark.createDataFrame(rows, "g string, i int, source_file string, traffic_class string, packet_sizes array<int>, "
+                              "inter_packet_times array<double>, duration double, packet_count long, total_bytes long")
+    zero = {c: F.lit(0.0) for c in ("inter_packet_time_mean", "inter_packet_time_std", "packet_size_mean", "packet_size_std")}
+    f = f.withColumns(zero)
+    for fit_on in ("all", "train"):
+        run = training.train_provider(
+            f, training.array_steps(f, ident=["i"]), provider="chatgpt", ident=["i"], group="g", with_direction=False, fit_on=fit_on,
+            estimators={k: v for k, v in models.estimators(11, trees=5).items() if k != "boosted_trees"})
+        assert run["split"].count() == 240
+        assert {r.model: r.f1 for r in run["metrics"].collect()} == {"random_forest": 1.0, "svm": 1.0}
+        test_groups = run["split"].where("is_test").select("g").distinct().count()
+        assert test_groups == 8
+    with pytest.raises(ValueError):
+        training.train_provider(f, f, provider="x", ident=["i"], group="g", estimators={}, fit_on="none")
+
+
 def test_missing_files(spark, tmp_path):
     write(str(tmp_path / "other.txt"), "x")
     with pytest.raises(FileNotFoundError):
