@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burstlens.operators.scan import SLICE, TARGET_ROWS, assign_slices, drop_slices, plan_slices, scan
+from burstlens.operators.scan import AUTO, SLICE, TARGET_ROWS, Slicing, drop_slices, scan, sliced
 
 STATISTICS = (
     "duration",
@@ -27,6 +27,8 @@ def with_bursts(
     ts: str = "ts",
     order: Sequence[str] = (),
     gap: float = 0.1,
+    slicing: Slicing | None | str = AUTO,
+    keep_slices: bool = False,
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Add ``gap`` (to the previous packet of the flow) and ``flowlet_id`` 1..n.
@@ -34,11 +36,14 @@ def with_bursts(
     A burst opens at the first packet and wherever the gap is greater than the
     threshold.  ``gap`` is null at the first packet of the flow; ``opens``
     marks the first packet of each burst.  ``order`` breaks ties of ``ts``.
+    ``keep_slices`` leaves the slice columns for a following scan of the same
+    key, which then needs no exchange.
     """
     by = [ts, *order]
-    slicing = plan_slices(packets, key, ts, target_rows=target_rows)
-    if slicing is not None and slicing.splits:
-        return _bursts_over_slices(assign_slices(packets, key, ts, slicing), list(key), by, gap)
+    cut = sliced(packets, key, ts, slicing, target_rows=target_rows)
+    if SLICE in cut.columns:
+        out = _bursts_over_slices(cut, list(key), by, gap)
+        return out if keep_slices else drop_slices(out)
     gapped = scan(packets, key, by, lag={"_prev_ts": F.col(ts)})
     gapped = gapped.withColumn("gap", F.col(ts) - F.col("_prev_ts")).drop("_prev_ts")
     opened = gapped.withColumn("opens", F.col("gap").isNull() | (F.col("gap") > F.lit(gap)))
@@ -74,7 +79,7 @@ def _bursts_over_slices(packets: DataFrame, key: list[str], by: list[str], gap:
         "opens": F.col("gap").isNull() | (F.col("gap") > F.lit(gap)),
         "flowlet_id": F.coalesce("_base", F.lit(0)) + F.coalesce("_fresh", F.lit(1)) + F.col("_inner"),
     })
-    return drop_slices(out).drop("_prev", "_inner", "_before", "_fresh", "_base")
+    return out.drop("_prev", "_inner", "_before", "_fresh", "_base")
 
 
 def inner_gap() -> Column:
@@ -122,6 +127,7 @@ def burst_sequences(
     order: Sequence[str] = (),
     size: str = "length",
     part_size: int = 100_000,
+    slicing: Slicing | None | str = AUTO,
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Gap and size sequences in time order, in parts of ``part_size`` packets.
@@ -132,8 +138,8 @@ def burst_sequences(
     """
     by = [ts, *order]
     ident = [*key, "flowlet_id"]
-    slicing = plan_slices(bursts, ident, ts, target_rows=target_rows)
-    numbered = scan(assign_slices(bursts, ident, ts, slicing), ident, by, running={"_n": F.lit(1)})
+    cut = sliced(bursts, ident, ts, slicing, target_rows=target_rows)
+    numbered = scan(cut, ident, by, running={"_n": F.lit(1)})
     numbered = numbered.withColumn("part", F.floor((F.col("_n") - 1) / part_size).cast("int"))
     bytes_ = F.coalesce(F.col(size), F.lit(0)).cast("int")
     items = F.sort_array(F.collect_list(F.struct("_n", inner_gap().alias("g"), bytes_.alias("s"))))
@@ -170,6 +176,7 @@ def packet_steps(
     order: Sequence[str] = (),
     size: str = "length",
     gap_state: Column,
+    slicing: Slicing | None | str = AUTO,
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Long form of both state sequences of each burst, without any array.
@@ -181,12 +188,11 @@ def packet_steps(
     """
     by = [ts, *order]
     base = bursts.select(
-        *key, "flowlet_id", *by, "opens",
+        *key, "flowlet_id", *by, "opens", *[c for c in (SLICE, "_hot") if c in bursts.columns],
         F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"),
         F.when(~F.col("opens"), gap_state).alias("_gs"),
     )
-    slicing = plan_slices(base, key, ts, target_rows=target_rows)
-    base = assign_slices(base, key, ts, slicing)
+    base = sliced(base, key, ts, slicing, target_rows=target_rows)
     seen = drop_slices(scan(
         base, key, by,
         lag={"_psize": F.col("_size"), "_pgs": F.col("_gs")},

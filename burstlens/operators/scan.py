@@ -21,6 +21,8 @@ TARGET_ROWS = 2_000_000
 MAX_HOT_KEYS = 1_000
 MAX_SLICES = 4_096
 SLICE = "_slice"
+# Argument of operators that plan their own slices from the data.
+AUTO = "auto"
 
 
 @dataclass(frozen=True)
@@ -85,6 +87,18 @@ def assign_slices(df: DataFrame, key: Sequence[str], by: str, slicing: Slicing |
     return marked.withColumn(SLICE, F.when(F.col("_hot"), F.col(SLICE)).otherwise(F.lit(0)))
 
 
+def sliced(
+    df: DataFrame, key: Sequence[str], by: str, slicing: Slicing | None | str = AUTO, *, target_rows: int = TARGET_ROWS
+) -> DataFrame:
+    """``df`` with slice numbers: those it has, those of ``slicing``, or planned
+    from the data with AUTO.  None says that no key is busy."""
+    if SLICE in df.columns:
+        return df
+    if slicing == AUTO:
+        slicing = plan_slices(df, key, by, target_rows=target_rows)
+    return assign_slices(df, key, by, slicing)
+
+
 def drop_slices(df: DataFrame) -> DataFrame:
     return df.drop(SLICE, "_hot")
 
@@ -163,5 +177,4 @@ def sliced_scan(
     **what: Mapping[str, Column],
 ) -> DataFrame:
     """``scan`` with the slicing planned from the data and dropped afterwards."""
-    slicing = plan_slices(df, key, order[0], target_rows=target_rows)
-    return drop_slices(scan(assign_slices(df, key, order[0], slicing), key, order, **what))
+    return drop_slices(scan(sliced(df, key, order[0], target_rows=target_rows), key, order, **what))

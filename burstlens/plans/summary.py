@@ -53,6 +53,7 @@ def capture_summary(
         directed, scope=scope, upload=F.col("direction") == UPLOAD, response=F.col("direction") == RESPONSE,
         order=["flow_at", "flowlet_id"],
     )
+    paired = stage(paired, "paired")
     found_queries = queries.query_summary(paired, scope=scope, upload_fields=[*KEY, "flowlet_id"])
     if per_file:
         ranks = captures.file_ranks(paired)

@@ -8,7 +8,7 @@ from burstlens.functions import addresses, labels, render
 from burstlens.functions.addresses import KEY
 from burstlens.operators import bursts, flows, queries
 from burstlens.plans.ingest import with_direction
-from burstlens.session import scratch_path
+from burstlens.session import scratch_path, stage
 from burstlens.sources import sinks, tables
 from table_queries.adapters import (
     BURSTS, ENDS, EV, FLOWLETS, FLOWS, USER, ends, events, flow_flowlets, table, user_bursts, user_flowlets,
@@ -248,7 +248,7 @@ SELECT 'evt_' || row_number() OVER (ORDER BY user_id, flowlet_id) AS id,
   query_id IS NOT NULL AS "llmUsage", CASE WHEN query_id IS NOT NULL THEN CAST(CASE WHEN n > 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) END AS "llmConfidence"
 FROM j""")
 def traffic_events(spark, sf):
-    paired = _paired(spark, sf)
+    paired = stage(_paired(spark, sf), "paired")
     found = queries.query_summary(paired, scope=USER)
     shaped = paired.withColumns({
         "src_ip": F.concat(F.lit("u"), F.col("user_id").cast("string")), "dst_ip": F.lit(""),

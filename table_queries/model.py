@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from burstlens.functions import labels
 from burstlens.operators import bursts, evaluate, features, markov, models, stats
+from burstlens.operators.scan import plan_slices
 from burstlens.plans import analysis, training
-from burstlens.session import scratch_path
+from burstlens.session import scratch_path, stage
 from table_queries.adapters import BURSTS, CLS, FLOWLETS, USER, events, table, user_bursts, user_flowlets, with_class
 from table_queries.registry import query
 
@@ -54,7 +55,10 @@ ll AS (SELECT user_id, flowlet_id, avg(CASE WHEN attr = 'time_gap' THEN a END) A
 
 def steps(spark, sf):
     state = labels.gap_state(F.col("gap") / 1e6 / 3600)
-    return bursts.packet_steps(user_bursts(spark, sf), key=USER, ts="t", order=["event_id"], size="size", gap_state=state)
+    plan = plan_slices(events(spark, sf), USER, "t")
+    split = user_bursts(spark, sf, slicing=plan, keep_slices=True)
+    return bursts.packet_steps(
+        split, key=USER, ts="t", order=["event_id"], size="size", gap_state=state, slicing=plan)
 
 
 def fingerprints(spark, sf):
@@ -174,7 +178,7 @@ def labelled(spark, sf):
         {c: F.col(c) / 1e6 for c in ("duration", "inter_packet_time_mean", "inter_packet_time_std")})
     # Equal deviations must be equal numbers, or ranks would differ by rounding.
     flow = flow.withColumns({c: F.round(c, 6) for c in ("inter_packet_time_std", "packet_size_std")})
-    return flow.withColumn("label", (F.col("user_id") % 3 == 0).cast("int"))
+    return stage(flow.withColumn("label", (F.col("user_id") % 3 == 0).cast("int")), "labelled")
 
 
 _LABELLED = f"""{FLOWLETS}, lb AS (SELECT user_id, CAST(duration / 1e6 AS DOUBLE) AS duration, CAST(packet_count AS DOUBLE) AS packet_count, CAST(total_bytes AS DOUBLE) AS total_bytes,

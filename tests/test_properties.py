@@ -49,11 +49,11 @@ def test_bursts(spark, seed, target):
     assert {k: v + (gaps[k],) for k, v in f.items()} == plain_bursts(rows, 2)
 
 
-@pytest.mark.parametrize("target", [10**6, 30])
-def test_steps(spark, target):
+@pytest.mark.parametrize("target,keep", [(10**6, False), (30, False), (30, True)])
+def test_steps(spark, target, keep):
     rows = hot_packets(5)
     df = spark.createDataFrame(rows, "k int, ts long, ord int, length int")
-    b = bursts.with_bursts(df, key=["k"], order=["ord"], gap=2, target_rows=target)
+    b = bursts.with_bursts(df, key=["k"], order=["ord"], gap=2, target_rows=target, keep_slices=keep)
     state = F.when(F.col("gap").isNotNull(), F.concat(F.lit("g"), F.col("gap").cast("string")))
     st = bursts.packet_steps(b, key=["k"], order=["ord"], gap_state=state, target_rows=target)
     got = sorted((r.k, r.flowlet_id, r.attr, r.prev_state or "", r.state, r.is_first, r.is_last) for r in st.collect())

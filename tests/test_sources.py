@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from burstlens.operators import documents, models, store
 from burstlens.plans import ingest, summary, training
+from burstlens.schemas import RECORD_20
 from burstlens.session import scratch_path
 from burstlens.sources import captures, sinks, tables
 
@@ -91,6 +92,31 @@ def test_training_run_of_a_provider(spark):
         training.train_provider(f, f, provider="x", ident=["i"], group="g", estimators={}, fit_on="none")
 
 
+def test_written_captures_keep_order_and_header(spark):
+    rec = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "busy").otherwise(F.concat(F.lit("c"), (F.col("id") % 5).cast("string"))).alias("capture"), "id",
+        (F.col("id") / 10).cast("string").alias("epoch"), F.lit("10.0.0.1").alias("src"), F.lit("8.8.8.8").alias("dst"),
+        (F.col("id") + 1).cast("string").alias("sport"), F.lit("443").alias("dport"), F.lit("6").alias("proto"),
+        F.col("id").cast("string").alias("tcp_len"))
+    rec = rec.withColumns({n: F.lit("") for n in RECORD_20 if n not in rec.columns})
+    ip_map = spark.createDataFrame([("busy", "8.8.8.8", "A"), ("busy", "9.9.9.9", "B")], "capture string, ip string, name string")
+    heads = sinks.header_lines(ip_map, rec.select("capture"), capture="capture")
+    text = sinks.capture_text(sinks.record_lines(rec, capture="capture", order=["id"]), heads, capture="capture", order="id")
+    path = scratch_path(spark, "captures")
+    sinks.write_captures(text, path)
+    lines = captures.read_lines(spark, path, glob="*.txt", recursive=True)
+    folder = lines.withColumn("capture", F.regexp_extract("source_file", "capture=([^/]+)/", 1))
+    whole = folder.where("capture = 'busy'").orderBy("source_file", "block", "row").collect()
+    assert [r["value"] for r in whole[:3]] == ["LLM_IP A 8.8.8.8", "LLM_IP B 9.9.9.9", ""]
+    # The busy capture is spread over several part files that continue each other.
+    assert len({r["source_file"] for r in whole}) > 1
+    assert [int(r["value"].split(".")[4].split(" ")[0]) for r in whole[3:] if ">" in r["value"]] == list(range(1, 3001, 3))
+    found = captures.read_headers(folder, file="capture", order=["source_file", "block", "row"])
+    assert sorted(tuple(r) for r in found.collect()) == [("busy", "8.8.8.8", "A"), ("busy", "9.9.9.9", "B")]
+    assert captures.parse_packets(lines).count() == 3000
+    assert folder.where("capture = 'c1'").orderBy("source_file", "block", "row").first()["value"] == "# No LLM traffic detected."
+
+
 def test_missing_files(spark, tmp_path):
     write(str(tmp_path / "other.txt"), "x")
     with pytest.raises(FileNotFoundError):
