@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstlens.functions import addresses, payload
+from burstlens.operators.scan import TARGET_ROWS, sliced_scan
 from burstlens.session import BROADCAST_ROWS, broadcast_if_small
+from burstlens.sources.captures import file_ranks
 
 
 def _lookup(df: DataFrame, table: DataFrame, ip: str, on: Sequence[str], hit: str) -> DataFrame:
@@ -51,20 +53,25 @@ def label_by_ip(
     return out.withColumn("ground_truth_llm", F.coalesce("_ts", "_td")).drop("_ts", "_td")
 
 
-def carry_ip_map(headers: DataFrame, wanted: DataFrame, *, file: str = "source_file") -> DataFrame:
+def carry_ip_map(
+    headers: DataFrame, wanted: DataFrame, *, file: str = "source_file", target_rows: int = TARGET_ROWS
+) -> DataFrame:
     """The map each file sees: headers of it and all earlier files, later win.
 
-    ``wanted`` holds the (file, ip) pairs that occur.  One window per ip over
-    the files it occurs in; files are ordered by the parts of their path.
+    ``wanted`` holds the (file, ip) pairs that occur.  Per ip the last header
+    name is carried along the files in sorted path order; an ip that occurs in
+    very many files is cut into slices of the file rank.
     """
     asked = wanted.select(file, "ip").where(F.col("ip") != "").distinct()
     rows = headers.select(file, "ip", "name", F.lit(0).alias("_kind")).unionByName(
         asked.select(file, "ip", F.lit(None).cast("string").alias("name"), F.lit(1).alias("_kind"))
     )
-    upto = Window.partitionBy("ip").orderBy(F.split(file, "/"), "_kind")
-    upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = rows.withColumn("name", F.last("name", ignorenulls=True).over(upto))
-    return seen.where((F.col("_kind") == 1) & F.col("name").isNotNull()).drop("_kind")
+    ranked = rows.join(file_ranks(rows, file=file), file)
+    seen = sliced_scan(
+        ranked, ["ip"], ["file_rank", "_kind"], target_rows=target_rows, carry={"_seen": F.col("name")}
+    )
+    found = seen.where((F.col("_kind") == 1) & F.col("_seen").isNotNull())
+    return found.select(file, "ip", F.col("_seen").alias("name"))
 
 
 def end_addresses(flowlets: DataFrame, *, file: str = "source_file") -> DataFrame:

@@ -64,21 +64,24 @@ def record_lines(records: DataFrame, *, capture: str, order: Sequence[str]) -> D
 
 
 def header_lines(ip_map: DataFrame, captures: DataFrame, *, capture: str) -> DataFrame:
-    """Header text of each capture: its address lines, or a comment, then a blank.
+    """Header lines of each capture: its address lines and a blank line, or a
+    comment and a blank line.
 
-    ``ip_map`` has capture, ip, name and holds at most the detected servers of
-    a capture.
+    ``ip_map`` has capture, ip, name.  ``ord`` places the address lines at -2
+    and the closing line at -1.
     """
     line = F.format_string("LLM_IP %s %s", F.col("name"), F.col("ip"))
-    some = ip_map.groupBy(capture).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("_h"))
-    text = F.concat(F.coalesce("_h", F.lit("# No LLM traffic detected.")), F.lit("\n"))
-    return captures.select(capture).distinct().join(some, capture, "left").select(capture, text.alias("value"))
+    heads = ip_map.select(capture, F.lit(-2).cast("long").alias("ord"), line.alias("value"))
+    named = ip_map.select(capture).distinct().withColumn("_some", F.lit(True))
+    closing = F.when(F.col("_some"), "").otherwise("# No LLM traffic detected.\n")
+    ends = captures.select(capture).distinct().join(named, capture, "left")
+    return heads.unionByName(ends.select(capture, F.lit(-1).cast("long").alias("ord"), closing.alias("value")))
 
 
 def capture_text(records: DataFrame, headers: DataFrame, *, capture: str, order: str) -> DataFrame:
     """Header and packet text with a common order number (header first)."""
     body = records.select(capture, F.col(order).cast("long").alias("ord"), "value")
-    return headers.select(capture, F.lit(-1).cast("long").alias("ord"), "value").unionByName(body)
+    return headers.select(capture, "ord", "value").unionByName(body)
 
 
 def write_captures(text: DataFrame, path: str, *, capture: str = "capture", mode: str = "overwrite") -> None:
@@ -89,7 +92,7 @@ def write_captures(text: DataFrame, path: str, *, capture: str = "capture", mode
     names sort in capture order.  A row holds both lines of its packet, so no
     packet is cut.
     """
-    ordered = text.repartitionByRange(capture, "ord").sortWithinPartitions(capture, "ord")
+    ordered = text.repartitionByRange(capture, "ord").sortWithinPartitions(capture, "ord", "value")
     ordered.select(capture, "value").write.mode(mode).partitionBy(capture).text(path)
 
 

@@ -129,7 +129,12 @@ def mark_arriving_streams(
 def burst_stream(
     packets: DataFrame, *, key: Sequence[str], event_time: str, size: str, gap: str, watermark: str
 ) -> DataFrame:
-    """Bursts as session windows: a gap of exactly ``gap`` still joins."""
+    """Bursts as session windows: a gap of exactly ``gap`` still joins.
+
+    Sessions are merged inside each input partition before the shuffle, so a
+    busy key sends its sessions and not its packets to one task.
+    """
+    packets.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     session = F.session_window(event_time, gap)
     return packets.withWatermark(event_time, watermark).groupBy(*key, session.alias("session")).agg(
         F.min(event_time).alias("start_ts"),

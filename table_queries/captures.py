@@ -84,8 +84,8 @@ def union_sources(spark, sf):
 
 
 @query(f"""WITH {EV}, c AS (SELECT DISTINCT user_id % 8 AS capture FROM ev), l AS (
-  SELECT capture, CAST(-1 AS BIGINT) AS ord, CASE WHEN capture % 2 = 0 THEN 'LLM_IP VIEWER 8.8.8.8' ELSE '# No LLM traffic detected.' END AS first
-  FROM c UNION ALL SELECT user_id % 8, event_id, strftime(make_timestamp(t), '%H:%M:%S.%f') FROM ev)
+  SELECT capture, CAST(-1 AS BIGINT) AS ord, CASE WHEN capture % 2 = 0 THEN '' ELSE '# No LLM traffic detected.' END AS first
+  FROM c UNION ALL SELECT capture, -2, 'LLM_IP VIEWER 8.8.8.8' FROM c WHERE capture % 2 = 0 UNION ALL SELECT user_id % 8, event_id, strftime(make_timestamp(t), '%H:%M:%S.%f') FROM ev)
 SELECT * FROM l""")
 def capture_writer(spark, sf):
     """Header and packet text with its order; of packet text the clock."""

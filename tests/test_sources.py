@@ -103,7 +103,12 @@ def test_written_captures_keep_order_and_header(spark):
     heads = sinks.header_lines(ip_map, rec.select("capture"), capture="capture")
     text = sinks.capture_text(sinks.record_lines(rec, capture="capture", order=["id"]), heads, capture="capture", order="id")
     path = scratch_path(spark, "captures")
-    sinks.write_captures(text, path)
+    # Small partitions would be merged into one; a large capture's are not.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_captures(text, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     lines = captures.read_lines(spark, path, glob="*.txt", recursive=True)
     folder = lines.withColumn("capture", F.regexp_extract("source_file", "capture=([^/]+)/", 1))
     whole = folder.where("capture = 'busy'").orderBy("source_file", "block", "row").collect()
