@@ -59,7 +59,8 @@ def first_chains(bank: DataFrame, n: int, *, order: Sequence[str], shuffle_seed:
     """The first ``n`` chains in input order, or in a seeded random order."""
     if shuffle_seed is None:
         return bank.orderBy(*order).limit(n)
-    return bank.orderBy(F.xxhash64(F.lit(shuffle_seed), *order), *order).limit(n)
+    shuffled = F.md5(F.concat_ws(":", F.lit(str(shuffle_seed)), *[F.col(c).cast("string") for c in order]))
+    return bank.orderBy(shuffled, *order).limit(n)
 
 
 def prompt_steps(bank: DataFrame, *, order: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:

@@ -18,7 +18,8 @@ def split_fields(lines: DataFrame, names: Sequence[str], *, value: str = "value"
     """
     parts = F.split(F.regexp_replace(value, r"^\s+|\s+$", ""), "\t")
     rest = [c for c in lines.columns if c != value]
-    cut = lines.select(*rest, parts.alias("_p")).where(F.size("_p") >= least)
+    cut = lines.select(*rest, parts.alias("_p"))
+    cut = cut.where(F.size("_p") >= least) if least else cut
     return cut.select(*rest, *[F.coalesce(F.get("_p", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 

@@ -1,7 +1,7 @@
 """Structured Streaming forms of the time-based operators.
 
 Each builder returns a streaming DataFrame or starts a query; the batch
-operators stay the reference result.  A stream needs a watermark, so rows later
+operators define the result.  A stream needs a watermark, so rows later
 than it are dropped, which the batch form never does.
 """
 

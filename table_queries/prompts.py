@@ -48,7 +48,8 @@ def first_chains(spark, sf):
     return prompts.first_chains(bank(spark, sf), 15, order=["conv_id", "piece"]).select("conv_id", "piece")
 
 
-@query()
+@query(f"""WITH {_BANK} SELECT conv_id, piece FROM (SELECT DISTINCT conv_id, piece FROM u)
+ORDER BY md5('7:' || conv_id || ':' || piece) LIMIT 15""")
 def shuffled_chains(spark, sf):
     return prompts.first_chains(bank(spark, sf), 15, order=["conv_id", "piece"], shuffle_seed=7).select("conv_id", "piece")
 
