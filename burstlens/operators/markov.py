@@ -28,7 +28,7 @@ def coverage(freq: DataFrame, *, by: Sequence[str], share: float = 0.9) -> DataF
     cum = F.sum("n").over(upto)
     total = F.sum("n").over(Window.partitionBy(*by))
     return freq.select(
-        *by, "value", "n", F.row_number().over(ranked).alias("rank"), cum.alias("cum_n"),
+        *by, "value", "n", F.row_number().over(ranked).cast("long").alias("rank"), cum.alias("cum_n"),
         ((cum - F.col("n")) / total < share).alias("is_block"),
     )
 
