@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, urls
+from . import decontaminate, pii, quality, secrets, spans, urls
 from .registry import QUERIES, SQL, query, sha256, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -106,3 +106,19 @@ FROM f
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
     return rows.withColumn("rule", F.expr("substring(rule, 3)"))
+
+
+def _span_digest(found: DataFrame, kinds: tuple[str, ...], counted: tuple[str, ...]) -> DataFrame:
+    return found.select(
+        "doc_id", *[spans.of_kind(F.col("base"), k).alias(f"n_{k}") for k in counted], sha256(spans.written(F.col("base"), kinds)).alias("base_sha256"),
+        spans.written(F.concat("base", "added"), kinds).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+@query()
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(pii.personal_data(table(spark, sf_dir, "documents")), pii.KINDS, pii.KINDS)
+
+
+@query()
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(secrets.secrets(table(spark, sf_dir, "documents")), secrets.KINDS, secrets.KINDS[:3])
