@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality, secrets, spans, urls
+from . import decontaminate, language, pii, quality, secrets, spans, urls
 from .registry import QUERIES, SQL, query, sha256, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -122,3 +122,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secrets.secrets(table(spark, sf_dir, "documents")), secrets.KINDS, secrets.KINDS[:3])
+
+
+@query()
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
