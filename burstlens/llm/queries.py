@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, language, pii, quality, secrets, spans, urls
+from . import decontaminate, language, packing, page_text, pii, quality, secret_scan, spans, urls
 from .registry import QUERIES, SQL, query, sha256, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -121,7 +121,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _span_digest(secrets.secrets(table(spark, sf_dir, "documents")), secrets.KINDS, secrets.KINDS[:3])
+    return _span_digest(secret_scan.secrets(table(spark, sf_dir, "documents")), secret_scan.KINDS, secret_scan.KINDS[:3])
 
 
 @query()
@@ -131,4 +131,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return page_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query()
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), ranks_path())
