@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, page_text, pii, quality, secret_scan, spans, urls
+from . import decontaminate, jaccard, language, packing, page_text, pii, quality, secret_scan, spans, urls
 from .registry import QUERIES, SQL, query, sha256, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -143,3 +143,8 @@ def ranks_path() -> str:
 @query()
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), ranks_path())
+
+
+@query()
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
