@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, packing, page_text, pii, quality, secret_scan, spans, urls
+from . import decontaminate, jaccard, language, line_dedup, packing, page_text, pii, quality, secret_scan, spans, urls
 from .registry import QUERIES, SQL, query, sha256, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -148,3 +148,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_counts(table(spark, sf_dir, "documents"))
