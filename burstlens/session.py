@@ -60,3 +60,11 @@ def hint_if_small(fixed: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``hint_if_small`` of a table that is settled here first."""
     return hint_if_small(settle(df), max_rows)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared folder that no later step reads."""
+    if "/burstlens/" not in path:
+        raise ValueError(f"not a scratch folder: {path}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
