@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from burstlens.operators.parts import CONTINUES, continued
 from burstlens.operators.scan import AUTO, SLICE, TARGET_ROWS, Slicing, drop_slices, scan, sliced
 
 STATISTICS = (
@@ -134,21 +135,27 @@ def burst_sequences(
 
     A burst of at most ``part_size`` packets is one row with ``part`` 0, as in
     the nested record; a longer one continues in the following parts, so no
-    task ever holds an unbounded list.
+    task ever holds an unbounded list.  ``prev_size`` and ``prev_gap`` are those
+    of the packet before the part, ``more`` says that packets follow it, so
+    steps read from parts are those read from packets.
     """
     by = [ts, *order]
     ident = [*key, "flowlet_id"]
     cut = sliced(bursts, ident, ts, slicing, target_rows=target_rows)
-    numbered = scan(cut, ident, by, running={"_n": F.lit(1)})
-    numbered = numbered.withColumn("part", F.floor((F.col("_n") - 1) / part_size).cast("int"))
     bytes_ = F.coalesce(F.col(size), F.lit(0)).cast("int")
+    numbered = scan(
+        cut, ident, by, running={"_n": F.lit(1)}, lag={"_ps": bytes_, "_pg": inner_gap()}, lead={"_follows": F.lit(True)})
+    numbered = numbered.withColumn("part", F.floor((F.col("_n") - 1) / part_size).cast("int"))
     items = F.sort_array(F.collect_list(F.struct("_n", inner_gap().alias("g"), bytes_.alias("s"))))
-    packed = drop_slices(numbered).groupBy(*ident, "part").agg(items.alias("_i"))
+    packed = drop_slices(numbered).groupBy(*ident, "part").agg(
+        items.alias("_i"), F.min_by("_ps", "_n").alias("prev_size"), F.min_by("_pg", "_n").alias("prev_gap"),
+        F.max_by(F.coalesce("_follows", F.lit(False)), "_n").alias("more"))
     return packed.select(
         *ident,
         "part",
         F.filter(F.col("_i.g"), lambda x: x.isNotNull()).alias("inter_packet_times"),
         F.col("_i.s").alias("packet_sizes"),
+        *CONTINUES,
     )
 
 
@@ -158,12 +165,14 @@ def feature_records(
     """The exchanged burst record: flow key as a struct, sequences as arrays.
 
     ``key`` identifies a burst together with flowlet_id; ``flow_key`` names the
-    fields of the struct.  A burst whose sequences have several parts gives one
-    record per part.
+    fields of the struct.  A burst whose sequences have several parts is one
+    record with the totals and the first part, and one record with the key and
+    the sequences alone for each further part.
     """
     out = flowlets
     if sequences is not None:
         out = flowlets.join(sequences, [*key, "flowlet_id"], "left")
+        out = continued(out, keep=[*key, *flow_key, "flowlet_id", "inter_packet_times", "packet_sizes", *CONTINUES])
     rest = [c for c in out.columns if c not in flow_key]
     return out.select(F.struct(*flow_key).alias("flow_key"), *rest)
 

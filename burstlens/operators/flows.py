@@ -34,18 +34,16 @@ def nested_flows(
     """Nested form: one row per flow with its list of bursts.
 
     A flow with more than ``part_size`` bursts continues in further rows
-    (``part`` 1, 2, ...), so the lists stay bounded.
+    (``part`` 1, 2, ...), so the lists stay bounded.  The totals are those of the
+    whole flow and stand in part 0 alone.
     """
     part = F.floor((F.col("flowlet_id") - 1) / part_size).cast("int").alias("part")
     body = F.struct(F.col("flowlet_id").alias("id"), *[c for c in fields if c != "flowlet_id"])
-    packed = flowlets.groupBy(*key, part).agg(
-        F.sum("packet_count").alias("packets"),
-        F.sum("total_bytes").alias("bytes"),
-        F.min("start_ts").alias("start_ts"),
-        F.max("end_ts").alias("end_ts"),
-        F.sort_array(F.collect_list(body)).alias("flowlets"),
-    )
-    return packed
+    lists = flowlets.groupBy(*key, part).agg(F.sort_array(F.collect_list(body)).alias("flowlets"))
+    totals = flow_summary(flowlets, key=key).drop("flowlets").withColumn("_part", F.lit(0))
+    same = [lists[k].eqNullSafe(totals[k]) for k in key] + [lists["part"] == totals["_part"]]
+    return lists.join(totals, same, "left").select(
+        *[lists[k] for k in key], "part", "packets", "bytes", "start_ts", "end_ts", lists["flowlets"])
 
 
 def top_flows(flows: DataFrame, n: int = 10, *, ties: Sequence[str] = ("flow_ord",)) -> DataFrame:

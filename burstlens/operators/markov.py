@@ -74,16 +74,22 @@ def map_sizes(steps: DataFrame, blocks: DataFrame, *, on: Sequence[str] = ()) ->
     return out
 
 
-def explode_sequence(df: DataFrame, array: Column, *, ident: Sequence[str], attr: str) -> DataFrame:
+def explode_sequence(
+    df: DataFrame, array: Column, *, ident: Sequence[str], attr: str, before: Column | None = None, more: Column | None = None
+) -> DataFrame:
     """Steps of a state array, without a window: the previous state is looked
-    up in the same array."""
-    rows = df.select(*ident, array.alias("_a")).select(
-        *ident, "_a", F.posexplode("_a").alias("_p", "state")
+    up in the same array.  For a part of a longer sequence ``before`` is the
+    state ahead of the part, and ``more`` says that the sequence goes on."""
+    ahead = F.lit(None).cast("string") if before is None else before
+    goes_on = F.lit(False) if more is None else F.coalesce(more, F.lit(False))
+    rows = df.select(*ident, array.alias("_a"), ahead.alias("_b"), goes_on.alias("_m")).select(
+        *ident, "_a", "_b", "_m", F.posexplode("_a").alias("_p", "state")
     )
-    prev = F.when(F.col("_p") > 0, F.get("_a", F.col("_p") - 1))
+    prev = F.when(F.col("_p") > 0, F.get("_a", F.col("_p") - 1)).otherwise(F.col("_b"))
     return rows.select(
         *ident, F.lit(attr).alias("attr"), "state", prev.alias("prev_state"),
-        (F.col("_p") == 0).alias("is_first"), (F.col("_p") == F.size("_a") - 1).alias("is_last"),
+        ((F.col("_p") == 0) & F.col("_b").isNull()).alias("is_first"),
+        ((F.col("_p") == F.size("_a") - 1) & ~F.col("_m")).alias("is_last"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from burstlens.functions.addresses import KEY
 from burstlens.operators import flows, queries
+from burstlens.operators.parts import continued
 from burstlens.plans.ingest import flowlets_of, with_direction
 from burstlens.session import stage
 from burstlens.sources import captures, sinks
@@ -14,15 +15,20 @@ from burstlens.sources import captures, sinks
 UPLOAD, RESPONSE = "client_to_server", "server_to_client"
 
 
-def write_summary(tables: dict[str, DataFrame], path: str, *, scope: tuple[str, ...] = ("source_file",)) -> None:
-    """Flows with their bursts, queries with their responses, and the events, as JSON lines."""
+def write_summary(tables: dict[str, DataFrame], path: str, *, scope: tuple[str, ...] = ("source_file",), part_size: int = 10_000) -> None:
+    """Flows with their bursts, queries with their responses, and the events, as JSON lines.
+
+    A list longer than ``part_size`` goes on in rows that carry the key, the part
+    and the list alone.
+    """
     key = [*scope, *KEY]
     body = ["start_ts", "end_ts", "packet_count", "total_bytes", "query_id", "query_role"]
-    sinks.write_json(flows.nested_flows(tables["flowlets"], key=key, fields=body), f"{path}/flows")
+    sinks.write_json(flows.nested_flows(tables["flowlets"], key=key, fields=body, part_size=part_size), f"{path}/flows")
     answers = queries.nested_responses(
         tables["flowlets"], scope=list(scope), fields=[*KEY, "flowlet_id", "start_ts", "end_ts", "total_bytes"],
-        order=["start_ts", "flow_at", "flowlet_id"])
-    sinks.write_json(tables["queries"].join(answers, [*scope, "query_id"], "left"), f"{path}/queries")
+        order=["start_ts", "flow_at", "flowlet_id"], part_size=part_size)
+    told = tables["queries"].join(answers, [*scope, "query_id"], "left")
+    sinks.write_json(continued(told, keep=[*scope, "query_id", "response_flowlets"]), f"{path}/queries")
     sinks.write_json(tables["events"], f"{path}/events")
 
 

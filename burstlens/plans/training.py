@@ -15,12 +15,20 @@ from burstlens.session import broadcast_if_small, hint_if_small, settle
 
 
 def array_steps(flowlets: DataFrame, *, ident: Sequence[str]) -> DataFrame:
-    """Both state sequences of burst records that carry their arrays."""
+    """Both state sequences of burst records that carry their arrays.
+
+    Where a record is a part of a longer burst, its columns ``prev_size``,
+    ``prev_gap`` and ``more`` join it to the parts beside it.
+    """
     sizes = F.transform(F.coalesce("packet_sizes", F.array().cast("array<int>")), lambda s: s.cast("string"))
     gaps = F.transform(F.coalesce("inter_packet_times", F.array().cast("array<double>")), labels.gap_state)
-    return markov.explode_sequence(flowlets, sizes, ident=ident, attr="size_block").unionByName(
-        markov.explode_sequence(flowlets, gaps, ident=ident, attr="time_gap")
-    )
+    parts = "more" in flowlets.columns
+    before = {"size_block": F.col("prev_size").cast("string"), "time_gap": F.when(F.col("prev_gap").isNotNull(), labels.gap_state(F.col("prev_gap")))} if parts else {}
+    steps = [
+        markov.explode_sequence(flowlets, array, ident=ident, attr=attr, before=before.get(attr), more=F.col("more") if parts else None)
+        for attr, array in (("size_block", sizes), ("time_gap", gaps))
+    ]
+    return steps[0].unionByName(steps[1])
 
 
 def fit_fingerprints(steps: DataFrame, *, cls: str) -> dict[str, DataFrame]:

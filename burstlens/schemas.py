@@ -25,6 +25,8 @@ FLOWLET = _struct(
     ("flow_key", FLOW_KEY), ("flowlet_id", _L), ("traffic_class", _S), ("llm_name", _S),
     ("ground_truth_llm", _S), ("source_file", _S), ("direction", _S), ("outgoing", _B),
     ("direction_encoded", _I), *_STATISTICS,
+    # null or 0 unless the lists of a burst are kept in parts
+    ("part", _I), ("prev_size", _I), ("prev_gap", _D), ("more", _B),
 )
 CAPTURE = _struct(
     ("id", _L), ("file_path", _S), ("created_at", T.TimestampType()), ("status", _S),

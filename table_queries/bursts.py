@@ -68,15 +68,30 @@ def top_flows(spark, sf):
     return flows.top_flows(flow_summary(spark, sf), 10)
 
 
-@query(f"""WITH {FLOWLETS} SELECT user_id, CAST((flowlet_id - 1) // 16 AS INTEGER) AS part, count(*) AS flowlets,
-  CAST(sum(total_bytes) AS BIGINT) AS bytes, CAST(sum(flowlet_id * total_bytes) AS BIGINT) AS checked
-  FROM fl GROUP BY user_id, (flowlet_id - 1) // 16""")
-def nested_flows(spark, sf):
-    """The nested form in pieces of 16 bursts, read back out of its lists."""
-    nested = flows.nested_flows(user_flowlets(spark, sf), key=USER, part_size=16,
+_NESTED = f"""WITH {FLOWLETS} SELECT user_id, count(*) AS flowlets, CAST(sum(packet_count) AS BIGINT) AS packets, CAST(sum(total_bytes) AS BIGINT) AS bytes,
+  min(start_ts) AS start_ts, max(end_ts) AS end_ts, string_agg(flowlet_id || ':' || total_bytes, ',' ORDER BY flowlet_id) AS listed
+  FROM fl GROUP BY user_id"""
+
+
+def _nested(spark, sf, part_size):
+    """Nested flows, with the lists of their parts joined again: one row per flow."""
+    nested = flows.nested_flows(user_flowlets(spark, sf), key=USER, part_size=part_size,
                                 fields=["start_ts", "end_ts", "packet_count", "total_bytes"])
-    total = F.aggregate("flowlets", F.lit(0).cast("long"), lambda a, x: a + x["id"] * x["total_bytes"])
-    return nested.select("user_id", "part", F.size("flowlets").cast("long").alias("flowlets"), "bytes", total.alias("checked"))
+    text = F.array_join(F.transform("flowlets", lambda x: F.concat_ws(":", x["id"], x["total_bytes"])), ",")
+    once = [F.sum(c).alias(c) for c in ("packets", "bytes")] + [F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts")]
+    parts = F.array_sort(F.collect_list(F.struct("part", text.alias("t"))))
+    return nested.groupBy("user_id").agg(F.sum(F.size("flowlets")).alias("flowlets"), *once, F.array_join(parts["t"], ",").alias("listed"))
+
+
+@query(_NESTED)
+def nested_flows(spark, sf):
+    return _nested(spark, sf, 10_000)
+
+
+@query(_NESTED)
+def nested_flows_parts(spark, sf):
+    """The same from lists of four bursts."""
+    return _nested(spark, sf, 4)
 
 
 @query(f"""WITH {ENDS}, x AS (SELECT *, coalesce(src_port, 0) AS sp, coalesce(dst_port, 0) AS dp FROM en), y AS (
@@ -197,21 +212,37 @@ def nested_responses(spark, sf):
     return n.select("user_id", "query_id", "part", F.array_join(text, ",").alias("responses"))
 
 
-@query(f"""WITH {BURSTS} SELECT 'u' || user_id AS src_ip, flowlet_id, count(*) AS packet_count, CAST(sum(size) AS BIGINT) AS total_bytes,
-  count(*) AS sizes, count(*) - 1 AS gaps, CAST(sum(size) AS BIGINT) AS size_sum FROM b GROUP BY user_id, flowlet_id""")
-def feature_records(spark, sf):
-    """Exchanged records written as JSON lines and read with the record schema."""
+_RECORDS = f"""WITH {BURSTS} SELECT 'u' || user_id AS src_ip, flowlet_id, count(*) AS packet_count, CAST(sum(size) AS BIGINT) AS total_bytes,
+  string_agg(CAST(size AS VARCHAR), ',' ORDER BY t, event_id) AS sizes, count(*) - 1 AS gaps,
+  CAST(coalesce(sum(CASE WHEN NOT opens THEN gap END), 0) AS BIGINT) AS gap_sum FROM b GROUP BY user_id, flowlet_id"""
+
+
+def _records(spark, sf, part_size):
+    """Exchanged records written as JSON lines, read with the record schema, parts joined again: one row per burst."""
     b = user_bursts(spark, sf)
     key_fields = {"src_ip": F.concat(F.lit("u"), F.col("user_id").cast("string")), "src_port": F.lit(1), "dst_ip": F.lit("d"),
                   "dst_port": F.lit(2), "protocol": F.lit("TCP")}
     found = bursts.burst_features(b, key=USER, ts="t", size="size").withColumns(key_fields)
-    seq = bursts.burst_sequences(b, key=USER, ts="t", order=["event_id"], size="size")
+    seq = bursts.burst_sequences(b, key=USER, ts="t", order=["event_id"], size="size", part_size=part_size)
     path = scratch_path(spark, "records")
     sinks.write_json(bursts.feature_records(found, seq, key=USER, flow_key=KEY), path)
     r = tables.load_flowlets(spark, path, "json", multi_line=False)
-    total = F.aggregate("packet_sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    return r.select("flow_key.src_ip", "flowlet_id", "packet_count", "total_bytes", F.size("packet_sizes").cast("long").alias("sizes"),
-                    F.size("inter_packet_times").cast("long").alias("gaps"), total.alias("size_sum"))
+    parts = F.array_sort(F.collect_list(F.struct("part", F.array_join(F.col("packet_sizes").cast("array<string>"), ",").alias("t"))))
+    total = F.aggregate("inter_packet_times", F.lit(0.0), lambda a, x: a + x)
+    return r.groupBy("flow_key.src_ip", "flowlet_id").agg(
+        F.sum("packet_count").alias("packet_count"), F.sum("total_bytes").alias("total_bytes"), F.array_join(parts["t"], ",").alias("sizes"),
+        F.sum(F.size("inter_packet_times")).alias("gaps"), F.round(F.sum(total)).cast("long").alias("gap_sum"))
+
+
+@query(_RECORDS)
+def feature_records(spark, sf):
+    return _records(spark, sf, 100_000)
+
+
+@query(_RECORDS)
+def feature_records_parts(spark, sf):
+    """The same from sequences of four packets a part."""
+    return _records(spark, sf, 4)
 
 
 @query(f"WITH {_ROLES} SELECT user_id, flowlet_id, start_ts, next_upload_ts FROM up")

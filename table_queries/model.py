@@ -115,16 +115,32 @@ def sequence_loglik(spark, sf):
     return likelihoods(spark, sf).withColumns({c: F.round(c, 6) for c in features.LIKELIHOODS})
 
 
-@query(f"""WITH {_CHAINS}, z AS (SELECT DISTINCT cls, attr, state, n_start FROM ep) SELECT cls, attr, state, n_start FROM z WHERE n_start > 0""")
+_FROM_ARRAYS = f"WITH {_CHAINS} SELECT cls, attr, state, next_state, n, round(p, 8) AS p FROM tp"
+
+
+def _array_transitions(spark, sf, part_size):
+    """Transitions counted from array records instead of packets."""
+    packed = bursts.burst_sequences(user_bursts(spark, sf), key=USER, ts="t", order=["event_id"], size="size", part_size=part_size)
+    hour = lambda g: g / 1e6 / 3600
+    packed = packed.withColumns({"inter_packet_times": F.transform("inter_packet_times", hour), "prev_gap": hour(F.col("prev_gap"))})
+    seen = training.array_steps(packed, ident=IDENT)
+    return seen, training.fit_fingerprints(with_class(seen), cls="cls")
+
+
+@query(_FROM_ARRAYS)
 def array_sequences(spark, sf):
-    """First states counted from array records instead of packets."""
-    packed = bursts.burst_sequences(user_bursts(spark, sf), key=USER, ts="t", order=["event_id"], size="size")
-    hours = F.transform("inter_packet_times", lambda g: g / 1e6 / 3600)
-    seen = training.array_steps(packed.withColumn("inter_packet_times", hours), ident=IDENT)
-    blocks = fingerprints(spark, sf)["blocks"]
-    mapped = markov.map_sizes(with_class(seen), blocks, on=["cls"])
-    counts = mapped.groupBy("cls", "attr", "state").agg(F.sum(F.col("is_first").cast("long")).alias("n_start"))
-    return counts.where("n_start > 0")
+    return _array_transitions(spark, sf, 100_000)[1]["transitions"].withColumn("p", F.round("p", 8))
+
+
+@query(_FROM_ARRAYS)
+def array_sequences_parts(spark, sf):
+    """The same from parts of four packets."""
+    return _array_transitions(spark, sf, 4)[1]["transitions"].withColumn("p", F.round("p", 8))
+
+
+@query(f"WITH {_CHAINS} SELECT cls, attr, state, n_start, n_end FROM ep WHERE n_start > 0 OR n_end > 0")
+def array_ends_parts(spark, sf):
+    return _array_transitions(spark, sf, 4)[1]["ends"].select("cls", "attr", "state", "n_start", "n_end")
 
 
 def _directed(df):
