@@ -12,14 +12,18 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from burstlens.session import hint_if_small, settle
 
 TARGET_ROWS = 2_000_000
-MAX_HOT_KEYS = 1_000
-MAX_SLICES = 4_096
+# Beyond target_rows times this many hot rows a slice grows with them: 10 ** 12 rows give slices of about 15 million.
+MAX_SLICES = 65_536
 SLICE = "_slice"
 # Argument of operators that plan their own slices from the data.
 AUTO = "auto"
@@ -27,68 +31,108 @@ AUTO = "auto"
 
 @dataclass(frozen=True)
 class Slicing:
-    """Which keys are cut (``hot``; None = every row) and at which order values."""
+    """Which keys are cut (``hot``; None = every row), along which column, and at which values of its image."""
 
     hot: DataFrame | None
     splits: list[float]
+    by: str | None = None
+
+
+def scalars(kind: T.DataType, path: str) -> list[tuple[str, T.DataType]]:
+    """The plain values of an order column: itself, or the fields of a struct in their order."""
+    if isinstance(kind, T.StructType):
+        return [x for f in kind for x in scalars(f.dataType, f"{path}.{f.name}")]
+    return [(path, kind)]
+
+
+def order_image(path: str, kind: T.DataType) -> Column:
+    """A double that never falls as the column rises; nulls are lowest.
+
+    Text counts by its first six bytes.  Other than plain values cannot be cut,
+    which is an error whatever the size of the data.
+    """
+    c = F.col(path)
+    if isinstance(kind, T.StringType):
+        image = F.conv(F.rpad(F.substring(F.hex(c), 1, 12), 12, "0"), 16, 10).cast("double")
+    elif isinstance(kind, T.DateType):
+        image = F.unix_date(c).cast("double")
+    elif isinstance(kind, T.TimestampNTZType):
+        image = c.cast("timestamp").cast("double")
+    elif isinstance(kind, (T.NumericType, T.TimestampType, T.BooleanType)):
+        image = c.cast("double")
+    else:
+        raise TypeError(f"rows cannot be cut along {path}: {kind.simpleString()}")
+    return F.coalesce(image, F.lit(-math.inf))
+
+
+def _same(key: Sequence[str], prefix: str) -> Column:
+    """Equality with the columns of that prefix; a null key equals a null key."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in key])
 
 
 def plan_slices(
     df: DataFrame,
     key: Sequence[str],
-    by: str,
+    by: str | Sequence[str],
     *,
     target_rows: int = TARGET_ROWS,
-    max_hot: int = MAX_HOT_KEYS,
     max_slices: int = MAX_SLICES,
 ) -> Slicing | None:
-    """Find keys above ``target_rows`` and quantile cuts of ``by`` over their rows.
+    """Find keys above ``target_rows`` and quantile cuts of the order over their rows.
 
-    The counts are combined before the shuffle.  At most ``max_hot`` keys come
-    to the driver; a key left out has at most 1/max_hot of the rows.  The cuts
-    are quantiles of all hot rows together, so any (key, slice) pair holds at
-    most about hot_rows / slices rows whatever the distribution of one key.
+    The counts are combined before the shuffle, and the busy keys stay a table,
+    however many they are.  The cuts are quantiles of all hot rows together, so
+    any (key, slice) pair holds at most about hot_rows / slices rows whatever
+    the distribution of one key.  ``by`` is the order: its first column that is
+    not constant over the hot rows is cut.
     """
+    order = [x for c in ([by] if isinstance(by, str) else by) for x in scalars(df.schema[c].dataType, c)]
+    images = [order_image(*x) for x in order]
     if key:
-        counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-        top = counts.orderBy(F.desc("_n")).limit(max_hot).where(F.col("_n") > target_rows).collect()
-        top = [r for r in top if all(r[k] is not None for k in key)]
-        if not top:
+        counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target_rows)
+        total = counts.agg(F.sum("_n")).first()[0]
+        if not total:
             return None
-        hot = df.sparkSession.createDataFrame(
-            [tuple(r[k] for k in key) for r in top], df.select(*key).schema
-        )
-        rows, total = df.join(F.broadcast(hot), list(key)), sum(r["_n"] for r in top)
+        hot = settle(counts).select(*key)
+        named = hot.select(*[F.col(k).alias(f"_h_{k}") for k in key])
+        rows = df.join(hint_if_small(named), _same(key, "_h_"), "left_semi")
     else:
         hot, rows, total = None, df, df.count()
         if total <= target_rows:
             return None
     n = min(max_slices, 2 * math.ceil(total / target_rows))
+    at = 0
+    if len(order) > 1:
+        ends = rows.agg(*[f(c).alias(f"_{i}{k}") for i, c in enumerate(images) for k, f in (("a", F.min), ("z", F.max))]).first()
+        at = next((i for i in range(len(order)) if ends[f"_{i}a"] != ends[f"_{i}z"]), 0)
     cuts = rows.agg(
-        F.percentile_approx(F.col(by).cast("double"), [i / n for i in range(1, n)], 10_000).alias("c")
+        F.percentile_approx(images[at], [i / n for i in range(1, n)], max(10_000, 4 * n)).alias("c")
     ).first()["c"]
-    return Slicing(hot, sorted(set(cuts or [])))
+    return Slicing(hot, sorted({c for c in cuts or [] if c > -math.inf}), order[at][0])
 
 
-def assign_slices(df: DataFrame, key: Sequence[str], by: str, slicing: Slicing | None) -> DataFrame:
+def assign_slices(df: DataFrame, key: Sequence[str], by: str | Sequence[str], slicing: Slicing | None) -> DataFrame:
     """Add the slice number: 0 for all rows of a key that is not cut."""
     if slicing is None or not slicing.splits:
         return df
-    inf = float("inf")
+    parts = [x for c in ([by] if isinstance(by, str) else by) for x in scalars(df.schema[c].dataType, c)]
+    image = next(order_image(*x) for x in parts if slicing.by in (None, x[0]))
+    inf = math.inf
     cutter = Bucketizer(
         splits=[-inf, *slicing.splits, inf], inputCol="_by", outputCol=SLICE, handleInvalid="keep"
     )
-    # Nulls sort first, so they belong to the first slice.
-    out = cutter.transform(df.withColumn("_by", F.coalesce(F.col(by).cast("double"), F.lit(-inf))))
+    out = cutter.transform(df.withColumn("_by", image))
     out = out.withColumn(SLICE, F.col(SLICE).cast("int")).drop("_by")
     if slicing.hot is None:
         return out
-    marked = out.join(F.broadcast(slicing.hot.withColumn("_hot", F.lit(True))), list(key), "left")
+    named = slicing.hot.select(*[F.col(k).alias(f"_h_{k}") for k in key], F.lit(True).alias("_hot"))
+    marked = out.join(hint_if_small(named), _same(key, "_h_"), "left").drop(*[f"_h_{k}" for k in key])
     return marked.withColumn(SLICE, F.when(F.col("_hot"), F.col(SLICE)).otherwise(F.lit(0)))
 
 
 def sliced(
-    df: DataFrame, key: Sequence[str], by: str, slicing: Slicing | None | str = AUTO, *, target_rows: int = TARGET_ROWS
+    df: DataFrame, key: Sequence[str], by: str | Sequence[str], slicing: Slicing | None | str = AUTO, *,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """``df`` with slice numbers: those it has, those of ``slicing``, or planned
     from the data with AUTO.  None says that no key is busy."""
@@ -137,23 +181,24 @@ def scan(
         local["_first"] = F.row_number().over(w) == 1
         local["_last"] = F.lead(F.lit(True)).over(w).isNull()
     keep = [c for c in valued.columns if not c.startswith("_v_") and c not in local]
-    out = valued.select(*keep, *[c.alias(n) for n, c in local.items()])
+    ends = [v(n).alias(f"_v_{n}") for n in (*lag, *lead)] if cut else []
+    out = valued.select(*keep, *ends, *[c.alias(n) for n, c in local.items()])
     if not cut:
         return out
 
-    at = F.struct(*order)
-    edges = valued.where(F.col("_hot")) if "_hot" in df.columns else valued
+    # The first and last row of each slice tell all that goes over its edges; they come from the windowed rows.
+    edges = out.where(F.col("_first") | F.col("_last"))
+    edges = edges.where(F.col("_hot")) if "_hot" in df.columns else edges
+    at_end = lambda c: F.first(F.when(F.col("_last"), c), ignorenulls=True)
     edges = edges.groupBy(*part).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.max_by(v(n), at).alias(n) for n in lag],
-        *[F.min_by(v(n), at).alias(n) for n in lead],
-        *[F.sum(v(n)).alias(n) for n in running],
-        *[F.max_by(v(n), F.when(v(n).isNotNull(), at)).alias(n) for n in carry],
+        *[at_end(v(n)).alias(n) for n in lag],
+        *[F.first(F.when(F.col("_first"), v(n)), ignorenulls=True).alias(n) for n in lead],
+        *[at_end(F.col(n)).alias(n) for n in (*running, *carry)],
     )
     over = (Window.partitionBy(*key) if key else Window.partitionBy()).orderBy(SLICE)
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(
-        *part,
+        *[F.col(k).alias(f"_k_{k}") for k in part],
         *[F.lag(n).over(over).alias(f"_e_{n}") for n in lag],
         *[F.lead(n).over(over).alias(f"_e_{n}") for n in lead],
         *[F.sum(n).over(before).alias(f"_e_{n}") for n in running],
@@ -164,7 +209,7 @@ def scan(
     fixed |= {n: F.when(F.col("_last"), e(n)).otherwise(F.col(n)) for n in lead}
     fixed |= {n: F.when(e(n).isNull(), F.col(n)).otherwise(F.coalesce(n, F.lit(0)) + e(n)) for n in running}
     fixed |= {n: F.coalesce(F.col(n), e(n)) for n in carry}
-    joined = out.join(edges, part, "left")
+    joined = out.join(edges, _same(part, "_k_"), "left")
     return joined.select(*keep, *[c.alias(n) for n, c in fixed.items()])
 
 
@@ -177,4 +222,4 @@ def sliced_scan(
     **what: Mapping[str, Column],
 ) -> DataFrame:
     """``scan`` with the slicing planned from the data and dropped afterwards."""
-    return drop_slices(scan(sliced(df, key, order[0], target_rows=target_rows), key, order, **what))
+    return drop_slices(scan(sliced(df, key, order, target_rows=target_rows), key, order, **what))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstlens.functions.addresses import KEY
-from burstlens.operators import flows, queries
+from burstlens.operators import flows, queries, scan
 from burstlens.operators.parts import continued
 from burstlens.plans.ingest import flowlets_of, with_direction
 from burstlens.session import stage
@@ -62,10 +62,14 @@ def capture_summary(
     paired = stage(paired, "paired")
     found_queries = queries.query_summary(paired, scope=scope, upload_fields=[*KEY, "flowlet_id"])
     if per_file:
-        ranks = captures.file_ranks(paired)
-        ordered, order = paired.join(ranks, "source_file"), ["file_rank", "flow_at", "flowlet_id"]
+        ordered, order = paired.join(captures.file_ranks(paired), "source_file"), ["_at", "flow_at", "flowlet_id"]
+        # One number over the blocks of all files, so that a large file is cut like any other stretch.
+        ends = ordered.groupBy("file_rank").agg((F.max("flow_at.block") + 1).alias("_size"))
+        starts = scan.sliced_scan(ends, [], ["file_rank"], running={"_upto": F.col("_size")}).select(
+            "file_rank", (F.col("_upto") - F.col("_size")).alias("_before"))
+        ordered = ordered.join(starts, "file_rank").withColumn("_at", F.col("_before") + F.col("flow_at.block"))
     else:
-        ordered, order = paired.withColumn("_zero", F.lit(0)), ["_zero", "flow_at", "flowlet_id"]
+        ordered, order = paired, ["flow_at", "flowlet_id"]
     return {
         "flowlets": paired,
         "flows": flows.flow_summary(directed, key=[*key, "direction"], first="first_at"),

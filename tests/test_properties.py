@@ -161,6 +161,43 @@ def test_slices_are_bounded_for_a_key_with_a_third_of_the_rows(spark):
     assert numbered.where("k = 0").agg(F.max("n"), F.countDistinct("n")).first() == (10_000, 10_000)
 
 
+def _numbered(df, key, by, order, rows):
+    """Largest slice, and wrong numbers, of a numbering with slices of about ``rows``."""
+    cut = assign_slices(df, key, by, plan_slices(df, key, by, target_rows=rows))
+    assert "_slice" in cut.columns
+    largest = cut.groupBy(*key, "_slice").count().agg(F.max("count")).first()[0]
+    whole = scan(df, key, order, running={"n": F.lit(1)}, lag={"p": F.col(order[-1])}, lead={"q": F.col(order[-1])})
+    parts = sliced_scan(df, key, order, target_rows=rows, running={"n": F.lit(1)}, lag={"p": F.col(order[-1])}, lead={"q": F.col(order[-1])})
+    return largest, whole.exceptAll(parts).count() + parts.exceptAll(whole).count()
+
+
+def test_thousands_of_busy_keys_are_all_cut(spark):
+    df = spark.range(40_000).select((F.col("id") % 2_000).alias("k"), "id")
+    largest, wrong = _numbered(df, ["k"], ["id"], ["id"], 10)
+    assert largest <= 10 and wrong == 0
+
+
+def test_null_key_with_most_rows_is_cut(spark):
+    df = spark.range(10_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"), "id")
+    largest, wrong = _numbered(df, ["k"], ["id"], ["id"], 500)
+    assert largest <= 600 and wrong == 0
+
+
+def test_constant_first_column_is_passed_over(spark):
+    df = spark.range(10_000).select(F.lit(0).alias("zero"), "id")
+    largest, wrong = _numbered(df, [], ["zero", "id"], ["zero", "id"], 500)
+    assert largest <= 600 and wrong == 0
+
+
+def test_text_order_is_cut_at_any_size(spark):
+    df = spark.range(5_000).select(F.lit(1).alias("k"), F.when(F.col("id") % 50 > 0, F.format_string("%05d-é", "id")).alias("t"), "id")
+    largest, wrong = _numbered(df, ["k"], ["t", "id"], ["t", "id"], 200)
+    assert largest <= 300 and wrong == 0
+    bad = df.select("k", F.array("id").alias("t"))
+    with pytest.raises(TypeError):
+        plan_slices(bad, ["k"], "t")
+
+
 def test_numbering_over_everything_is_sliced(spark):
     df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("x"))
     got = sliced_scan(df, [], ["x"], target_rows=500, running={"n": F.lit(1)})
