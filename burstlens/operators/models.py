@@ -48,21 +48,25 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
 
 
 def estimators(
-    width: int, *, label: str = "label", features: str = "features", trees: int = 100, rounds: int = 100, seed: int = 42
+    width: int, *, label: str = "label", features: str = "features", trees: int = 100, rounds: int = 100, seed: int = 42,
+    max_depth: int = 12, kernel_size: int = 128,
 ) -> dict[str, Estimator]:
     """Forest, kernel classifier with probability, boosted trees.
 
+    ``max_depth`` bounds the trees of the forest (at most 30), ``kernel_size`` is
+    the number of Fourier features of the kernel classifier.
+
     The kernel classifier is logistic regression over Fourier features of the
     standardised vector, which trains in linear passes over the data.
     """
     common = {"labelCol": label, "featuresCol": features, "seed": seed}
     kernel = Pipeline(stages=[
         StandardScaler(withMean=True, withStd=True, inputCol=features, outputCol="scaled"),
-        FourierFeatures(width=width, gamma=1.0 / width, seed=seed),
+        FourierFeatures(width=width, gamma=1.0 / width, seed=seed, size=kernel_size),
         LogisticRegression(labelCol=label, featuresCol="fourier", regParam=1e-4, maxIter=50),
     ])
     return {
-        "random_forest": Pipeline(stages=[RandomForestClassifier(numTrees=trees, maxDepth=12, **common)]),
+        "random_forest": Pipeline(stages=[RandomForestClassifier(numTrees=trees, maxDepth=max_depth, **common)]),
         "svm": kernel,
         "boosted_trees": Pipeline(stages=[GBTClassifier(maxIter=rounds, maxDepth=6, stepSize=0.3, **common)]),
     }
@@ -109,9 +113,12 @@ def save_artifacts(path: str, models: Mapping[str, PipelineModel], lookup: DataF
 
 
 def load_artifacts(spark: SparkSession, path: str) -> dict:
-    """Read the artefacts back; a missing part is an error."""
+    """Read the artefacts back; a missing part, in the manifest or as a folder, is an error."""
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()["value"])
-    missing = [p for p in PARTS if p not in manifest.get("parts", [])]
+    folder = lambda p: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{p}")
+    there = lambda p: folder(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder(p))
+    missing = [p for p in PARTS if p not in manifest.get("parts", []) or not there(p)]
+    missing += [f"models/{n}" for n in manifest["models"] if not there(f"models/{n}")]
     if missing:
         raise KeyError(f"missing required artifact parts: {missing}")
     return {

@@ -110,6 +110,11 @@ def report_json(tables: dict[str, DataFrame]) -> DataFrame:
     return whole.agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("p")), ", "), F.lit("}")).alias("value"))
 
 
+def write_report(tables: dict[str, DataFrame], path: str) -> None:
+    """The result tables of a report as one JSON document; for tables of a few rows, one per feature or class."""
+    report_json(tables).coalesce(1).write.mode("overwrite").text(path)
+
+
 def as_text(column: Column) -> Column:
     """Array or map as JSON text; null as the empty list."""
     return F.coalesce(F.to_json(column), F.lit("[]"))

@@ -10,6 +10,7 @@ from burstlens.operators import bursts, evaluate, features, markov, models, stat
 from burstlens.operators.scan import plan_slices
 from burstlens.plans import analysis, training
 from burstlens.session import scratch_path, stage
+from burstlens.sources import sinks
 from table_queries.adapters import BURSTS, CLS, FLOWLETS, USER, events, table, user_bursts, user_flowlets, with_class
 from table_queries.registry import query
 
@@ -250,12 +251,22 @@ def mann_whitney(spark, sf):
     return _class_stats(spark, sf).select("feature", F.col("mann_whitney_u").alias("u"))
 
 
-@query()
+# The closed form of the tail, term by term as in the library.
+_TERMS = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+_TAIL = " + ".join(f"({c}) * pow(1 / (1 + x / 2), {i})" for i, c in enumerate(_TERMS))
+_TESTS = f"""{_CLASS_STATS}, ties AS (SELECT feature, sum(k * k * k - k) AS t FROM (SELECT feature, value, CAST(count(*) AS DOUBLE) AS k FROM lo GROUP BY 1, 2) GROUP BY 1),
+  sizes AS (SELECT feature, CAST(sum(label) AS DOUBLE) AS n1, CAST(sum(1 - label) AS DOUBLE) AS n0 FROM lo GROUP BY 1),
+  zs AS (SELECT feature, (greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / sqrt(n1 * n0 / 12 * ((n1 + n0 + 1) - t / ((n1 + n0) * (n1 + n0 - 1)))) AS z
+    FROM cs JOIN ties USING (feature) JOIN sizes USING (feature)),
+  ps AS (SELECT feature, z, CASE WHEN z <= 0 THEN 1.0 ELSE least(1 / (1 + x / 2) * exp({_TAIL} - x * x), 1.0) END AS p FROM (SELECT *, z / sqrt(2) AS x FROM zs))"""
+
+
+@query(f"WITH {_TESTS} SELECT feature, round(p, 4) AS p_value, p < 0.05 AS significant FROM ps")
 def significance(spark, sf):
     """p values and the significant features."""
     s = _class_stats(spark, sf)
-    return s.select("feature", "p_value").join(
-        stats.significant(s).select("feature", F.lit(True).alias("significant")), "feature", "left")
+    found = stats.significant(s).select("feature", F.lit(True).alias("found"))
+    return s.join(found, "feature", "left").select("feature", F.round("p_value", 4).alias("p_value"), F.coalesce("found", F.lit(False)).alias("significant"))
 
 
 def _judged(spark, sf):
@@ -305,59 +316,108 @@ def class_split(spark, sf):
     return evaluate.class_distribution(d, label="cls")
 
 
+# The label is a fixed function of the features, so what a model must predict is known.
+TREES, ROUNDS = 20, 10
+_LEARNED = f"""{FLOWLETS}, gr AS (SELECT user_id, row_number() OVER (ORDER BY CAST('0x' || substr(md5('42:u' || user_id), 1, 13) AS BIGINT), 'u' || user_id) AS k,
+    count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM fl)),
+  tr AS (SELECT fl.user_id, flowlet_id, CAST(packet_count > 1 AS INTEGER) AS label, k <= ceil(n * 0.2) AS is_test FROM fl JOIN gr USING (user_id))"""
+
+
 def _training_rows(spark, sf):
-    keyed = vectors(spark, sf, with_direction=False)
-    return keyed.withColumns({
-        "label": (F.col("user_id") % 3 == 0).cast("int"), "g": F.concat(F.lit("u"), F.col("user_id").cast("string"))})
+    """All bursts with their vectors; a burst of several packets is the positive class."""
+    rows = user_flowlets(spark, sf).withColumns(
+        {c: F.col(c) / 1e6 for c in ("duration", "inter_packet_time_mean", "inter_packet_time_std")})
+    rows = rows.withColumns({"label": (F.col("packet_count") > 1).cast("int"), "g": F.concat(F.lit("u"), F.col("user_id").cast("string"))})
+    return stage(features.assemble(rows, NAMES, keep=[*IDENT, "label", "g"]), "vectors")
+
+
+def _estimators(width=len(NAMES)):
+    return models.estimators(width, trees=TREES, rounds=ROUNDS)
 
 
 def _scores(spark, sf, name):
     rows = features.group_split(_training_rows(spark, sf), group="g")
-    fitted = models.train(rows.where(~F.col("is_test")), {name: models.estimators(11)[name]})
-    return models.probabilities(rows.where("is_test").select(*IDENT, "label", "features"), fitted).drop("features")
+    fitted = models.train(rows.where(~F.col("is_test")), {name: _estimators()[name]})
+    scored = models.probabilities(rows.where("is_test").select(*IDENT, "label", "features"), fitted)
+    p = F.col(f"p_{name}")
+    return scored.select(*IDENT, "label", (p >= 0.5).cast("int").alias("predicted"), p.between(0, 1).alias("in_range"))
+
+
+_SCORED = f"WITH {_LEARNED} SELECT user_id, flowlet_id, label, label AS predicted, true AS in_range FROM tr WHERE is_test"
 
 
-@query()
+@query(_SCORED)
 def forest_scores(spark, sf):
     return _scores(spark, sf, "random_forest")
 
 
-@query()
+@query(f"WITH {_LEARNED} SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positive, true AS in_range, true AS mostly_right FROM tr WHERE is_test")
 def kernel_scores(spark, sf):
-    return _scores(spark, sf, "svm")
+    """The kernel classifier bounds no region exactly: nine in ten held-out bursts must be right."""
+    right = F.avg((F.col("label") == F.col("predicted")).cast("int")) >= 0.9
+    return _scores(spark, sf, "svm").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("positive"), F.min("in_range").alias("in_range"), right.alias("mostly_right"))
 
 
-@query()
+@query(_SCORED)
 def boosted_scores(spark, sf):
     return _scores(spark, sf, "boosted_trees")
 
 
-@query()
+@query(f"""WITH {_LEARNED}, s AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(label) AS DOUBLE) AS n1 FROM tr WHERE is_test)
+SELECT model, class, CASE class WHEN 'llm' THEN n1 WHEN 'non_llm' THEN n - n1 ELSE n END AS support, true AS good
+FROM s, (VALUES ('random_forest'), ('svm'), ('boosted_trees')) m(model), (VALUES ('llm'), ('non_llm'), ('macro avg'), ('weighted avg')) c(class)""")
 def model_report(spark, sf):
-    """Class report of the held-out flows, from stored and reloaded models' training run."""
-    every = models.estimators(11)
-    run = training.train_and_evaluate(
-        _training_rows(spark, sf), label="label", group="g", estimators={k: every[k] for k in ("random_forest", "svm")})
-    return run["report"]
+    """Class report of the held-out flows for all three classifiers; the tree models are exact."""
+    run = training.train_and_evaluate(_training_rows(spark, sf), label="label", group="g", estimators=_estimators())
+    exact = (F.col("precision") == 1) & (F.col("recall") == 1) & (F.col("f1_score") == 1)
+    kernel = F.col("precision").between(0, 1) & F.col("recall").between(0, 1)
+    return run["report"].select("model", "class", "support", F.when(F.col("model") == "svm", kernel).otherwise(exact).alias("good"))
 
 
-@query()
+@query(f"WITH {_LEARNED} SELECT user_id, flowlet_id, CASE WHEN label = 1 THEN 'ChatGPT' ELSE 'non_llm' END AS model_llm_prediction, true AS sure FROM tr")
 def annotated(spark, sf):
-    """Predictions of stored artefacts, loaded back and applied to all bursts."""
+    """Predictions of stored artefacts, loaded back and applied to all bursts by the ensemble of all three."""
     rows = _training_rows(spark, sf)
     fit = fingerprints(spark, sf)
-    fitted = models.train(rows, {"random_forest": models.estimators(11)["random_forest"]})
+    fitted = models.train(rows, _estimators())
     path = scratch_path(spark, "artifacts")
-    models.save_artifacts(path, fitted, fit["lookup"], fit["blocks"], feature_dim=11)
+    models.save_artifacts(path, fitted, fit["lookup"], fit["blocks"], feature_dim=len(NAMES))
     loaded = models.load_artifacts(spark, path)
-    return training.annotate(rows, loaded["models"]).select(*IDENT, "model_llm_prediction", "model_llm_confidence")
+    named = training.annotate(rows, loaded["models"])
+    return named.select(*IDENT, "model_llm_prediction", F.col("model_llm_confidence").between(0.5, 1).alias("sure"))
+
+
+_REPORT = f"""WITH {_TESTS}, cm AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, abs(corr({n}, label)) AS score FROM lb" for n in NAMES)})
+SELECT 'dataset_info' AS kind, CAST(label AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS number FROM lb GROUP BY label
+UNION ALL {" UNION ALL ".join(f"SELECT 'correlation', '{a}:{b}', round(corr({a}, {b}), 6) FROM lb" for a in [*NAMES, "label"] for b in [*NAMES, "label"])}
+UNION ALL SELECT 'statistical_tests', feature, round(u, 1) FROM cs
+UNION ALL SELECT 'significant_features', feature, 1 FROM ps WHERE p < 0.05
+UNION ALL SELECT 'most_correlated', feature, row_number() OVER (ORDER BY score DESC, feature) FROM cm
+UNION ALL SELECT 'most_important', model, sum(r) FROM (VALUES ('random_forest'), ('boosted_trees')) m(model), range(1, {len(NAMES) + 1}) t(r) GROUP BY model"""
 
 
-@query()
+@query(_REPORT)
 def analysis_report(spark, sf):
-    """Feature rankings of the report: correlation and forest importance."""
+    """All six tables of the report, written as one JSON document and read back."""
     rows = labelled(spark, sf).withColumn("g", F.col("user_id").cast("string"))
-    report = analysis.analyse(
-        rows, names=NAMES, label="label", group="g", estimators={"random_forest": models.estimators(7)["random_forest"]})
-    return report["most_correlated"].select(F.lit("correlation").alias("kind"), "feature", "score", "rank").unionByName(
-        report["most_important"].select(F.col("model").alias("kind"), "feature", F.col("importance").alias("score"), "rank"))
+    report = analysis.analyse(rows, names=NAMES, label="label", group="g", estimators=_estimators())
+    path = scratch_path(spark, "report")
+    sinks.write_report(report, path)
+    kinds = "dataset_info array<struct<label:int,n:bigint>>, correlation array<struct<feature_a:string,feature_b:string,correlation:double>>, " \
+            "statistical_tests array<struct<feature:string,mann_whitney_u:double>>, significant_features array<struct<feature:string>>, " \
+            "most_correlated array<struct<feature:string,rank:int>>, most_important array<struct<model:string,feature:string,rank:int>>"
+    back = spark.read.text(path).select(F.from_json("value", kinds).alias("r")).select("r.*")
+    table_of = lambda kind, name, number: back.select(F.lit(kind).alias("kind"), F.explode(kind).alias("x")).select("kind", name.alias("name"), number.cast("double").alias("number"))
+    x = lambda c: F.col(f"x.{c}")
+    parts = [
+        table_of("dataset_info", x("label").cast("string"), x("n")), table_of("correlation", F.concat_ws(":", x("feature_a"), x("feature_b")), F.round(x("correlation"), 6)),
+        table_of("statistical_tests", x("feature"), F.round(x("mann_whitney_u"), 1)), table_of("significant_features", x("feature"), F.lit(1)),
+        table_of("most_correlated", x("feature"), x("rank")),
+    ]
+    # importances depend on the sampling of the trees; every model ranks every feature once
+    ranks = table_of("most_important", x("model"), x("rank")).groupBy("kind", "name").agg(F.sum("number").alias("number"))
+    whole = ranks
+    for p in parts:
+        whole = whole.unionByName(p)
+    return whole

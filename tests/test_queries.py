@@ -7,7 +7,6 @@ from table_queries import load
 
 FOLDER = "/root/testdata/sf0.001"
 REGISTRY = load()
-SLOW = {"forest_scores", "kernel_scores", "boosted_scores", "model_report", "annotated", "analysis_report"}
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +14,7 @@ def con():
     return check_queries.database(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(set(REGISTRY.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(REGISTRY.QUERIES))
 def test_query(spark, con, name):
     got = check_queries.compare(spark, con, FOLDER, name, REGISTRY.QUERIES[name], REGISTRY.SQL.get(name))
     assert got.startswith(("ok", "rows")), got
