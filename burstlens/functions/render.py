@@ -22,9 +22,11 @@ def flag_letters(words: Column) -> Column:
 
 
 def iso_time(base: Column, seconds: Column) -> Column:
-    """Base timestamp plus seconds as ISO text with microseconds and Z."""
+    """Base timestamp plus seconds as ISO text and Z, with microseconds unless they are 0."""
     micros = F.unix_micros(base) + F.round(seconds * 1_000_000).cast("long")
-    return F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    at = F.timestamp_micros(micros)
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.when(micros % 1_000_000 == 0, whole).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
 
 
 def clock_label(seconds: Column) -> Column:

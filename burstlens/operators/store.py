@@ -60,6 +60,11 @@ def chart(flowlets: DataFrame, *, by: Sequence[str] = (), ts: str = "start_ts",
     )
 
 
+def chart_points(buckets: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """The buckets of a chart in order of time."""
+    return buckets.orderBy(*by, "time")
+
+
 def new_captures(files: DataFrame, captures: DataFrame) -> DataFrame:
     """Files that are not registered yet."""
     return files.join(captures.select("file_path"), "file_path", "left_anti")

@@ -1,8 +1,11 @@
 """Structured Streaming forms of the time-based operators.
 
 Each builder returns a streaming DataFrame or starts a query; the batch
-operators define the result.  A stream needs a watermark, so rows later
-than it are dropped, which the batch form never does.
+operators define the result.  Windows are closed by the watermark: their rows
+come out once, when no later row can change them (``append_results``), their
+state is dropped, and rows later than the watermark are left out, which the
+batch form never does.  Running values per key have no end; each batch gives
+those that changed (``upsert_results``), and ``latest`` reads the last of each.
 """
 
 from __future__ import annotations
@@ -44,17 +47,39 @@ def _start(df: DataFrame, batch: Callable[[DataFrame, int], None], *, mode: str,
     return writer.trigger(**trigger).start()
 
 
-def keep_latest(
+def _results(df: DataFrame, path: str, mode: str, checkpoint: str | None, trigger: dict | None) -> StreamingQuery:
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return _start(df, write, mode=mode, trigger=trigger or {"availableNow": True},
+                  checkpoint=checkpoint or scratch_path(df.sparkSession, "checkpoint"))
+
+
+def append_results(
     df: DataFrame, path: str, *, checkpoint: str | None = None, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Replace the table at ``path`` by the whole aggregate after each batch."""
+    """Rows of closed windows, each once, under their batch number; a repeated batch overwrites its own folder."""
+    return _results(df, path, "append", checkpoint, trigger)
 
-    def replace(rows: DataFrame, _: int) -> None:
-        rows.write.mode("overwrite").parquet(path)
 
-    spark = df.sparkSession
-    return _start(df, replace, mode="complete", trigger=trigger or {"availableNow": True},
-                  checkpoint=checkpoint or scratch_path(spark, "checkpoint"))
+def upsert_results(
+    df: DataFrame, path: str, *, checkpoint: str | None = None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Rows that a batch changed, under its number; ``latest`` gives the table. A repeated batch overwrites its own folder."""
+    return _results(df, path, "update", checkpoint, trigger)
+
+
+def latest(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
+    """The last row of each key over the batches at ``path``."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*key, "batch")]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def finish(query: StreamingQuery) -> None:
@@ -99,7 +124,7 @@ def mark_arriving_streams(
 
     The state is a table of each target stream's first hit, written anew per
     batch next to the output; batch n reads the version of batch n-1, so a
-    repeated batch gives the same rows.  Hits are combined before the shuffle
+    repeated batch gives the same rows, and deletes the one before that.  Hits are combined before the shuffle
     and the join is split by the adaptive planner, so one busy stream does not
     end up in one task as it would in per-key state.
     """
@@ -121,6 +146,8 @@ def mark_arriving_streams(
         joined = named.join(known, stream).where(F.col("_old") | (F.col(order) >= F.col("_first")))
         out = joined.withColumn("is_first_hit", ~F.col("_old") & (F.col(order) == F.col("_first")))
         out.drop("_hit", "_first", "_old").write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        if batch > 1:
+            _drop(session, f"{path}/state/batch={batch - 2}")
 
     return _start(records, mark, mode="append", trigger=trigger or {"availableNow": True},
                   checkpoint=checkpoint or scratch_path(spark, "checkpoint"))
@@ -131,10 +158,10 @@ def burst_stream(
 ) -> DataFrame:
     """Bursts as session windows: a gap of exactly ``gap`` still joins.
 
-    Sessions are merged inside each input partition before the shuffle, so a
+    A session with ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``
+    set merges sessions inside each input partition before the shuffle, so that a
     busy key sends its sessions and not its packets to one task.
     """
-    packets.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     session = F.session_window(event_time, gap)
     return packets.withWatermark(event_time, watermark).groupBy(*key, session.alias("session")).agg(
         F.min(event_time).alias("start_ts"),

@@ -274,7 +274,7 @@ def timeline(spark, sf):
   FROM pr WHERE query_id IS NOT NULL GROUP BY user_id, query_id),
 j AS (SELECT pr.*, cf.n FROM pr LEFT JOIN cf ON pr.user_id = cf.user_id AND pr.query_id = cf.query_id)
 SELECT 'evt_' || row_number() OVER (ORDER BY user_id, flowlet_id) AS id,
-  strftime(make_timestamp(start_ts), '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, 'unknown' AS "userId",
+  replace(strftime(make_timestamp(start_ts), '%Y-%m-%dT%H:%M:%S.%fZ'), '.000000Z', 'Z') AS timestamp, 'unknown' AS "userId",
   'u' || user_id AS "srcIp", 'unknown' AS "dstIp", total_bytes AS bytes, 'UNKNOWN' AS protocol,
   query_id IS NOT NULL AS "llmUsage", CASE WHEN query_id IS NOT NULL THEN CAST(CASE WHEN n > 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) END AS "llmConfidence"
 FROM j""")

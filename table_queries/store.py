@@ -46,7 +46,7 @@ _LLM = "traffic_class = 'llm' OR coalesce(model_llm_prediction NOT IN ('', 'non_
 @query(f"""WITH {STORED} SELECT capture_id, CAST(floor(start_ts / 86400) * 86400 AS BIGINT) AS time, CAST(sum(total_bytes) AS BIGINT) AS total_bytes,
   CAST(sum(CASE WHEN {_LLM} THEN total_bytes ELSE 0 END) AS BIGINT) AS llm_bytes, count(*) AS count FROM st GROUP BY 1, 2""")
 def chart_buckets(spark, sf):
-    return store.chart(stored(spark, sf), by=["capture_id"], width=86400)
+    return store.chart_points(store.chart(stored(spark, sf), by=["capture_id"], width=86400), by=["capture_id"])
 
 
 @query(f"""WITH {STORED} SELECT id, ground_truth_llm, model_llm_prediction,

@@ -6,38 +6,61 @@ from pyspark.sql import functions as F
 
 from burstlens.session import scratch_path
 from burstlens.streaming import jobs
-from table_queries.adapters import ENDS, FLOWLETS, EV, ends, micros
+from table_queries.adapters import ENDS, FLOWLETS, EV, ends, micros, table
 from table_queries.captures import WHITELIST, _PACKETS, _parsed_columns, written_capture
 from table_queries.registry import query
 
 
+FILES = 4
+
+
 def _events(spark, sf):
-    e = jobs.read_table_stream(spark, sf, glob="events*.parquet")
-    return e.select(
-        "event_id", "user_id", "event_type", "value", F.timestamp_micros(micros(F.col("ts"))).alias("at"),
-        F.floor("value").cast("long").alias("size"))
+    """The events in order of time, arriving in four files, one a batch."""
+    e = table(spark, sf, "events").withColumn("_us", micros(F.col("ts")))
+    cuts = e.agg(F.percentile("_us", [i / FILES for i in range(1, FILES)])).first()[0]
+    path = scratch_path(spark, "arriving")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = e if low is None else e.where(F.col("_us") > low)
+        part = part if high is None else part.where(F.col("_us") <= high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    s = jobs.read_table_stream(spark, path, glob="*.parquet", files_per_batch=1)
+    return s.select(
+        "event_id", "user_id", "event_type", "value", F.timestamp_micros("_us").alias("at"), F.floor("value").cast("long").alias("size"))
+
+
+def _closed(spark, stream, name):
+    path = scratch_path(spark, name)
+    jobs.finish(jobs.append_results(stream, path))
+    return spark.read.parquet(path).drop("batch")
 
 
-def _final(spark, stream, name):
+def _latest(spark, stream, name, key):
     path = scratch_path(spark, name)
-    jobs.finish(jobs.keep_latest(stream, path))
-    return spark.read.parquet(path)
+    jobs.finish(jobs.upsert_results(stream, path))
+    return jobs.latest(spark, path, key)
+
+
+# The watermark in microseconds at the end of the stream: it has whole milliseconds.
+_MARK = "(SELECT max(t) // 1000 * 1000 FROM ev)"
 
 
-@query(f"WITH {FLOWLETS} SELECT user_id, start_ts, end_ts, packet_count, total_bytes FROM fl")
+@query(f"WITH {FLOWLETS} SELECT user_id, start_ts, end_ts, packet_count, total_bytes FROM fl WHERE end_ts + 21600000000 <= {_MARK} - 86400000000")
 def stream_flowlets(spark, sf):
+    """Bursts whose session the watermark has closed."""
     s = jobs.burst_stream(_events(spark, sf), key=["user_id"], event_time="at", size="size", gap="6 hours", watermark="1 day")
-    out = _final(spark, s, "bursts")
+    out = _closed(spark, s, "bursts")
     return out.select("user_id", F.unix_micros("start_ts").alias("start_ts"), F.unix_micros("end_ts").alias("end_ts"),
                       "packet_count", "total_bytes")
 
 
 @query(f"""WITH {EV} SELECT t // 600000000 * 600000000 AS time, CAST(sum(size) AS BIGINT) AS total_bytes,
-  CAST(sum(CASE WHEN user_id % 3 = 0 THEN size ELSE 0 END) AS BIGINT) AS llm_bytes, count(*) AS count FROM ev GROUP BY 1""")
+  CAST(sum(CASE WHEN user_id % 3 = 0 THEN size ELSE 0 END) AS BIGINT) AS llm_bytes, count(*) AS count FROM ev GROUP BY 1
+  HAVING t // 600000000 * 600000000 + 600000000 <= {_MARK} - 3600000000""")
 def stream_chart(spark, sf):
+    """Windows that the watermark has closed."""
     s = jobs.chart_stream(_events(spark, sf), event_time="at", size="size", llm=F.col("user_id") % 3 == 0,
                           width="10 minutes", watermark="1 hour")
-    return _final(spark, s, "chart").withColumn("time", F.unix_micros("time"))
+    return _closed(spark, s, "chart").withColumn("time", F.unix_micros("time"))
 
 
 @query(f"""WITH {ENDS}, r AS (SELECT event_id, src_ip, dst_ip, upper(event_type) || (event_id % 3) AS name FROM en WHERE event_id % 7 = 0),
@@ -46,7 +69,7 @@ SELECT ip, arg_min(name, o) AS name FROM x WHERE ip NOT LIKE '10.%' GROUP BY ip"
 def stream_ip_map(spark, sf):
     name = F.concat(F.upper("event_type"), (F.col("event_id") % 3).cast("string"))
     r = ends(_events(spark, sf)).withColumn("detected", F.when(F.col("event_id") % 7 == 0, name))
-    return _final(spark, jobs.running_ip_map(r, order=["event_id"], src="src_ip", dst="dst_ip"), "ipmap")
+    return _latest(spark, jobs.running_ip_map(r, order=["event_id"], src="src_ip", dst="dst_ip"), "ipmap", ["ip"])
 
 
 @query(WHITELIST)
@@ -64,7 +87,7 @@ def stream_counts(spark, sf):
     e = _events(spark, sf).withColumns({
         "capture_id": F.col("user_id") % 8, "traffic_class": F.when(F.col("user_id") % 3 == 0, "llm").otherwise("non_llm"),
         "model_llm_prediction": F.when(F.col("value") > 60, "ChatGPT")})
-    return _final(spark, jobs.count_stream(e), "counts")
+    return _latest(spark, jobs.count_stream(e), "counts", ["capture_id"])
 
 
 @query(f"WITH {ENDS} {_PACKETS}")

@@ -29,12 +29,14 @@ def test_bursts(spark):
     stream = jobs.read_table_stream(spark, path, glob="*.parquet", files_per_batch=1)
     s = jobs.burst_stream(stream, key=["k"], event_time="at", size="size", gap="20 seconds", watermark="1 hour")
     out = scratch_path(spark, "out")
-    jobs.finish(jobs.keep_latest(s, out))
+    jobs.finish(jobs.append_results(s, out))
+    end = rows.agg(F.max("at")).first()[0]
     b = bursts.with_bursts(rows.withColumn("t", F.unix_micros("at")), key=["k"], ts="t", order=["id"], gap=20_000_000)
     batch = bursts.burst_features(b, key=["k"], ts="t", size="size")
     cols = ["k", "start_ts", "end_ts", "packet_count", "total_bytes"]
     got = spark.read.parquet(out).withColumns({c: F.unix_micros(c) for c in ("start_ts", "end_ts")})
-    same(got.select(cols), batch.select(cols))
+    closed = batch.where(F.col("end_ts") + 20_000_000 <= F.unix_micros(F.lit(end)) - 3_600_000_000)
+    same(got.select(cols), closed.select(cols))
 
 
 def test_target_streams_over_batches(spark):
@@ -51,11 +53,39 @@ def test_chart_and_counts(spark):
     path, rows = source(spark)
     stream = jobs.read_table_stream(spark, path, glob="*.parquet", files_per_batch=2)
     out = scratch_path(spark, "out")
-    jobs.finish(jobs.keep_latest(jobs.chart_stream(stream, event_time="at", size="size", llm=F.col("k") == 0), out))
+    jobs.finish(jobs.append_results(jobs.chart_stream(stream, event_time="at", size="size", llm=F.col("k") == 0), out))
+    end = rows.agg(F.max("at")).first()[0]
     t = F.timestamp_seconds(F.floor(F.unix_seconds("at") / 10) * 10)
     batch = rows.groupBy(t.alias("time")).agg(
         F.sum("size").alias("total_bytes"), F.sum(F.when(F.col("k") == 0, F.col("size")).otherwise(0)).alias("llm_bytes"), F.count("*").alias("count"))
-    same(spark.read.parquet(out), batch)
+    closed = batch.where(F.unix_seconds("time") + 10 <= F.unix_seconds(F.lit(end)) - 60)
+    assert spark.read.parquet(out).select("batch").distinct().count() >= 3
+    same(spark.read.parquet(out).drop("batch"), closed)
+
+
+def test_closed_windows_leave_the_state_and_late_rows_are_left_out(spark):
+    path = scratch_path(spark, "late")
+    at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + s)
+    for i in range(4):
+        rows = spark.range(100).select(at(F.lit(i * 3600) + F.col("id") * 30).alias("at"), F.lit(1).alias("size"))
+        rows = rows.union(spark.range(1).select(at(F.lit(0)), F.lit(1))) if i == 3 else rows
+        rows.coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.read_table_stream(spark, path, glob="*.parquet", files_per_batch=1)
+    out = scratch_path(spark, "out")
+    q = jobs.append_results(jobs.chart_stream(stream, event_time="at", size="size", llm=F.col("size") == 1), out)
+    jobs.finish(q)
+    states = [p.stateOperators[0] for p in q.recentProgress if p.stateOperators]
+    assert max(s.numRowsTotal for s in states) < 250 and states[-1].numRowsTotal < 10
+    assert sum(s.numRowsDroppedByWatermark for s in states) == 1
+    assert spark.read.parquet(out).agg(F.sum("count")).first()[0] >= 390
+
+
+def test_upserts_give_the_running_table(spark):
+    path, rows = source(spark)
+    flow = lambda d: d.select(F.col("k").alias("capture_id"), F.when(F.col("id") % 2 == 0, "llm").alias("traffic_class"), F.lit(None).cast("string").alias("model_llm_prediction"))
+    out = scratch_path(spark, "counts")
+    jobs.finish(jobs.upsert_results(jobs.count_stream(flow(jobs.read_table_stream(spark, path, glob="*.parquet", files_per_batch=1))), out))
+    same(jobs.latest(spark, out, ["capture_id"]), jobs.count_stream(flow(rows)))
 
 
 def test_parse_arriving_captures(spark, tmp_path):
