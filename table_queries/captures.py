@@ -9,6 +9,7 @@ from burstlens.functions import capture_text as ct
 from burstlens.functions import labels, payload
 from burstlens.functions.addresses import KEY
 from burstlens.operators import addresses
+from burstlens.plans import ingest, summary
 from burstlens.schemas import RECORD_8, RECORD_13, RECORD_20
 from burstlens.session import scratch_path
 from burstlens.sources import captures, records, sinks
@@ -360,3 +361,47 @@ def host_port(spark, sf):
     token = (F.when(n == 0, F.format_string("10.1.2.%d.%d", F.col("conv_id"), F.col("turn") % 9))
              .when(n == 1, quad).when(n == 2, F.concat(quad, F.lit("."))).otherwise("host"))
     return c.select("conv_id", "turn", ct.split_host_port(token).alias("e")).select("conv_id", "turn", "e.host", "e.port")
+
+
+# Whole paths: the written captures read again and taken through each plan.
+def _capture():
+    return F.regexp_extract("source_file", r"capture=(\d+)/", 1).cast("long").alias("capture")
+
+
+_CLOCKED = f"""WITH {ENDS}, pk AS (SELECT user_id % 8 AS capture, src_ip, coalesce(src_port, 0) AS src_port, dst_ip, coalesce(dst_port, 0) AS dst_port,
+    CASE protocol WHEN 'tcp' THEN 'TCP' ELSE 'PROTO' END AS protocol, round(t % 86400000000 / 1e6, 6) AS ts, event_id,
+    CASE protocol WHEN 'tcp' THEN size ELSE size + 40 END AS length FROM en)"""
+_GAPS = """, gp AS (SELECT *, ts - lag(ts) OVER (PARTITION BY {scope}src_ip, src_port, dst_ip, dst_port, protocol ORDER BY ts, event_id) AS gap FROM pk),
+  fw AS (SELECT {scope}src_ip, src_port, dst_ip, dst_port, protocol, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes,
+    CAST(sum(CASE WHEN gap IS NULL OR gap > 0.1 THEN 1 ELSE 0 END) AS BIGINT) AS flowlets FROM gp GROUP BY ALL)"""
+
+
+@query(_CLOCKED + _GAPS.format(scope="") + " SELECT * FROM fw")
+def summary_flows(spark, sf):
+    """Flows of the summary of all written captures on one timeline."""
+    tables = summary.capture_summary(spark, f"{written_capture(spark, sf)}/*", glob="*.txt", per_file=False)
+    return tables["flows"].select(*KEY, "packets", "bytes", "flowlets")
+
+
+@query(_CLOCKED + _GAPS.format(scope="") + " SELECT count(*) AS flows, CAST(sum(flowlets) AS BIGINT) AS events, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(flowlets) AS BIGINT) AS numbers FROM fw")
+def summary_events(spark, sf):
+    """The events of the same summary by file: every burst is one event with its own number."""
+    tables = summary.capture_summary(spark, f"{written_capture(spark, sf)}/*", glob="*.txt", per_file=False)
+    events_ = tables["events"].agg(F.count(F.lit(1)).alias("events"), F.sum("bytes").alias("bytes"), F.countDistinct("id").alias("numbers"))
+    return events_.withColumn("flows", F.lit(tables["flows"].count()))
+
+
+@query(_CLOCKED + _GAPS.format(scope="capture, ") + """ SELECT *, CASE WHEN capture % 2 = 0 AND '8.8.8.8' IN (src_ip, dst_ip) THEN 'llm' ELSE 'non_llm' END AS traffic_class,
+  CASE WHEN capture % 2 = 0 AND '8.8.8.8' IN (src_ip, dst_ip) THEN 'VIEWER' END AS llm_name FROM fw""")
+def address_flowlets(spark, sf):
+    """Bursts of the written captures, labelled by the address headers of their own file."""
+    f = ingest.flowlets_by_address(spark, f"{written_capture(spark, sf)}/*", glob="*.txt", carry=False)
+    return f.groupBy(_capture(), *KEY, "traffic_class", "llm_name").agg(
+        F.sum("packet_count").alias("packets"), F.sum("total_bytes").alias("bytes"), F.count(F.lit(1)).alias("flowlets"))
+
+
+@query(_CLOCKED + _GAPS.format(scope="capture, ") + " SELECT capture, count(*) AS flows_count, CAST(sum(flowlets) AS BIGINT) AS flowlets_count, CAST(sum(packets) AS BIGINT) AS packets, 'llm' AS traffic_class FROM fw GROUP BY capture")
+def labelled_captures(spark, sf):
+    """Captures of the labelled dataset, with their counts."""
+    made = ingest.labelled_dataset(spark, written_capture(spark, sf))
+    return made["captures"].groupBy(_capture(), "traffic_class").agg(*[F.sum(c).alias(c) for c in ("flows_count", "flowlets_count", "packets")])
