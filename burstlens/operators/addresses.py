@@ -80,12 +80,32 @@ def end_addresses(flowlets: DataFrame, *, file: str = "source_file") -> DataFram
     return flowlets.select(file, both).where(F.col("ip") != "").distinct()
 
 
+def ip_map_intervals(
+    headers: DataFrame, ranks: DataFrame, *, file: str = "source_file", target_rows: int = TARGET_ROWS
+) -> DataFrame:
+    """ip, name, from_rank, to_rank: the files for which a header name of an address holds.
+
+    One row per header entry, however many files follow; ``to_rank`` is null
+    where no later header names the address.  ``map_of_capture`` gives the
+    whole map of one file.
+    """
+    placed = headers.join(ranks, file).select("ip", "name", "file_rank")
+    seen = sliced_scan(placed, ["ip"], ["file_rank"], target_rows=target_rows, lead={"_next": F.col("file_rank")})
+    return seen.select("ip", "name", F.col("file_rank").alias("from_rank"), (F.col("_next") - 1).alias("to_rank"))
+
+
+def map_of_capture(intervals: DataFrame, rank: int) -> DataFrame:
+    """The accumulated map (ip, name) of the file with that rank."""
+    return intervals.where((F.col("from_rank") <= rank) & (F.col("to_rank").isNull() | (F.col("to_rank") >= rank))).select("ip", "name")
+
+
 def capture_ip_maps(headers: DataFrame, ranks: DataFrame, *, file: str = "source_file") -> DataFrame:
     """Whole accumulated map per capture file as a map column.
 
     A header name holds from its file up to the file before the next header of
     the same ip, so the rows are spelled out by ``sequence`` instead of a range
-    join; the result is exactly the stored maps.
+    join; the result is exactly the stored maps.  Its size is files times
+    addresses: for many files keep ``ip_map_intervals`` instead.
     """
     total = ranks.agg(F.max("file_rank")).scalar()
     placed = headers.join(ranks, file).select("ip", "name", "file_rank")

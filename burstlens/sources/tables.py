@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from burstlens.schemas import FLOWLET, PROMPT_BANK
 
 
-def read_flowlet_json(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    """Burst records from JSON; ``multi_line=False`` reads one record per line,
-    which splits across tasks."""
+def read_flowlet_json(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+    """Burst records from JSON, one per line, which splits across tasks;
+    ``multi_line=True`` reads files that hold one list each, whole."""
     return spark.read.schema(FLOWLET).json(path, multiLine=multi_line)
 
 

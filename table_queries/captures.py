@@ -169,6 +169,25 @@ def capture_ip_maps(spark, sf):
     return maps.select("source_file", "file_rank", F.explode("llm_ip_map").alias("ip", "name"))
 
 
+_RANKS = f"""WITH {_HEADERS}, files AS (SELECT DISTINCT printf('caps/f%07d.txt', user_id) AS source_file FROM ev),
+rk AS (SELECT source_file, row_number() OVER (ORDER BY source_file) AS file_rank FROM files),
+iv AS (SELECT ip, name, file_rank AS from_rank, lead(file_rank) OVER (PARTITION BY ip ORDER BY file_rank) - 1 AS to_rank FROM hd JOIN rk USING (source_file))"""
+
+
+def _intervals(spark, sf):
+    return addresses.ip_map_intervals(_headers(spark, sf), captures.file_ranks(_header_text(spark, sf)))
+
+
+@query(f"{_RANKS} SELECT * FROM iv")
+def ip_map_intervals(spark, sf):
+    return _intervals(spark, sf)
+
+
+@query(f"{_RANKS} SELECT ip, name FROM iv WHERE from_rank <= 60 AND coalesce(to_rank, 60) >= 60")
+def map_of_capture(spark, sf):
+    return addresses.map_of_capture(_intervals(spark, sf), 60)
+
+
 _LABELS = FLOWS + """, m AS (SELECT DISTINCT CASE event_type WHEN 'click' THEN '142.250.0.20' ELSE '8.8.8.8' END AS ip,
     upper(event_type) AS name FROM events WHERE event_type IN ('click', 'view')),
 tm AS (SELECT ip, name || '_SEEN' AS name FROM m WHERE name = 'VIEW'),

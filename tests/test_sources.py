@@ -227,7 +227,7 @@ def test_flowlet_json_and_dispatch(spark, tmp_path):
     rows = [{"flow_key": {"src_ip": "a", "src_port": 1, "dst_ip": "b", "dst_port": 2, "protocol": "TCP"}, "flowlet_id": 1,
              "traffic_class": "llm", "packet_sizes": [5, 6], "inter_packet_times": [0.5]}]
     write(str(tmp_path / "f.json"), json.dumps(rows))
-    f = tables.load_flowlets(spark, str(tmp_path / "f.json"))
+    f = tables.load_flowlets(spark, str(tmp_path / "f.json"), multi_line=True)
     assert f.first()["flow_key"]["dst_port"] == 2
     steps = training.array_steps(f, ident=["flowlet_id"]).orderBy("attr", "is_last").collect()
     assert [(r.attr, r.state, r.prev_state) for r in steps] == [
