@@ -45,12 +45,14 @@ BROADCAST_IDS = 500_000
 # Buckets of n-grams: at least so many, and so many n-grams in each at most.
 BUCKETS = 64
 BUCKET_GRAMS = 1 << 21
-BATCH_GRAMS = 1 << 21
+BATCH_GRAMS = 1 << 20
 BUCKET_POSTINGS = 1 << 20
 SALT_POSTINGS = 1 << 20
 BLOCK = 512
+# Rows of long values that are turned into Python objects at once.
+ROWS = 500
 # n-grams counted at once in a task, and matches expanded at once in a product.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 EXPANDED = 1 << 22
 
 
@@ -75,7 +77,7 @@ def _row(id_col: Column, text_col: Column) -> Column:
 def measure(docs: DataFrame, n: int) -> DataFrame:
     """(id, row, h, n, c): size and class of every document's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, names = [], []
             for text in batch.column(3).to_pylist():
                 grams = set_of(text, n)
@@ -115,7 +117,7 @@ def shared_counts(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             counts = [np.bincount(np.frombuffer(w, np.uint16), minlength=len(names) // 8).astype(np.uint16).tobytes() for w in where]
             return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(gram, pa.binary()), pa.array(counts, pa.binary()), pa.array([names] * len(keys), pa.binary())], names=["bucket", "g", "k", "c"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 grams = set_of(text, n)
                 name = class_of(grams)
@@ -181,7 +183,7 @@ def repeated(docs: DataFrame, n: int) -> DataFrame:
             many = times > 1
             return pa.RecordBatch.from_arrays([pa.array(values[starts[many]].view(np.int64)), pa.array(times[many].astype(np.int64))], names=["c", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 held.append(set_of(text, n))
                 size += len(held[-1])
@@ -249,7 +251,7 @@ def postings(docs: DataFrame, n: int, similarity: int, order: np.ndarray, bucket
             keys, columns = _cut(mix(gram + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets), gram, salt, name, number, own)
             return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *[pa.array(x, pa.binary()) for x in columns]], names=["bucket", "g", "s", "c", "n", "o"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 grams = set_of(text, n)
                 if len(grams):
@@ -362,6 +364,10 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], a: np.ndarray, b: np
         yield int(some_left[i]), int(some_right[j])
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(k, ROWS) for batch in batches for k in range(0, len(batch), ROWS))
+
+
 def packed48(grams: np.ndarray) -> bytes:
     """The upper 48 bits of each n-gram's hash."""
     return (grams >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -395,7 +401,7 @@ def products(rows: DataFrame, sets: DataFrame, similarity: int, test: Callable =
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for t, side, c, label, n, grams in zip(*[batch.column(k).to_pylist() for k in ("task", "side", "c", "label", "n", "grams")]):
                 if t != task:
                     if task is not None:
@@ -431,7 +437,7 @@ def chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(c, n, grams) of the wanted classes (row, c)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             names, sizes, found = [], [], []
             for text, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 grams = set_of(text, n)
