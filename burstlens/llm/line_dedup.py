@@ -5,7 +5,7 @@ match when the Jaccard similarity of their token sets is at least ``similarity``
 matches it; lines stand in order of document id (null first), hash of the text, line number. Rows with the same id and text count as one
 document.
 
-1. Lines with their tokens are written once to the shared folder. Lines of the same words are one class, placed where it comes first.
+1. Lines with their tokens are written once to the shared folder, and deleted when their postings are known. Lines of the same words are one class, placed where it comes first.
 2. Tokens are ordered by rarity: by how often the corpus holds their hash bucket (all lines counted, ``BUCKETS`` buckets), then by hash. A
    class posts its prefix, so many of its rarest tokens that two matching classes must share one.
 3. Each class meets the earliest class of each of its posting lists. Classes that this does not settle then meet every earlier
@@ -15,6 +15,7 @@ document.
 A class that is settled needs no further partner, so a group of near copies costs about one pair a member, and nothing is
 dropped for it. Copies of the commonest lines are left out before their tokens are posted (at most ``COMMON`` classes are known as such, a
 bound by definition); tokens of buckets beyond ``SALT`` are spread over several lists for the search of lists with two classes.
+Tokens are compared by 48-bit hashes, classes by 64-bit hashes of their words.
 
 Defined results: null and empty texts have one empty line, which stays; an empty table gives no rows; other columns are carried
 through ``dedup`` whatever their names.
@@ -25,12 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import hint_if_small, stage
+from ..session import discard, hint_if_small, scratch_path, stage
 from .quality import let, words_of
 
 SHINGLE = 5
 SIMILARITY = 75
 BUCKETS = 1 << 16
+MASK = (1 << 48) - 1
 COMMON = 100_000
 SALT = 1_000_000
 
@@ -40,49 +42,79 @@ def _document(id_col: str, text_col: str) -> list[Column]:
     return [F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), text.alias("t")]
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written and read again; hashes have no use for a dictionary, and as differences they take fewer bytes."""
+    df.write.options(**{"parquet.enable.dictionary": "false", "parquet.writer.version": "v2"}).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    return _written(df, scratch_path(df.sparkSession, name))
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def tokens(words: Column) -> Column:
-    """Hashes of the distinct runs of ``SHINGLE`` words; null below that."""
-    runs = let(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(SHINGLE))))))
-    return F.when(F.size(words) >= SHINGLE, runs)
+def line_words(line: Column) -> Column:
+    """Words of a line; the usual line is split at single blanks, which is faster than by a pattern."""
+    plain = F.array_remove(F.split(line, " "), "")
+    return F.when(line.rlike(r"[\t\x0B\x0C\r]"), words_of(line)).otherwise(plain)
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, line, c, n, sh): every line with a token, its class, and its tokens."""
-    one = docs.select(*_document(id_col, text_col)).select("id", "h", F.posexplode(_lines(F.col("t"))).alias("line", "s"))
-    built = let(words_of(F.lower("s")), lambda w: let(tokens(w), lambda x: F.struct(F.xxhash64(w).alias("c"), F.size(x).alias("n"), x.alias("sh"))))
-    return stage(one.select("id", "h", "line", built.alias("b")), "lines").where("b.n > 0").select("id", "h", "line", "b.c", "b.n", "b.sh")
+def tokens(words: Column) -> Column:
+    """48-bit hashes of the distinct runs of ``SHINGLE`` words; null below that."""
+    run = lambda x, i: F.xxhash64(x, *[F.get(words, i + k) for k in range(1, SHINGLE)]).bitwiseAND(F.lit(MASK))
+    return F.when(F.size(words) >= SHINGLE, F.array_distinct(F.slice(F.transform(words, run), F.lit(1), F.size(words) - (SHINGLE - 1))))
 
 
-def bucket(token: Column) -> Column:
-    return F.shiftrightunsigned(token, 64 - BUCKETS.bit_length() + 1)
+def lines(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, line, c, n, sh): every line with a token, its class, and its tokens; written to ``path``."""
+    one = docs.select(*_document(id_col, text_col)).select("id", "h", F.posexplode(_lines(F.col("t"))).alias("line", "s"))
+    built = let(line_words(F.lower("s")), lambda w: let(tokens(w), lambda x: F.struct(F.xxhash64(w).alias("c"), F.size(x).alias("n"), x.alias("sh"))))
+    return _written(one.select("id", "h", "line", built.alias("b")), path).where("b.n > 0").select("id", "h", "line", "b.c", "b.n", "b.sh")
 
 
-def bucket_counts(held: DataFrame) -> Column:
-    """Tokens per bucket over all lines, as a constant array: ``BUCKETS`` numbers whatever the corpus."""
-    counts = held.select(F.explode("sh").alias("t")).groupBy(bucket(F.col("t")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+def bucket_counts(held: DataFrame) -> list[int]:
+    """Tokens per bucket (the first 16 bits) over all lines: ``BUCKETS`` numbers whatever the corpus."""
+    counts = held.select(F.explode("sh").alias("t")).groupBy(F.shiftrightunsigned("t", 32).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     out = [0] * BUCKETS
     for r in counts.toLocalIterator():
         out[r["k"]] = r["n"]
-    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<bigint>")
+    return out
+
+
+def _constant(numbers: list[int], kind: str) -> Column:
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
 
 
 def prefix_size(n: Column, similarity: int) -> Column:
     return (n - F.ceil(n * similarity / 100) + 1).cast("int")
 
 
-def postings(held: DataFrame, counts: Column, similarity: int) -> DataFrame:
-    """(t, c, n, pos) of the prefixes, for tokens that two classes post."""
-    ordered = F.sort_array(F.transform("sh", lambda t: F.struct(F.get(counts, bucket(t).cast("int")).alias("k"), t.alias("t"))))
-    rows = held.select("c", "n", F.posexplode(F.slice(ordered, F.lit(1), prefix_size(F.col("n"), similarity))).alias("pos", "x"))
-    salt = F.pmod(F.col("c"), F.floor(F.col("x.k") / SALT) + 1)
-    rows = rows.select(F.col("x.t").alias("t"), salt.alias("s"), F.col("x.k").alias("k"), "c", "n", "pos")
+def postings(held: DataFrame, counts: list[int], similarity: int) -> DataFrame:
+    """(t, c, pos) of the prefixes, for tokens that two classes post; places beyond 32,767 stand as that, a weaker bound.
+
+    A token's bucket is replaced by the bucket's rank by count, so that the tokens' own order is that of rarity.
+    """
+    order = sorted(range(BUCKETS), key=lambda k: (counts[k], k))
+    rank = [0] * BUCKETS
+    for place, k in enumerate(order):
+        rank[k] = place
+    ranks, lists = _constant(rank, "bigint"), _constant([counts[k] // SALT for k in order], "bigint")
+    ranked = lambda t: F.shiftleft(F.get(ranks, F.shiftrightunsigned(t, 32).cast("int")), 32).bitwiseOR(t.bitwiseAND(F.lit((1 << 32) - 1)))
+    ordered = F.slice(F.sort_array(F.transform("sh", ranked)), F.lit(1), prefix_size(F.col("n"), similarity))
+    place = F.least("pos", F.lit((1 << 15) - 1)).cast("long")
+    # what is shuffled is two numbers a posting: place (16 bits) and token, and class
+    rows = held.select("c", F.posexplode(ordered).alias("pos", "t")).select(F.shiftleft(place, 48).bitwiseOR(F.col("t")).alias("u"), "c")
+    token = F.col("u").bitwiseAND(F.lit(MASK))
+    more = F.get(lists, F.shiftrightunsigned(token, 32).cast("int"))
+    # 0, or below 0 the list of a token that has several
+    part = F.when(more > 0, -1 - F.pmod("c", more + 1)).otherwise(0)
+    dealt = rows.repartition(token, part).select(token.alias("t"), part.alias("s"), "c", F.shiftright("u", 48).cast("int").alias("pos"))
     over = "over (partition by t, s)"
     # with several lists a token, a list of one class may have partners in another
-    return rows.selectExpr("t", "c", "n", "pos", f"min(c) {over} <> max(c) {over} or k >= {SALT} as many").where("many").drop("many").distinct()
+    return dealt.selectExpr("t", "c", "pos", f"s < 0 or min(c) {over} <> max(c) {over} as many").where("many").drop("many").distinct()
 
 
 def _may_match(similarity: int) -> Column:
@@ -92,13 +124,13 @@ def _may_match(similarity: int) -> Column:
     return (100 * F.least(n, m) >= similarity * F.greatest(n, m)) & (F.least(n - F.col("x.pos"), m - F.col("y.pos")) >= least)
 
 
-def matches(pairs: DataFrame, first: DataFrame, held: DataFrame, similarity: int) -> DataFrame:
-    """Classes ``x`` of those pairs (x, y) that match, by their whole token sets."""
+def matches(pairs: DataFrame, first: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
+    """Classes ``x`` of those pairs (x, y) that match, by their whole token sets; these are taken from the texts (id, h, t) again."""
     pairs = stage(pairs, "pairs")
     wanted = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct().join(first, "c").select("c", "first.*")
     at = hint_if_small(stage(wanted, "wanted"))
-    same = held["h"].eqNullSafe(at["h"]) & held["line"].eqNullSafe(at["line"]) & held["id"].eqNullSafe(at["id"]) & (held["c"] == at["c"])
-    sets = stage(held.join(at, same).select(held["c"], held["sh"]).dropDuplicates(["c"]), "sets")
+    found = texts.join(at, (texts["h"] == at["h"]) & texts["id"].eqNullSafe(at["id"])).select("c", F.get(_lines(F.col("t")), F.col("line")).alias("s"))
+    sets = stage(found.dropDuplicates(["c"]).select("c", let(line_words(F.lower("s")), tokens).alias("sh")), "sets")
     both = pairs.join(sets.select(F.col("c").alias("x"), F.col("sh").alias("a")), "x").join(sets.select(F.col("c").alias("y"), F.col("sh").alias("b")), "y")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(100 * shared >= similarity * (F.size("a") + F.size("b") - shared)).select("x").distinct()
@@ -106,26 +138,31 @@ def matches(pairs: DataFrame, first: DataFrame, held: DataFrame, similarity: int
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """(id, h, removed): per document with removed lines their numbers from 0; ``h`` is the hash of its text."""
-    held = lines(docs, id_col, text_col)
+    path = scratch_path(docs.sparkSession, "lines")
+    held = lines(docs, path, id_col, text_col)
+    places = _staged(held.select("id", "h", "line", "c"), "places")
     place = F.struct("id", "h", "line")
-    classes = stage(held.groupBy("c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = _staged(held.groupBy("c").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
     first = classes.select("c", "first")
     total = classes.agg(F.sum("copies")).first()[0] or 0
     # fewer than COMMON classes can have more than this share of the lines
     common = F.broadcast(classes.where(F.col("copies") > total / COMMON).select(F.col("c").alias("cc"), F.col("first").alias("at")))
     alone = held.join(common, F.col("c") == F.col("cc"), "left").where(F.col("cc").isNull() | (place == F.col("at")))
-    lists = stage(postings(alone.select("c", "n", "sh"), bucket_counts(held), similarity).join(first, "c"), "postings")
+    posted = _staged(postings(alone.select("c", "n", "sh"), bucket_counts(held), similarity), "postings")
+    discard(docs.sparkSession, path)
+    lists = _staged(posted.join(classes.select("c", "first", "n"), "c"), "lists")
 
+    texts = docs.select(*_document(id_col, text_col))
     rank = F.struct("first", "c", "n", "pos")
     pivots = lists.groupBy("t").agg(F.min(rank).alias("y")).select("t", "y.*")
     pair = F.col("x.c").alias("x"), F.col("y.c").alias("y")
     near = lists.alias("x").join(pivots.alias("y"), "t").where((F.col("x.c") != F.col("y.c")) & _may_match(similarity)).select(*pair).distinct()
-    settled = stage(matches(near, first, held, similarity), "settled")
+    settled = stage(matches(near, first, texts, similarity), "settled")
     open_ = lists.join(settled.withColumnRenamed("x", "c"), "c", "left_anti")
     rest = open_.alias("x").join(lists.alias("y"), "t").where((F.col("y.first") < F.col("x.first")) & _may_match(similarity)).select(*pair).distinct()
-    later = settled.union(matches(rest, first, held, similarity)).distinct().select(F.col("x").alias("c"), F.lit(True).alias("gone"))
+    later = settled.union(matches(rest, first, texts, similarity)).distinct().select(F.col("x").alias("c"), F.lit(True).alias("gone"))
 
-    judged = held.select("id", "h", "line", "c").join(first.join(later, "c", "left"), "c")
+    judged = places.join(first.join(later, "c", "left"), "c")
     gone = judged.where(F.col("gone") | (place != F.col("first")))
     return stage(gone.groupBy("id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
 
