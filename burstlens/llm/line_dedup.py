@@ -1,7 +1,8 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its distinct runs of ``SHINGLE`` words (lower case); a line with fewer words has none, matches nothing and stays. Two lines
-match when the Jaccard similarity of their token sets is at least ``similarity`` per cent. A line is removed when an earlier line
+A line's tokens are its distinct runs of ``SHINGLE`` words (lower case). With ``short``, as the queries ask, a line with fewer words has
+one token, its whole word sequence: lines with the same token are the same class, so it needs no posting to be found; without, such a
+line has none, matches nothing and stays. A line without words always stays. Two lines match when the Jaccard similarity of their token sets is at least ``similarity`` per cent. A line is removed when an earlier line
 matches it; lines stand in order of document id (null first), hash of the text, line number. Rows with the same id and text count as one
 document.
 
@@ -68,10 +69,12 @@ def tokens(words: Column) -> Column:
     return F.when(F.size(words) >= SHINGLE, F.array_distinct(F.slice(F.transform(words, run), F.lit(1), F.size(words) - (SHINGLE - 1))))
 
 
-def lines(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, line, c, n, sh): every line with a token, its class, and its tokens; written to ``path``."""
+def lines(docs: DataFrame, path: str, id_col: str, text_col: str, short: bool) -> DataFrame:
+    """(id, h, line, c, n, sh): every line with a token, its class, and the tokens it may share with another class; written to ``path``."""
     one = docs.select(*_document(id_col, text_col)).select("id", "h", F.posexplode(_lines(F.col("t"))).alias("line", "s"))
-    built = let(line_words(F.lower("s")), lambda w: let(tokens(w), lambda x: F.struct(F.xxhash64(w).alias("c"), F.size(x).alias("n"), x.alias("sh"))))
+    least = 1 if short else SHINGLE
+    built = let(line_words(F.lower("s")), lambda w: let(tokens(w), lambda x: F.struct(
+        F.when(F.size(w) >= least, F.xxhash64(w)).alias("c"), F.when(F.size(w) >= least, F.coalesce(F.size(x), F.lit(1))).alias("n"), x.alias("sh"))))
     return _written(one.select("id", "h", "line", built.alias("b")), path).where("b.n > 0").select("id", "h", "line", "b.c", "b.n", "b.sh")
 
 
@@ -136,10 +139,10 @@ def matches(pairs: DataFrame, first: DataFrame, texts: DataFrame, similarity: in
     return both.where(100 * shared >= similarity * (F.size("a") + F.size("b") - shared)).select("x").distinct()
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, short: bool = False) -> DataFrame:
     """(id, h, removed): per document with removed lines their numbers from 0; ``h`` is the hash of its text."""
     path = scratch_path(docs.sparkSession, "lines")
-    held = lines(docs, path, id_col, text_col)
+    held = lines(docs, path, id_col, text_col, short)
     places = _staged(held.select("id", "h", "line", "c"), "places")
     place = F.struct("id", "h", "line")
     classes = _staged(held.groupBy("c").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -147,7 +150,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = classes.agg(F.sum("copies")).first()[0] or 0
     # fewer than COMMON classes can have more than this share of the lines
     common = F.broadcast(classes.where(F.col("copies") > total / COMMON).select(F.col("c").alias("cc"), F.col("first").alias("at")))
-    alone = held.join(common, F.col("c") == F.col("cc"), "left").where(F.col("cc").isNull() | (place == F.col("at")))
+    alone = held.where("sh is not null").join(common, F.col("c") == F.col("cc"), "left").where(F.col("cc").isNull() | (place == F.col("at")))
     posted = _staged(postings(alone.select("c", "n", "sh"), bucket_counts(held), similarity), "postings")
     discard(docs.sparkSession, path)
     lists = _staged(posted.join(classes.select("c", "first", "n"), "c"), "lists")
@@ -167,10 +170,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return stage(gone.groupBy("id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, emptied: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, emptied: bool = True, short: bool = False) -> DataFrame:
     """``docs`` without the removed lines. ``emptied=False`` leaves out rows that lose their last word that way."""
     names = docs.columns
-    gone = removed_lines(docs, id_col, text_col, similarity)
+    gone = removed_lines(docs, id_col, text_col, similarity, short)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *_document(id_col, text_col))
     both = rows.join(gone, rows["id"].eqNullSafe(gone["id"]) & (rows["h"] == gone["h"]), "left").select("row", "t", "removed")
     kept = let(_lines(F.col("t")), lambda x: F.array_join(F.transform(
@@ -181,9 +184,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     return both.select(*[(F.col("t") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in names])
 
 
-def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
+def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, short: bool = False) -> DataFrame:
     """Per row: id, n_lines, n_removed, and the numbers of the removed lines; the texts themselves are not shuffled."""
-    gone = removed_lines(docs, id_col, text_col, similarity)
+    gone = removed_lines(docs, id_col, text_col, similarity, short)
     rows = docs.select(*_document(id_col, text_col)).select("id", "h", F.size(_lines(F.col("t"))).cast("long").alias("n_lines"))
     both = rows.join(gone, rows["id"].eqNullSafe(gone["id"]) & (rows["h"] == gone["h"]), "left")
     return both.select(rows["id"].alias(id_col), "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

@@ -152,4 +152,4 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_counts(table(spark, sf_dir, "documents"))
+    return line_dedup.line_counts(table(spark, sf_dir, "documents"), short=True)

@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier line matches; those without any word left go. ``n_chars`` follows the text."""
-    rows = line_dedup.dedup(docs, emptied=False)
+    rows = line_dedup.dedup(docs, emptied=False, short=True)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 

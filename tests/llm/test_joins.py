@@ -87,3 +87,45 @@ def test_texts_without_removed_lines(spark):
     assert got.columns == docs.columns and sorted(map(tuple, got.select("doc_id", "text").collect()), key=repr) == sorted(left, key=repr)
     full = line_dedup.dedup(docs, emptied=False)
     assert full.count() == sum(not want[d, t or ""] or bool(x.strip()) for (d, t), (_, x) in zip(rows, left))
+
+
+def restated_short(rows):
+    """As ``restated``, with a line of 1 to 4 words as one whole sequence; lines without words stay."""
+    seen, out = [], {}
+    for d, t in sorted({(d, t or "") for d, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
+        out[d, t] = []
+        for i, line in enumerate(t.split("\n")):
+            s = sets(line.lower())
+            if any(similar(s, x) for x in seen):
+                out[d, t].append(i)
+            seen.append(s)
+    return out
+
+
+def short_rows():
+    again = ["All rights reserved.", "  all rights\treserved. ", "reserved. rights all", "one", "One", "two two", "two", "a b c d", "a b c d e", "", " "]
+    return line_rows() + [(500 + i, "\n".join(again[i % 3 :])) for i in range(6)] + [(600, "all rights reserved."), (601, "a b c d")]
+
+
+@pytest.mark.parametrize("limits", [{}, {"SALT": 2, "COMMON": 20}])
+def test_copies_of_short_lines_go(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    rows = short_rows()
+    want = restated_short(rows)
+    docs = frame(spark, rows)
+    assert want[600, "all rights reserved."] == [0] and want[505, short_rows()[-3][1]]
+    got = [(r.doc_id, r.n_removed, list(r.removed)) for r in line_dedup.line_counts(docs, short=True).collect()]
+    assert sorted(got) == sorted((d, len(want[d, t or ""]), want[d, t or ""]) for d, t in rows)
+    left = {r.doc_id for r in line_dedup.dedup(docs, emptied=False, short=True).collect()}
+    assert not left & {600, 601} and 500 in left
+
+
+def test_queries_remove_copies_of_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from burstlens.llm.queries import op3_line_dedup
+
+    docs = spark.createDataFrame([(1, "all rights reserved."), (2, "x\nAll rights reserved."), (3, "all rights reserved.")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.removed for r in op3_line_dedup(spark, str(tmp_path)).collect()} == {1: [], 2: [1], 3: [0]}
+    assert {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)).collect()} == {1: "all rights reserved.", 2: "x"}
