@@ -1,10 +1,11 @@
 """Main text of pages by differencing each page with its nearest neighbours in url order.
 
 A page is cut into lines at block tags. Within a host, pages stand in order of path, then id; a page is paired with the one
-before and the one after it, the lines of the pair are aligned by longest common subsequence, and shared lines are deleted. Two
-cases that differencing cannot tell are settled by markup afterwards: lines inside ``article`` or ``main`` stay though a neighbour has
-them too (copies of an article, a repeated sentence), and lines in marked menus, headers, footers, sidebars, notices,
-adverts, forms and comments go though no neighbour has them. Where a page marks its article, unmarked lines outside go too.
+before and the one after it, the lines of the pair are aligned by longest common subsequence, and shared lines are deleted, inside
+``article`` and ``main`` too. What differencing cannot tell is settled by markup: a marked text of which ``COPY`` or more is shared is a
+copy and stays whole; lines in marked menus, headers, footers, sidebars, notices, adverts, forms and comments go though no
+neighbour has them; and where a page marks its article, unmarked lines outside go too, unless the page has no ``main`` and they are longer
+than its longest ``article``: then its articles are teasers, and all unshared lines stay.
 
 Pages are dealt out by slices of the (host, path, id) order, each of about ``SLICE_PAGES`` pages whatever the size of a host; the
 first and last page of a slice are also sent to the neighbouring slice, so every page meets its true neighbours. Slice
@@ -35,7 +36,11 @@ SLICE_PAGES = 2_000
 # Cells of the alignment held at once; larger pairs are halved first.
 ALIGN_CELLS = 1 << 28
 
-KEEP, OPEN, DROP = 2, 1, 0
+# Share of the characters of a marked text that makes it a copy, as near copies are told elsewhere.
+COPY = 0.75
+
+# Outermost ``article`` elements outside ``main`` have the zones from CARD on, each its own among its neighbours.
+CARD, KEEP, OPEN, DROP = 3, 2, 1, 0
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--|<[!?][^>]*>?""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.IGNORECASE) for t in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "select", "object")}
@@ -55,16 +60,18 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 def zone_of(tag: str, attributes: str, inside: int) -> int:
     """The zone of an element that stands in the zone ``inside``."""
-    if inside == DROP or tag in DROPPED or tag == "header" and inside != KEEP:
+    if inside == DROP or tag in DROPPED or tag == "header" and inside < KEEP:
         return DROP
     if attributes and "=" in attributes or "hidden" in attributes:
         named = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
         words = {w.lower() for k in ("class", "id", "role") for w in WORD.findall(named.get(k, ""))}
         if tag not in ("html", "body") and (words & DROPPED_WORDS or re.search(r"(?:^|\s)hidden(?=[\s/=]|$)", attributes)):
             return DROP
-        if named.get("role", "").lower() in KEPT or named.get("itemprop", "").lower() in KEPT_WORDS:
+        role = named.get("role", "").lower()
+        if named.get("itemprop", "").lower() in KEPT_WORDS:
             return KEEP
-    return KEEP if tag in KEPT else inside
+        tag = role if role in KEPT and tag != "main" else tag
+    return KEEP if tag == "main" else CARD if tag == "article" and inside == OPEN else inside
 
 
 def lines_of(page: str | None) -> list[tuple[int, str]]:
@@ -74,7 +81,7 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
     text: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements and the zone outside each
     opened: dict[str, int] = {}
-    zone, at, end = OPEN, 0, len(page)
+    zone, at, end, cards = OPEN, 0, len(page), 0
 
     def flush() -> None:
         if text:
@@ -131,6 +138,8 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
         if name in OPTIONAL_END and stack and stack[-1][0] == name:
             zone = close(name)
         new = zone_of(name, attributes, zone)
+        if new == CARD and zone == OPEN:
+            new, cards = CARD + cards % 100, cards + 1
         if name in OPTIONAL_END and new == zone:
             continue
         if new != zone:
@@ -200,9 +209,18 @@ def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def main_text(zones: list[int], lines: list[str], shared: set[int]) -> str:
-    """The lines that stay: marked article, else unmarked lines that no neighbour shares."""
-    marked = KEEP in zones
-    return " ".join(x for i, (z, x) in enumerate(zip(zones, lines)) if z == KEEP or z == OPEN and not marked and i not in shared)
+    """The lines that stay: marked article, unless it is only teasers or shared in part, else unmarked lines that no neighbour shares."""
+    size: dict[int, int] = {}
+    for z, x in zip(zones, lines):
+        size[z] = size.get(z, 0) + len(x)
+    marked = {z for z in size if z >= KEEP}
+    rest = sum(len(x) for i, (z, x) in enumerate(zip(zones, lines)) if z == OPEN and i not in shared)
+    if not marked or KEEP not in marked and rest > max(size[z] for z in marked):
+        stays, copy = marked | {OPEN}, False
+    else:
+        found = sum(len(x) for i, (z, x) in enumerate(zip(zones, lines)) if z in marked and i in shared)
+        stays, copy = marked, found >= COPY * sum(size[z] for z in marked)
+    return " ".join(x for i, (z, x) in enumerate(zip(zones, lines)) if z in stays and (copy or i not in shared))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, set[int]]]:

@@ -67,3 +67,23 @@ def test_differencing(spark, monkeypatch, size):
     assert len(got) == 62 and got[100] == "alone" and got[101] == ""
     assert {k: v for k, v in got.items() if k < 100} == dict(restated(pages))
     assert page_text.extract(table.limit(0)).count() == 0
+
+
+def whole(spark, bodies):
+    """Texts of pages of one host, in url order."""
+    rows = [(i, f"http://a.org/{i:02}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    got = page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [t for _, t in sorted((r.page_id, r.text) for r in got)]
+
+
+def test_differencing_counts_on_marked_pages(spark):
+    boiler = whole(spark, [f"<main><p>Support our work today</p><p>Story {i} as it was told</p><p>Read more below</p></main>" for i in range(3)])
+    assert boiler == [f"Story {i} as it was told" for i in range(3)]
+    cards = "".join(f"<article><h2>Card {k}</h2><p>teaser {k}</p></article>" for k in range(5))
+    teased = whole(spark, [f"<div>Site</div><div><p>{f'Main text of {i}. ' * 2}</p></div>{cards}" for i in range(3)])
+    assert teased == [" ".join(f"Main text of {i}. Main text of {i}.".split()) for i in range(3)]
+    copies = whole(spark, [f"<p>Page {i}</p><article><p>The very same story</p><p>told twice</p></article>" for i in range(2)])
+    assert copies == ["The very same story told twice"] * 2
+    alone = whole(spark, [f"<p>{'Own text ' * 9}</p><article>card one</article><article>card two</article>"])
+    assert alone == ["Own text " * 9 + "card one card two"]
+    assert text_of("<article>One</article><article>Two</article><p>ad") == "One Two"
