@@ -7,6 +7,10 @@ copy and stays whole; lines in marked menus, headers, footers, sidebars, notices
 neighbour has them; and where a page marks its article, unmarked lines outside go too, unless the page has no ``main`` and they are longer
 than its longest ``article``: then its articles are teasers, and all unshared lines stay.
 
+Words of class, id and role mark an element as not the article, but such a wrapper may hold it: ``main`` below a wrapper counts as anywhere, an
+``article`` below it when it is longer than any marked text outside wrappers (else than the unmarked lines, which stay then too), and an
+``article`` or ``main`` is never dropped by its own words. A page that is wrappers throughout keeps its unshared lines.
+
 Pages are dealt out by slices of the (host, path, id) order, each of about ``SLICE_PAGES`` pages whatever the size of a host; the
 first and last page of a slice are also sent to the neighbouring slice, so every page meets its true neighbours. Slice
 borders come from the urls alone. The page text is shuffled once.
@@ -41,6 +45,8 @@ COPY = 0.75
 
 # Outermost ``article`` elements outside ``main`` have the zones from CARD on, each its own among its neighbours.
 CARD, KEEP, OPEN, DROP = 3, 2, 1, 0
+# Below wrappers that their words mark, and ``article`` elements there, numbered downwards from HELD.
+WRAP, HELD = -1, -2
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--|<[!?][^>]*>?""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.IGNORECASE) for t in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "select", "object")}
@@ -60,18 +66,20 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 def zone_of(tag: str, attributes: str, inside: int) -> int:
     """The zone of an element that stands in the zone ``inside``."""
-    if inside == DROP or tag in DROPPED or tag == "header" and inside < KEEP:
+    if inside == DROP or tag in DROPPED or tag == "header" and inside in (OPEN, WRAP):
         return DROP
     if attributes and "=" in attributes or "hidden" in attributes:
         named = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
         words = {w.lower() for k in ("class", "id", "role") for w in WORD.findall(named.get(k, ""))}
-        if tag not in ("html", "body") and (words & DROPPED_WORDS or re.search(r"(?:^|\s)hidden(?=[\s/=]|$)", attributes)):
+        if tag not in ("html", "body") and re.search(r"(?:^|\s)hidden(?=[\s/=]|$)", attributes):
             return DROP
         role = named.get("role", "").lower()
         if named.get("itemprop", "").lower() in KEPT_WORDS:
             return KEEP
         tag = role if role in KEPT and tag != "main" else tag
-    return KEEP if tag == "main" else CARD if tag == "article" and inside == OPEN else inside
+        if words & DROPPED_WORDS and tag not in ("html", "body", *KEPT):
+            return WRAP
+    return KEEP if tag == "main" else {OPEN: CARD, WRAP: HELD}.get(inside, inside) if tag == "article" else inside
 
 
 def lines_of(page: str | None) -> list[tuple[int, str]]:
@@ -140,6 +148,8 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
         new = zone_of(name, attributes, zone)
         if new == CARD and zone == OPEN:
             new, cards = CARD + cards % 100, cards + 1
+        elif new == HELD and zone == WRAP:
+            new, cards = HELD - cards % 100, cards + 1
         if name in OPTIONAL_END and new == zone:
             continue
         if new != zone:
@@ -211,16 +221,21 @@ def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 def main_text(zones: list[int], lines: list[str], shared: set[int]) -> str:
     """The lines that stay: marked article, unless it is only teasers or shared in part, else unmarked lines that no neighbour shares."""
     size: dict[int, int] = {}
-    for z, x in zip(zones, lines):
+    own: dict[int, int] = {}  # characters that no neighbour shares
+    for i, (z, x) in enumerate(zip(zones, lines)):
         size[z] = size.get(z, 0) + len(x)
-    marked = {z for z in size if z >= KEEP}
-    rest = sum(len(x) for i, (z, x) in enumerate(zip(zones, lines)) if z == OPEN and i not in shared)
-    if not marked or KEEP not in marked and rest > max(size[z] for z in marked):
-        stays, copy = marked | {OPEN}, False
-    else:
-        found = sum(len(x) for i, (z, x) in enumerate(zip(zones, lines)) if z in marked and i in shared)
-        stays, copy = marked, found >= COPY * sum(size[z] for z in marked)
-    return " ".join(x for i, (z, x) in enumerate(zip(zones, lines)) if z in stays and (copy or i not in shared))
+        own[z] = own.get(z, 0) + (0 if i in shared else len(x))
+    rest = own.get(OPEN, 0)
+    plain = {z for z in size if z >= KEEP}
+    held = {z for z in size if z <= HELD}
+    longest = max((size[z] for z in plain), default=rest)
+    marked = plain | held if max((size[z] for z in held), default=0) > longest else plain
+    if not marked and OPEN not in size:
+        marked = {WRAP} & set(size)
+    teasers = KEEP not in marked and rest > max((size[z] for z in marked), default=0)
+    copy = not teasers and WRAP not in marked and sum(own[z] for z in marked) <= (1 - COPY) * sum(size[z] for z in marked)
+    loose = teasers or not plain  # unmarked lines count
+    return " ".join(x for i, (z, x) in enumerate(zip(zones, lines)) if z in marked and copy or i not in shared and (z in marked or z == OPEN and loose))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, set[int]]]:

@@ -87,3 +87,18 @@ def test_differencing_counts_on_marked_pages(spark):
     alone = whole(spark, [f"<p>{'Own text ' * 9}</p><article>card one</article><article>card two</article>"])
     assert alone == ["Own text " * 9 + "card one card two"]
     assert text_of("<article>One</article><article>Two</article><p>ad") == "One Two"
+
+
+def test_wrappers_hold_the_article():
+    for wrapped in ("<div class='content-sidebar-wrap'><main>{}</main><div class=sidebar>no</div></div>", "<div class='has-sidebar'><article>{}</article></div>",
+                    "<article class='post comments-open'>{}</article>", "<div id='search-results'><nav>no</nav><article>{}</article></div>",
+                    "<main class='widget'><article class='related-post'>{}</article></main>", "<div class='has-sidebar'><p>{}</p></div>",
+                    "<main><div class='content-sidebar-wrap'><article>{}</article><p>no</p></div></main>"):
+        assert text_of("<header>no</header>" + wrapped.format("<p>the whole</p><p>story</p>") + "<footer>no</footer>") == "the whole story", wrapped
+    story = "<article><p>the whole story of it</p><div class='ad'>no</div></article>"
+    assert text_of(story + "<div id=comments><article class=comment>a comment</article></div>") == "the whole story of it"
+    assert text_of("<div class='has-sidebar' hidden><article>no</article></div><aside class=ad><article>no</article></aside><p>yes") == "yes"
+    assert text_of("<p>yes</p><div class=ad>no</div>") == "yes"
+    assert text_of("<p>the text</p><div id=comments><article class=comment>first</article></div>") == "the text"
+    cards = "".join(f"<article>card {k}</article>" for k in range(5))
+    assert text_of(f"<div class='has-sidebar'>{story}</div>{cards}").startswith("the whole story of it")
