@@ -11,19 +11,31 @@ from table_queries.captures import WHITELIST, _PACKETS, _parsed_columns, written
 from table_queries.registry import query
 
 
-FILES = 4
+SLICES = 4
+ROWS_A_FILE = 1_000_000
 
 
-def _events(spark, sf):
-    """The events in order of time, arriving in four files, one a batch."""
-    e = table(spark, sf, "events").withColumn("_us", micros(F.col("ts")))
-    cuts = e.agg(F.percentile("_us", [i / FILES for i in range(1, FILES)])).first()[0]
+def _arriving(spark, e):
+    """Folder of ``e`` in slices of time, and the files of each slice: a number that grows with the rows and is the same for all."""
+    quarters = e.agg(F.percentile_approx("_us", [i / SLICES for i in range(1, SLICES)]), F.count(F.lit(1)))
+    cuts, rows = quarters.first()
+    files = max(1, -(-rows // (SLICES * ROWS_A_FILE)))
     path = scratch_path(spark, "arriving")
-    for low, high in zip([None, *cuts], [*cuts, None]):
+    cuts = cuts or []
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None]), 1):
         part = e if low is None else e.where(F.col("_us") > low)
         part = part if high is None else part.where(F.col("_us") <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    s = jobs.read_table_stream(spark, path, glob="*.parquet", files_per_batch=1)
+        part.repartition(files).write.mode("append").parquet(path)
+        # a part without rows makes no file; a batch must hold one slice and nothing of the next
+        for _ in range(k * files - len(spark.read.parquet(path).inputFiles())):
+            e.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return path, files
+
+
+def _events(spark, sf):
+    """The events in order of time, arriving in four slices, one a batch."""
+    path, files = _arriving(spark, table(spark, sf, "events").withColumn("_us", micros(F.col("ts"))))
+    s = jobs.read_table_stream(spark, path, glob="*.parquet", files_per_batch=files)
     return s.select(
         "event_id", "user_id", "event_type", "value", F.timestamp_micros("_us").alias("at"), F.floor("value").cast("long").alias("size"))
 

@@ -102,3 +102,22 @@ def test_parse_arriving_captures(spark, tmp_path):
 def test_gap_labels_are_total(spark):
     df = spark.createDataFrame([(None,), (0.0,), (5.0,)], "g double")
     assert [r[0] for r in df.select(labels.gap_state(F.col("g"))).collect()] == [None, "GAP_0_10ms", "GAP_GT_1s"]
+
+
+def test_arriving_slices_grow_in_files(spark, monkeypatch):
+    import check_queries
+    from table_queries import load, streams
+
+    folder, registry = "/root/testdata/sf0.001", load()
+    monkeypatch.setattr(streams, "ROWS_A_FILE", 60)
+    e = spark.read.parquet(f"{folder}/events.parquet").withColumn("_us", streams.micros(F.col("ts")))
+    path, files = streams._arriving(spark, e)
+    assert files > 1 and len(spark.read.parquet(path).inputFiles()) == 4 * files
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == e.count() and max(sizes) <= 120
+    con = check_queries.database(folder)
+    for name in ("stream_flowlets", "stream_chart"):
+        assert check_queries.compare(spark, con, folder, name, registry.QUERIES[name], registry.SQL[name]).startswith("ok")
+    same_time = spark.range(500).select("id", F.lit(7).cast("long").alias("_us"))
+    path, files = streams._arriving(spark, same_time)
+    assert len(spark.read.parquet(path).inputFiles()) == 4 * files and spark.read.parquet(path).count() == 500
