@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, line_dedup, packing, page_text, pii, quality, secret_scan, spans, urls
+from . import decontaminate, jaccard, language, line_dedup, merkle, packing, page_text, pii, quality, secret_scan, spans, urls
 from .registry import QUERIES, SQL, query, sha256, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -153,3 +153,54 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_counts(table(spark, sf_dir, "documents"), short=True)
+
+
+# CRC-32 of a short ASCII text, bit by bit: a byte is xored in, each -1 shifts once.
+CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split({0}, ''),
+  lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """Tables of runs (``{name}r0`` ...) and the roots of the trees in ``{name}n0`` (s, p, m, h)."""
+    steps = [f"""{name}r{k} AS (SELECT s, p // 16 AS p, m, string_agg(h, '' ORDER BY p) AS run FROM {name}n{k} GROUP BY s, p // 16, m),
+{name}n{k + 1} AS (SELECT s, p, (m + 15) // 16 AS m, CASE WHEN m > 1 THEN sha256(run) ELSE run END AS h FROM {name}r{k})""" for k in range(levels)]
+    return ",\n".join(steps)
+
+
+def _climb_sql(name: str, levels: int) -> str:
+    """Each row of ``{name}c0`` (r, s, p, f, o) brought up level by level: its folded node and the siblings passed."""
+    others = "left(run, 64 * (c.p % 16)) || {} || substr(run, 64 * (c.p % 16) + 65)"
+    steps = [f"""{name}c{k + 1} AS (SELECT r, s, c.p // 16 AS p, CASE WHEN m > 1 THEN sha256({others.format('f')}) ELSE f END AS f,
+  CASE WHEN m > 1 THEN o || {others.format("''")} ELSE o END AS o FROM {name}c{k} c JOIN {name}r{k} t USING (s) WHERE t.p = c.p // 16)""" for k in range(levels)]
+    return ",\n".join(steps)
+
+
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || {value} END"
+
+
+# Written out for groups of up to 16 ** 6 rows and 16 ** 4 groups.
+OP13_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '-') AS s, sha256({" || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {CRC_SQL.format("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN
+      sha256({" || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")))}) END AS claim
+  FROM documents
+), x AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY s) AS m FROM d),
+an0 AS (SELECT s, p, m, leaf AS h FROM x),
+{_tree_sql("a", 6)},
+bn0 AS (SELECT '' AS s, row_number() OVER (ORDER BY s) - 1 AS p, count(*) OVER () AS m, h, s AS name FROM an6),
+{_tree_sql("b", 4)},
+ac0 AS (SELECT r, s, p, coalesce(claim, leaf) AS f, '' AS o FROM x),
+{_climb_sql("a", 6)},
+bc0 AS (SELECT r, '' AS s, n.p, f, o FROM ac6 c JOIN bn0 n ON c.s = n.name),
+{_climb_sql("b", 4)}
+SELECT doc_id, leaf, t.h AS subroot, root.h AS root, sha256(o) AS proof_sha256, f AS folded_root, f = root.h AS verified
+FROM x JOIN bc4 USING (r) JOIN an6 t ON t.s = x.s CROSS JOIN bn4 root
+"""
+
+
+@query(OP13_SQL)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
