@@ -17,6 +17,15 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(LOWER)
 
 
+# Letters and digits of ASCII with A-Z as a-z and the bytes of all other characters stay; the rest becomes a blank.
+PLAIN_BYTES = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256))
+
+
+def plain_words(text: str) -> list[bytes]:
+    """The words of ``PLAIN`` in the ASCII-lower-cased text, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(PLAIN_BYTES).split()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
