@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, lexical, line_dedup, merkle, packing, page_text, pii, quality, secret_scan, spans, urls
+from . import decontaminate, jaccard, language, lexical, line_dedup, merkle, packing, page_text, pii, quality, secret_scan, spans, toxicity, urls
 from .registry import QUERIES, SQL, query, sha256, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -231,3 +231,8 @@ FROM s WHERE score > 0 QUALIFY rank <= 10
 @query(OP11_SQL)
 def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
