@@ -13,12 +13,13 @@ by the same rule, in groups of the same size.
 
 Defined results: null and empty texts are one piece of one token (the end id); equal documents are packed one by one; repeated
 ids are separate documents; an empty table gives no rows; only the id and text columns are read. A text of any length is
-tokenized whole.
+tokenized whole, runs of white space of any length too.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,9 @@ NEARLY_FULL = 1 / 256
 # Fixed values of the vocabulary: its split pattern and its special token.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+# The pattern's white space; runs of it that are so long that the pattern engine gives up are cut out before.
+LONG_RUN = 50_000
+WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 END = b"\0\0\0\0"
 
 
@@ -48,7 +52,21 @@ def encoder(ranks_path: str):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() if text else b""
+
+    def plain(text: str) -> bytes:
+        return encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() if text else b""
+
+    def encode(text: str | None) -> bytes:
+        parts, at = [], 0
+        for m in WHITE.finditer(text or ""):
+            # the pattern takes a whole run before the end or the special token, else all but its last character
+            whole = m.end() == len(text) or text.startswith(SPECIAL, m.end())
+            end = m.end() if whole else m.end() - 1
+            parts += [plain(text[at : m.start()]), np.array(encoding._encode_single_piece(text[m.start() : end]), "<u4").tobytes()]
+            at = end
+        return b"".join(parts) + plain(text[at:]) if text else b""
+
+    return encode
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -139,6 +157,7 @@ def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
     once = stage(_in_groups(whole.where(~full), limits, weights, rule), "packed")
     bins = once.groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("tokens", "docs", "cost")])
     loose = bins.where(F.col("tokens") < capacity * (1 - NEARLY_FULL)).select(F.col("bin").alias("inner"), "tokens", "docs", "cost")
+    loose = stage(loose, "loose")  # rows are dealt by their place in files, the same for every attempt
     again = _in_groups(loose, limits, weights, rule).select("inner", F.col("bin").alias("outer"), F.col("place").alias("shift"))
     # Sequence numbers: 4 k for full pieces, 4 k + 1 for sequences of the first packing, 4 k + 2 for those packed again.
     packed = once.join(again, once["bin"] == again["inner"], "left").select(

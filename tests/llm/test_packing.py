@@ -61,3 +61,47 @@ def test_ids_come_back(spark):
     docs = frame(spark, edge_rows()[:4])
     for r in packing.pieces(docs, ranks_path(), with_ids=True).collect():
         assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+
+
+def test_long_white_space(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    encode = packing.encoder(ranks_path())
+    long = packing.LONG_RUN
+    texts = [" " * 2_000_000, "a" + " " * 1_500_000 + "b c", "\n" * 1_200_000 + "x", "a  " * 3 + "\t 　\u0085" * long + "<|endoftext|>  d" + " " * long + "\x1c.", " " * long + "é" + " " * (long - 1) + "!" + " " * (2 * long)]
+    for x in texts:
+        assert np.frombuffer(encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    docs = frame(spark, list(enumerate(texts)))
+    got = packing.pack(docs, ranks_path()).collect()
+    assert sum(r.length for r in got if r.doc_id == 0) == len(encode(texts[0])) // 4 + 1
+
+
+def naive_fit(sizes, limits, weights, rule):
+    """One open bin after another is tried for every row."""
+    bins, which, place = [], [0] * len(sizes), [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i][0]):
+        best = None
+        for j, left in enumerate(bins):
+            if all(a >= x for a, x in zip(left, sizes[i])):
+                rest = sum(w * ((a - x) / m) ** 2 for a, x, m, w in zip(left, sizes[i], limits, weights))
+                dot = -sum(w * a * x / m**2 for a, x, m, w in zip(left, sizes[i], limits, weights))
+                score = rest if rule == "norm" else dot
+                if best is None or score < best[0] - 1e-12:
+                    best = (score, j)
+        if best is None:
+            bins.append(list(limits))
+        j = best[1] if best else len(bins) - 1
+        which[i], place[i] = j, limits[0] - bins[j][0]
+        bins[j] = [a - x for a, x in zip(bins[j], sizes[i])]
+    return which, place
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("limits", [(64.0, 64.0, 4096.0), (64.0, 4.0, 1500.0)])
+def test_best_fit_is_the_naive_one(rule, limits):
+    tokens = np.random.default_rng(7).integers(1, 38, 400)
+    sizes = np.stack((tokens, np.ones(400), tokens**2), 1).astype(float)
+    which, place = packing.best_fit(sizes, np.array(limits), np.array([1.0, 0.125, 0.125]), rule)
+    assert (which.tolist(), place.tolist()) == tuple(map(list, naive_fit(sizes.tolist(), limits, (1.0, 0.125, 0.125), rule)))
