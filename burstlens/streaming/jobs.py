@@ -42,16 +42,18 @@ def read_line_stream(spark: SparkSession, path: str, *, glob: str = "capture*.tx
     )
 
 
-def _start(df: DataFrame, batch: Callable[[DataFrame, int], None], *, mode: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+def start(df: DataFrame, batch: Callable[[DataFrame, int], None], *, mode: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(batch)
     return writer.trigger(**trigger).start()
 
 
-def _results(df: DataFrame, path: str, mode: str, checkpoint: str | None, trigger: dict | None) -> StreamingQuery:
+def _results(df: DataFrame, path: str, mode: str, checkpoint: str | None, trigger: dict | None, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        if then:
+            then(rows, batch)
 
-    return _start(df, write, mode=mode, trigger=trigger or {"availableNow": True},
+    return start(df, write, mode=mode, trigger=trigger or {"availableNow": True},
                   checkpoint=checkpoint or scratch_path(df.sparkSession, "checkpoint"))
 
 
@@ -63,21 +65,59 @@ def append_results(
 
 
 def upsert_results(
-    df: DataFrame, path: str, *, checkpoint: str | None = None, trigger: dict | None = None
+    df: DataFrame, path: str, *, checkpoint: str | None = None, trigger: dict | None = None,
+    key: Sequence[str] = (), compact_every: int | None = None,
 ) -> StreamingQuery:
-    """Rows that a batch changed, under its number; ``latest`` gives the table. A repeated batch overwrites its own folder."""
-    return _results(df, path, "update", checkpoint, trigger)
+    """Rows that a batch changed, under its number; ``latest`` gives the table. A repeated batch overwrites its own folder.
 
+    With ``compact_every`` every so many batches are merged by ``key`` into a base table and dropped, so that what
+    is kept grows with the keys and not with the batches.
+    """
 
-def latest(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
-    """The last row of each key over the batches at ``path``."""
-    rows = spark.read.parquet(path)
+    def then(rows: DataFrame, batch: int) -> None:
+        if compact_every and (batch + 1) % compact_every == 0:
+            compact(rows.sparkSession, path, key, batch)
+
+    return _results(df, path, "update", checkpoint, trigger, then)
+
+
+def _bases(spark: SparkSession, path: str) -> list[int]:
+    """The batches up to which a base table has been written whole."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-base/upto=*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found or [])
+
+
+def compact(spark: SparkSession, path: str, key: Sequence[str], batch: int) -> None:
+    """One base table of the last row of each key up to ``batch``; what it replaces is deleted once it is whole."""
+    old = _bases(spark, path)
+    if not old or old[-1] < batch:
+        latest(spark, path, key, upto=batch).write.mode("overwrite").parquet(f"{path}-base/upto={batch}")
+    first = old[-1] + 1 if old else 0
+    for n in range(first, batch + 1):
+        drop_folder(spark, f"{path}/batch={n}")
+    for n in old:
+        if n < batch:
+            drop_folder(spark, f"{path}-base/upto={n}")
+
+
+def latest(spark: SparkSession, path: str, key: Sequence[str], *, upto: int | None = None) -> DataFrame:
+    """The last row of each key over the batches at ``path`` and their base table, if any."""
+    bases = _bases(spark, path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*")
+    newer = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    newer = [n for n in (int(f.getPath().getName().partition("=")[2]) for f in newer or []) if not bases or n > bases[-1]]
+    parts = [spark.read.parquet(f"{path}-base/upto={bases[-1]}").withColumn("batch", F.lit(bases[-1]))] if bases else []
+    if newer or not bases:
+        rows = spark.read.option("basePath", path).parquet(*[f"{path}/batch={n}" for n in newer]) if newer else spark.read.parquet(path)
+        parts.append(rows if upto is None else rows.where(F.col("batch") <= upto))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rest = [c for c in rows.columns if c not in (*key, "batch")]
     last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
     return last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop_folder(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -102,7 +142,7 @@ def parse_arriving(
         captures.parse_packets(numbered, **options).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     spark = lines.sparkSession
-    return _start(lines, parse, mode="append", trigger=trigger or {"availableNow": True},
+    return start(lines, parse, mode="append", trigger=trigger or {"availableNow": True},
                   checkpoint=checkpoint or scratch_path(spark, "checkpoint"))
 
 
@@ -116,80 +156,76 @@ def running_ip_map(records: DataFrame, *, order: Sequence[str], src: str = "src"
     return rows.where(public).groupBy("ip").agg(F.min_by("name", F.struct(*order, "pos")).alias("name"))
 
 
-def mark_arriving_streams(
-    records: DataFrame, path: str, *, stream: str, order: str, hit: Column, checkpoint: str | None = None,
-    trigger: dict | None = None,
-) -> StreamingQuery:
-    """Records of target streams from the first hit on, written per batch.
-
-    The state is a table of each target stream's first hit, written anew per
-    batch next to the output; batch n reads the version of batch n-1, so a
-    repeated batch gives the same rows, and deletes the one before that.  Hits are combined before the shuffle
-    and the join is split by the adaptive planner, so one busy stream does not
-    end up in one task as it would in per-key state.
-    """
-    spark = records.sparkSession
-
-    def mark(rows: DataFrame, batch: int) -> None:
-        session = rows.sparkSession
-        flagged = rows.withColumn("_hit", F.coalesce(hit, F.lit(False)))
-        named = flagged.where(F.col(stream).isNotNull() & (F.col(stream).cast("string") != ""))
-        hits = named.where("_hit").groupBy(stream).agg(F.min(order).alias("_first")).withColumn("_old", F.lit(False))
-        if batch > 0:
-            old = session.read.parquet(f"{path}/state/batch={batch - 1}").withColumn("_old", F.lit(True))
-            known = old.unionByName(hits).groupBy(stream).agg(
-                F.coalesce(F.min(F.when(F.col("_old"), F.col("_first"))), F.min("_first")).alias("_first"),
-                F.bool_or("_old").alias("_old"))
-        else:
-            known = hits
-        known.drop("_old").write.mode("overwrite").parquet(f"{path}/state/batch={batch}")
-        joined = named.join(known, stream).where(F.col("_old") | (F.col(order) >= F.col("_first")))
-        out = joined.withColumn("is_first_hit", ~F.col("_old") & (F.col(order) == F.col("_first")))
-        out.drop("_hit", "_first", "_old").write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
-        if batch > 1:
-            _drop(session, f"{path}/state/batch={batch - 2}")
-
-    return _start(records, mark, mode="append", trigger=trigger or {"availableNow": True},
-                  checkpoint=checkpoint or scratch_path(spark, "checkpoint"))
+def _closes(apart: list[str]) -> list[Column]:
+    """Whether a group is that of a closing row; as an aggregate, so that no filter on it reaches the rows before the watermark."""
+    return [F.bool_or(c).alias("closes") for c in apart]
 
 
 def burst_stream(
     packets: DataFrame, *, key: Sequence[str], event_time: str, size: str, gap: str, watermark: str
 ) -> DataFrame:
-    """Bursts as session windows: a gap of exactly ``gap`` still joins.
+    """Bursts as session windows: a gap of exactly ``gap`` still joins; rows marked ``closing`` move the watermark only.
 
     A session with ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``
     set merges sessions inside each input partition before the shuffle, so that a
     busy key sends its sessions and not its packets to one task.
     """
     session = F.session_window(event_time, gap)
-    return packets.withWatermark(event_time, watermark).groupBy(*key, session.alias("session")).agg(
+    apart = ["closing"] if "closing" in packets.columns else []
+    out = packets.withWatermark(event_time, watermark).groupBy(*key, *apart, session.alias("session")).agg(
         F.min(event_time).alias("start_ts"),
         F.max(event_time).alias("end_ts"),
         F.count(F.lit(1)).alias("packet_count"),
         F.sum(F.coalesce(F.col(size), F.lit(0)).cast("long")).alias("total_bytes"),
-    ).drop("session")
+        *_closes(apart),
+    )
+    return (out.where("not closes") if apart else out).drop("session", "closes", *apart)
+
+
+def chart_sums(size: str, llm: Column) -> list[Column]:
+    return [F.sum(size).alias("total_bytes"), F.sum(F.when(llm, F.col(size)).otherwise(0)).alias("llm_bytes"), F.count(F.lit(1)).alias("count")]
 
 
 def chart_stream(
     rows: DataFrame, *, event_time: str, size: str, llm: Column, width: str = "10 seconds", watermark: str = "1 minute"
 ) -> DataFrame:
-    """Bytes, llm bytes and rows per tumbling window."""
-    window = F.window(event_time, width)
-    return rows.withWatermark(event_time, watermark).groupBy(window.alias("w")).agg(
-        F.sum(size).alias("total_bytes"),
-        F.sum(F.when(llm, F.col(size)).otherwise(0)).alias("llm_bytes"),
-        F.count(F.lit(1)).alias("count"),
-    ).select(F.col("w.start").alias("time"), "total_bytes", "llm_bytes", "count")
-
-
-def count_stream(flowlets: DataFrame, *, capture: str = "capture_id") -> DataFrame:
-    """Running counts per capture, as in the listing."""
-    llm = F.coalesce(F.col("traffic_class") == "llm", F.lit(False))
-    return flowlets.groupBy(capture).agg(
-        F.count(F.lit(1)).alias("flow_count"),
-        F.sum(llm.cast("long")).alias("llm_flow_count"),
-        F.count("model_llm_prediction").alias("classified_count"),
+    """Bytes, llm bytes and rows per tumbling window; rows marked ``closing`` move the watermark only."""
+    apart = ["closing"] if "closing" in rows.columns else []
+    out = rows.withWatermark(event_time, watermark).groupBy(F.window(event_time, width).alias("w"), *apart).agg(*chart_sums(size, llm), *_closes(apart))
+    out = out.where("not closes") if apart else out
+    return out.select(F.col("w.start").alias("time"), "total_bytes", "llm_bytes", "count")
+
+
+COUNTED = ("traffic_class", "model_llm_prediction")
+
+
+def added(flowlets: DataFrame, *, capture: str = "capture_id") -> DataFrame:
+    """Change rows that add stored bursts to the counts of their captures."""
+    return flowlets.select(capture, *COUNTED, F.lit(1).cast("long").alias("sign"))
+
+
+def removed(flowlets: DataFrame, captures: DataFrame, *, capture: str = "capture_id") -> DataFrame:
+    """Change rows that take the stored bursts of deleted captures out again."""
+    gone = flowlets.join(captures.select(capture).distinct(), capture, "left_semi")
+    return gone.select(capture, *COUNTED, F.lit(-1).cast("long").alias("sign"))
+
+
+def replaced(stored: DataFrame, fresh: DataFrame, *, capture: str = "capture_id") -> DataFrame:
+    """Change rows of captures that were read once more: what is stored of them goes, what was read now counts."""
+    return removed(stored, fresh, capture=capture).unionByName(added(fresh, capture=capture))
+
+
+def count_stream(changes: DataFrame, *, capture: str = "capture_id") -> DataFrame:
+    """Running counts per capture, as in the listing; with a column ``sign`` (1 or -1) rows count up or down."""
+    sign = F.col("sign") if "sign" in changes.columns else F.lit(1).cast("long")
+    held = lambda c: F.sum(F.when(c, sign).otherwise(F.lit(0).cast("long")))
+    return changes.groupBy(capture).agg(
+        F.sum(sign).alias("flow_count"),
+        held(F.coalesce(F.col("traffic_class") == "llm", F.lit(False))).alias("llm_flow_count"),
+        held(F.col("model_llm_prediction").isNotNull()).alias("classified_count"),
     )
 
 
+def counted(spark: SparkSession, path: str, *, capture: str = "capture_id") -> DataFrame:
+    """The captures that still hold bursts, with their counts."""
+    return latest(spark, path, [capture]).where("flow_count > 0")

@@ -1,12 +1,15 @@
 """Streams over several files give the batch result."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from burstlens.functions import labels
 from burstlens.operators import addresses, bursts
 from burstlens.session import scratch_path
 from burstlens.sources import captures
-from burstlens.streaming import jobs
+from burstlens.streaming import jobs, late, targets
 
 
 def source(spark, files=5):
@@ -21,7 +24,7 @@ def source(spark, files=5):
 
 
 def same(a, b):
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert sorted(map(str, map(tuple, a.collect()))) == sorted(map(str, map(tuple, b.collect())))
 
 
 def test_bursts(spark):
@@ -39,14 +42,134 @@ def test_bursts(spark):
     same(got.select(cols), closed.select(cols))
 
 
-def test_target_streams_over_batches(spark):
+def hits():
+    return F.col("id") % 137 == 50
+
+
+def marked(spark, out):
+    return targets.marked(spark, out).select("k", "id", "is_first_hit")
+
+
+def batch_marks(rows):
+    return addresses.target_streams(rows, stream="k", order="id", hit=hits()).select("k", "id", "is_first_hit")
+
+
+def test_target_streams_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(targets, "HELD", 3)
     path, rows = source(spark)
-    hit = F.col("id") % 137 == 50
     out = scratch_path(spark, "out")
     stream = jobs.read_table_stream(spark, path, glob="*.parquet", files_per_batch=1)
-    jobs.finish(jobs.mark_arriving_streams(stream, out, stream="k", order="id", hit=hit))
-    batch = addresses.target_streams(rows, stream="k", order="id", hit=hit)
-    same(spark.read.parquet(f"{out}/rows").select("k", "id", "is_first_hit"), batch.select("k", "id", "is_first_hit"))
+    q = targets.mark_target_streams(stream, out, stream="k", order="id", hit=hits())
+    jobs.finish(q)
+    assert len([p for p in q.recentProgress if p.numInputRows]) == 5
+    assert spark.conf.get(targets.STATE_PROVIDER, "") != targets.ROCKS
+    same(marked(spark, out), batch_marks(rows))
+
+
+def test_killed_target_streams_go_on(spark, monkeypatch):
+    path, rows = source(spark)
+    out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
+    start = lambda: targets.mark_target_streams(
+        jobs.read_table_stream(spark, path, glob="*.parquet", files_per_batch=1), out, stream="k", order="id", hit=hits(), checkpoint=checkpoint)
+    mark, seen = targets._mark, []
+
+    def dies(*a):
+        seen.append(1)
+        if len(seen) == 3:
+            raise RuntimeError("killed in the third batch, after its state was asked")
+        return mark(*a)
+
+    monkeypatch.setattr(targets, "_mark", dies)
+    with pytest.raises(Exception, match="killed"):
+        jobs.finish(start())
+    assert spark.read.parquet(f"{out}/rows").select("batch").distinct().count() == 2
+    monkeypatch.setattr(targets, "_mark", mark)
+    jobs.finish(start())
+    same(marked(spark, out), batch_marks(rows))
+
+
+def test_forgotten_streams_leave_the_state(spark):
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("arriving", "out", "checkpoint"))
+
+    def run(hour, keys):
+        rows = spark.createDataFrame([(k + 1000 * hour, k, 1_700_000_000 + 3600 * hour) for k in keys], "id long, k long, s long")
+        rows.select("id", "k", F.timestamp_seconds("s").alias("at")).coalesce(1).write.mode("append").parquet(folder)
+        stream = jobs.read_table_stream(spark, folder, glob="*.parquet")
+        q = targets.mark_target_streams(stream, out, stream="k", order="id", hit=F.col("id") < 1000, event_time="at", watermark="1 minute", forget_after_ms=5_000_000, checkpoint=checkpoint)
+        jobs.finish(q)
+        return [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators][-1]
+
+    sizes = [run(0, range(300)), run(1, [7, 9]), run(2, [7]), run(3, [7, 8, 9])]
+    assert sizes[0] >= 300 and sizes[-1] < 10
+    got = sorted((r.k, r.id) for r in targets.marked(spark, out).collect() if r.id >= 1000)
+    assert got == [(7, 1007), (7, 2007), (7, 3007), (9, 1009), (9, 3009)]  # 8 was last seen too long ago
+
+
+def late_source(spark):
+    """Events of which some arrive much later than their time; a busy key and null keys among them."""
+    path, rows = scratch_path(spark, "late"), None
+    for i in range(4):
+        part = spark.range(400 * i, 400 * i + 400).select(
+            "id", F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 31 == 0, None).otherwise(F.col("id") % 9).cast("int").alias("k"),
+            F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 40 - F.when(F.col("id") % 23 == 0, 9000).otherwise(0)).alias("at"), (F.col("id") % 97).alias("size"))
+        part.coalesce(1).write.mode("append").parquet(path)
+        rows = part if rows is None else rows.union(part)
+    return path, rows
+
+
+def split(spark, path, *spans):
+    out, control, checkpoint = (scratch_path(spark, n) for n in ("split", "control", "checkpoint"))
+    rows = late.with_control(jobs.read_table_stream(spark, path, glob="*.parquet", files_per_batch=1), control, "at")
+    run = lambda: jobs.finish(late.split_arrivals(rows, out, event_time="at", watermark=spans[-1], checkpoint=checkpoint))
+    run()
+    late.send_closing(spark, out, control, "at", *spans)
+    run()
+    return out
+
+
+def test_late_rows_and_the_closing_row_make_bursts_whole(spark):
+    path, rows = late_source(spark)
+    parts = split(spark, path, "90 seconds", "10 minutes")
+    found = late.late_rows(spark, parts)
+    assert 10 < found.count() < 80
+    s = jobs.burst_stream(late.in_time(spark, parts), key=["k"], event_time="at", size="size", gap="90 seconds", watermark="10 minutes")
+    out = scratch_path(spark, "out")
+    jobs.finish(jobs.append_results(s, out))
+    got = late.correct_bursts(spark.read.parquet(out).drop("batch"), found, key=["k"], event_time="at", size="size", gap="90 seconds")
+    b = bursts.with_bursts(rows.withColumn("t", F.unix_micros("at")), key=["k"], ts="t", order=["id"], gap=90_000_000)
+    batch = bursts.burst_features(b, key=["k"], ts="t", size="size")
+    cols = ["k", "start_ts", "end_ts", "packet_count", "total_bytes"]
+    got = got.withColumns({c: F.unix_micros(c) for c in ("start_ts", "end_ts")}).select(cols)
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.select(cols).collect()))
+    none = late.correct_bursts(spark.read.parquet(out).drop("batch"), found.limit(0), key=["k"], event_time="at", size="size", gap="90 seconds")
+    assert none.count() == spark.read.parquet(out).count()
+
+
+def test_late_rows_and_the_closing_row_make_the_chart_whole(spark):
+    path, rows = late_source(spark)
+    parts = split(spark, path, "10 seconds", "1 minute")
+    llm, out = F.col("k") == 0, scratch_path(spark, "out")
+    jobs.finish(jobs.append_results(jobs.chart_stream(late.in_time(spark, parts), event_time="at", size="size", llm=llm), out))
+    got = late.correct_chart(spark.read.parquet(out).drop("batch"), late.late_rows(spark, parts), event_time="at", size="size", llm=llm, width="10 seconds")
+    same(got, rows.groupBy(F.window("at", "10 seconds").start.alias("time")).agg(*jobs.chart_sums("size", llm)))
+
+
+def test_counts_go_down_again(spark):
+    stored = spark.createDataFrame([(c, "llm" if i % 2 else "non_llm", "X" if i % 3 else None) for c in (1, 2, 3, None) for i in range(10)], "capture_id int, traffic_class string, model_llm_prediction string")
+    of = lambda c: stored.where(f"capture_id = {c}")
+    changes = [jobs.added(stored), jobs.removed(stored, of(2)), jobs.replaced(of(3), of(3).limit(4)), jobs.added(of(2).limit(1)), jobs.removed(of(2).limit(1), of(2)), jobs.removed(stored, stored.limit(0))]
+    folder = scratch_path(spark, "changes")
+    for c in changes:
+        c.coalesce(1).write.mode("append").parquet(folder)
+    want = jobs.count_stream(stored.where("capture_id is null or capture_id = 1").unionByName(of(3).limit(4)))
+    for every, folders in ((None, 6), (2, 0), (4, 2)):
+        out = scratch_path(spark, "counts")
+        q = jobs.upsert_results(jobs.count_stream(jobs.read_table_stream(spark, folder, glob="*.parquet", files_per_batch=1)), out, key=["capture_id"], compact_every=every)
+        jobs.finish(q)
+        same(jobs.counted(spark, out), want)
+        left = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch=*")
+        assert len(left.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(left)) == folders
+        assert len(jobs._bases(spark, out)) == (0 if every is None else 1)
 
 
 def test_chart_and_counts(spark):
