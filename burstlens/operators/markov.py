@@ -105,6 +105,21 @@ def step_counts(steps: DataFrame, *, by: Sequence[str]) -> DataFrame:
     )
 
 
+def merge_counts(counts: DataFrame, *, by: Sequence[str], plus: DataFrame | None = None, minus: DataFrame | None = None) -> DataFrame:
+    """Step counts with those of ``plus`` added and those of ``minus`` taken off; steps that no sequence has any more go.
+
+    Counts are sums, so a table kept per group (a capture) can be added to or taken out of a total without its steps.
+    """
+    numbers = ("n", "n_start", "n_end")
+    key = [*by, "attr", "prev_state", "state"]
+    parts = [(counts, 1), (plus, 1), (minus, -1)]
+    rows = [df.select(*key, *[(F.col(c) * sign).alias(c) for c in numbers]) for df, sign in parts if df is not None]
+    whole = rows[0]
+    for more in rows[1:]:
+        whole = whole.unionByName(more)
+    return whole.groupBy(*key).agg(*[F.sum(c).alias(c) for c in numbers]).where("n > 0")
+
+
 def transitions(counts: DataFrame, *, by: Sequence[str]) -> DataFrame:
     """Counts and row-normalised probabilities of state -> next state."""
     pairs = counts.where(F.col("prev_state").isNotNull()).groupBy(

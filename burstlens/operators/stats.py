@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from itertools import accumulate, combinations_with_replacement
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +51,78 @@ def ranked_counts(counts: DataFrame, *, target_rows: int = TARGET_ROWS) -> DataF
     return drop_slices(scan(cut, ["feature"], ["value"], running={"c1": F.col("n1"), "c0": F.col("n0")}))
 
 
-def class_stats(df: DataFrame, features: Sequence[str], *, label: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+# The exact distribution is used without ties when the smaller class has at most SMALL rows, the other at most OTHER.
+SMALL, OTHER = 8, 20_000
+
+
+def u_distribution(n1: int, n0: int) -> list[int]:
+    """In how many orders of the two classes each U comes up: the coefficients of a Gaussian binomial, one factor at a time."""
+    small, large = sorted((n1, n0))
+    ways = [1] + [0] * (small * large)
+    for i in range(1, small + 1):
+        for k in range(len(ways) - 1, large + i - 1, -1):  # times 1 - q^(large + i)
+            ways[k] -= ways[k - large - i]
+        for k in range(i, len(ways)):  # over 1 - q^i
+            ways[k] += ways[k - i]
+    return ways
+
+
+def exact_two_sided(u: Column, n1: Column, n0: Column) -> Column:
+    """Two-sided p of U from the distribution over all orders; each pair of sizes is worked out once a task."""
+
+    @F.pandas_udf("double")
+    def tail(u: pd.Series, n1: pd.Series, n0: pd.Series) -> pd.Series:
+        seen: dict[tuple[int, int], list[float]] = {}
+        out = []
+        for x, a, b in zip(u, n1, n0):
+            if not (min(a, b) > 0):
+                out.append(math.nan)
+                continue
+            a, b = int(a), int(b)
+            if (a, b) not in seen:
+                ways = u_distribution(a, b)
+                upper, total = list(accumulate(reversed(ways))), math.comb(a + b, a)
+                seen[a, b] = [w / total for w in upper]  # chance of U >= ab - k
+            out.append(min(1.0, 2 * seen[a, b][a * b - round(max(x, a * b - x))]))
+        return pd.Series(out, dtype="float64")
+
+    return tail(u, n1, n0)
+
+
+def p_value(u: Column, n1: Column, n0: Column, ties: Column, exact: bool) -> Column:
+    """Two-sided p of the rank test: the normal approximation with continuity and tie correction, or exact where samples are small."""
+    n = n1 + n0
+    sigma = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.try_divide(ties, n * (n - 1))))
+    z = F.try_divide(F.greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5, sigma)
+    if not exact:
+        return two_sided(z)
+    few = (ties == 0) & (F.least(n1, n0) <= SMALL) & (F.greatest(n1, n0) <= OTHER)
+    at = [F.when(few, c) for c in (u, n1, n0)]
+    return F.when(few, exact_two_sided(*at)).otherwise(two_sided(z))
+
+
+def rank_tests(df: DataFrame, by: Sequence[str], *, value: str, label: str, exact: bool = True) -> DataFrame:
+    """Per group: n1, n0, U of class 1 and two-sided p of ``value``, for groups with both classes.
+
+    Ranks come from the counts per distinct value of each group, running in the order of values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("value")).agg(
+        F.sum((F.col(label) == 1).cast("long")).alias("n1"), F.sum((F.col(label) == 0).cast("long")).alias("n0"))
+    slicing = plan_slices(counts, by, "value")
+    ranked = drop_slices(scan(assign_slices(counts, by, "value", slicing), by, ["value"], running={"c": F.col("n1") + F.col("n0")}))
+    ties = (F.col("n1") + F.col("n0")).cast("double")
+    sums = ranked.groupBy(*by).agg(
+        F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum(F.col("n1") * (F.col("c") - ties + (ties + 1) / 2)).alias("_ranks"), F.sum(ties * ties * ties - ties).alias("_ties"))
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
+    tested = sums.where("n1 > 0 and n0 > 0").withColumn("u", F.col("_ranks") - n1 * (n1 + 1) / 2)
+    return tested.select(*by, "n1", "n0", "u", p_value(F.col("u"), n1, n0, F.col("_ties"), exact).alias("p_value"))
+
+
+def class_stats(
+    df: DataFrame, features: Sequence[str], *, label: str, target_rows: int = TARGET_ROWS, exact: bool = True
+) -> DataFrame:
     """Per feature: mean, population deviation and exact median of both
-    classes, Cohen's d, Mann-Whitney U of class 1, two-sided p.
+    classes, Cohen's d, Mann-Whitney U of class 1, two-sided p (``p_value``).
 
     Medians and ranks come from the counts per distinct value, so the input is
     combined before any shuffle and never sorted.
@@ -82,10 +152,7 @@ def class_stats(df: DataFrame, features: Sequence[str], *, label: str, target_ro
         F.sum(ties * ties * ties - ties).alias("_ties"),
     )
     n1, n0 = F.col("size1").cast("double"), F.col("size0").cast("double")
-    n = n1 + n0
     u = F.col("_ranks") - n1 * (n1 + 1) / 2
-    sigma = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
-    z = F.try_divide(F.greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5, sigma)
     pooled = F.sqrt((F.col("std1") * F.col("std1") + F.col("std0") * F.col("std0")) / 2)
     d = F.when(pooled > 0, (F.col("mean1") - F.col("mean0")) / F.nullif(pooled, F.lit(0.0))).otherwise(0.0)
     return moments.join(tests, "feature").select(
@@ -93,7 +160,7 @@ def class_stats(df: DataFrame, features: Sequence[str], *, label: str, target_ro
         F.col("mean1").alias("llm_mean"), F.col("std1").alias("llm_std"), F.col("median1").alias("llm_median"),
         F.col("mean0").alias("non_llm_mean"), F.col("std0").alias("non_llm_std"),
         F.col("median0").alias("non_llm_median"),
-        u.alias("mann_whitney_u"), two_sided(z).alias("p_value"), d.alias("cohens_d"),
+        u.alias("mann_whitney_u"), p_value(u, n1, n0, F.col("_ties"), exact).alias("p_value"), d.alias("cohens_d"),
     )
 
 

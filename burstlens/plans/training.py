@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.ml import Estimator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstlens.functions import labels
@@ -37,7 +37,11 @@ def fit_fingerprints(steps: DataFrame, *, cls: str) -> dict[str, DataFrame]:
     The steps are read once, into counts of equal steps; blocks, transitions
     and ends all come from that table, never from a row per packet.
     """
-    raw = settle(markov.step_counts(steps, by=[cls]))
+    return fit_counts(settle(markov.step_counts(steps, by=[cls])), cls=cls)
+
+
+def fit_counts(raw: DataFrame, *, cls: str) -> dict[str, DataFrame]:
+    """The fingerprints of a table of step counts."""
     sizes = raw.where(F.col("attr") == "size_block").groupBy(cls, F.col("state").cast("long").alias("value"))
     blocks = settle(markov.blocks_of(sizes.agg(F.sum("n").alias("n")), by=[cls]))
     mapped = markov.map_sizes(raw, hint_if_small(blocks), on=[cls])
@@ -46,6 +50,52 @@ def fit_fingerprints(steps: DataFrame, *, cls: str) -> dict[str, DataFrame]:
     return {"blocks": blocks, "transitions": trans, "ends": ends, "lookup": markov.lookup_table(trans, ends, cls=cls)}
 
 
+class StoredCounts:
+    """Step counts kept per capture, and their total, so that fingerprints follow added and deleted captures.
+
+    ``path`` holds counts/change=k (the counts of the captures added by change k), deleted/change=k and total/change=k. A change reads
+    the counts that it touches and the last total, never the steps of other captures. A change that is run again writes the same folders.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, *, cls: str, capture: str) -> None:
+        self.spark, self.path, self.cls, self.capture = spark, path.rstrip("/"), cls, capture
+
+    def _total(self, change: int) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.path}/total/change={change - 1}") if change else None
+
+    def counts(self, before: int) -> DataFrame | None:
+        """Counts of the captures that are there before change ``before``."""
+        if not before:
+            return None
+        held = self.spark.read.parquet(f"{self.path}/counts").where(F.col("change") < before)
+        gone = self.spark.read.schema(f"{self.capture} long, change int").parquet(f"{self.path}/deleted").where(F.col("change") < before)
+        gone = gone.groupBy(self.capture).agg(F.max("change").alias("_gone"))
+        return held.join(gone, self.capture, "left").where(F.col("_gone").isNull() | (F.col("change") >= F.col("_gone"))).drop("change", "_gone")
+
+    def apply(self, change: int, *, added: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
+        """Change number ``change``: captures deleted, then steps of new captures added; gives the new total."""
+        by = [self.cls]
+        before = self.counts(change)
+        named = F.col(self.capture).cast("long").alias(self.capture)
+        gone = self.spark.range(0).select(F.col("id").alias(self.capture)) if deleted is None else deleted.select(named).distinct()
+        gone.write.mode("overwrite").parquet(f"{self.path}/deleted/change={change}")
+        minus = before.join(gone, self.capture, "left_semi") if deleted is not None and before is not None else None
+        if added is not None:
+            fresh = markov.step_counts(added.withColumn(self.capture, F.col(self.capture).cast("long")), by=[self.capture, self.cls])
+            fresh.write.mode("overwrite").parquet(f"{self.path}/counts/change={change}")
+            added = self.spark.read.parquet(f"{self.path}/counts/change={change}")
+        parts = [x for x in (self._total(change), added) if x is not None]
+        if not parts:
+            raise ValueError("the first change must add captures")
+        total = markov.merge_counts(parts[0], by=by, plus=parts[1] if len(parts) > 1 else None, minus=minus)
+        total.write.mode("overwrite").parquet(f"{self.path}/total/change={change}")
+        return self.spark.read.parquet(f"{self.path}/total/change={change}")
+
+    def fit(self, change: int) -> dict[str, DataFrame]:
+        """The fingerprints after change ``change``."""
+        return fit_counts(self.spark.read.parquet(f"{self.path}/total/change={change}"), cls=self.cls)
+
+
 def score_fingerprints(steps: DataFrame, blocks: DataFrame, lookup: DataFrame, *, ident: Sequence[str], cls: str) -> DataFrame:
     """Four log-likelihoods per burst; sizes are read through the llm blocks."""
     llm = broadcast_if_small(blocks.where(F.col(cls) == "llm").select("value", "block"))

@@ -8,7 +8,7 @@ from burstlens.functions import addresses as ip
 from burstlens.functions import capture_text as ct
 from burstlens.functions import labels, payload
 from burstlens.functions.addresses import KEY
-from burstlens.operators import addresses
+from burstlens.operators import addresses, networks
 from burstlens.plans import ingest, summary
 from burstlens.schemas import RECORD_8, RECORD_13, RECORD_20
 from burstlens.session import scratch_path
@@ -307,6 +307,26 @@ def network_filter_v6(spark, sf):
     return e.where(ip.touches_network(six, F.lit("fe80::1"), "2001:db8::1/43")).select("event_id")
 
 
+# One network per user around its address and one per event type, 8 to 32 bits long; host bits stay in.
+_NETS = """u AS (SELECT DISTINCT user_id, client, 167772160 + user_id AS number, 16 + user_id * 7 % 17 AS length FROM e0),
+nets AS (SELECT 'u' || user_id AS name, (number >> (32 - length)) << (32 - length) AS low, length FROM u
+  UNION ALL SELECT 'all', 167772160, 8 UNION ALL SELECT 'odd', 134744064, 29 UNION ALL SELECT 'odd2', 134744072, 30),
+least_name AS (SELECT low, length, min(name) AS name FROM nets GROUP BY low, length),
+a AS (SELECT event_id, src_ip, list_reduce(list_transform(string_split(src_ip, '.'), lambda x: CAST(x AS BIGINT)), lambda p, q: p * 256 + q) AS number FROM en)"""
+
+
+@query(f"""WITH {ENDS}, {_NETS} SELECT event_id, src_ip, arg_max(name, length) AS network, CAST(max(length) AS INTEGER) AS prefix_length
+FROM a LEFT JOIN least_name n ON a.number BETWEEN low AND low + (1 << (32 - length)) - 1 GROUP BY event_id, src_ip""")
+def network_match(spark, sf):
+    """The narrowest of many networks that holds each source address."""
+    e = ends(events(spark, sf))
+    u = e.select("user_id").distinct()
+    octet = lambda d: F.floor(F.col("user_id") / d).cast("long") % 256
+    own = u.select(F.format_string("10.%d.%d.%d/%d", octet(65536), octet(256), octet(1), 16 + F.col("user_id") * 7 % 17).alias("cidr"), F.concat(F.lit("u"), "user_id").alias("name"))
+    few = spark.createDataFrame([("10.0.0.0/8", "all"), ("8.8.8.0/29", "odd"), ("8.8.8.8/30", "odd2")], "cidr string, name string")
+    return networks.match_networks(e.select("event_id", "src_ip"), own.unionByName(few), ip="src_ip")
+
+
 _WORDS = ("nicht", "queux", "whst", "src7", "the")
 _DETECT = "CASE " + " ".join(f"WHEN contains(lower(text || ' ' || source), '{w}') THEN '{w.upper()}'" for w in _WORDS) + " END"
 

@@ -11,7 +11,7 @@ from burstlens.operators.scan import plan_slices
 from burstlens.plans import analysis, training
 from burstlens.session import scratch_path, stage
 from burstlens.sources import sinks
-from table_queries.adapters import BURSTS, CLS, FLOWLETS, USER, events, table, user_bursts, user_flowlets, with_class
+from table_queries.adapters import BURSTS, CLS, EV, FLOWLETS, USER, events, table, user_bursts, user_flowlets, with_class
 from table_queries.registry import query
 
 IDENT = ["user_id", "flowlet_id"]
@@ -108,6 +108,24 @@ def markov_ends(spark, sf):
         {c: F.round(c, 8) for c in ("p_start", "p_end")})
 
 
+_KEPT = "FROM events WHERE user_id % 20 NOT IN (3, 11))"
+
+
+@query(f"WITH {_CHAINS.replace('FROM events)', _KEPT)} SELECT cls, attr, state, next_state, n, round(p, 8) AS p FROM tp")
+def fingerprints_incremental(spark, sf):
+    """Transitions after four changes to 20 captures: two halves come, three captures go, one of them comes back."""
+    rows = with_class(steps(spark, sf)).withColumn("capture_id", F.col("user_id") % 20)
+    of = lambda *ids: rows.where(F.col("capture_id").isin(*ids)) if ids else rows
+    gone = lambda *ids: spark.createDataFrame([(i,) for i in ids], "capture_id long")
+    kept = training.StoredCounts(spark, scratch_path(spark, "counts"), cls="cls", capture="capture_id")
+    kept.apply(0, added=rows.where("capture_id < 10"))
+    kept.apply(1, added=rows.where("capture_id >= 10"), deleted=gone(3))
+    kept.apply(2, deleted=gone(11, 7))
+    kept.apply(3, added=of(7), deleted=gone(5, 5)).count()
+    kept.apply(4, added=of(5))
+    return kept.fit(4)["transitions"].withColumn("p", F.round("p", 8))
+
+
 _LL_COLUMNS = ", ".join(f"round({c}, 6) AS {c}" for c in features.LIKELIHOODS)
 
 
@@ -251,6 +269,24 @@ def mann_whitney(spark, sf):
     return _class_stats(spark, sf).select("feature", F.col("mann_whitney_u").alias("u"))
 
 
+# All orders of up to 16 rows: which of them are of class 1 is a bit mask; U is the sum of their places less the least possible.
+_EXACT = f"""{EV}, v AS (SELECT user_id, t // 172800000000 AS day, value, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS y FROM ev),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY value) - 1 AS place FROM v),
+g AS (SELECT user_id, day, CAST(sum(y) AS BIGINT) AS n1, CAST(sum(1 - y) AS BIGINT) AS n0, CAST(sum(y * place) AS BIGINT) - CAST(sum(y) AS BIGINT) * (CAST(sum(y) AS BIGINT) - 1) // 2 AS u FROM r GROUP BY 1, 2),
+m AS (SELECT n, unnest(range(0, 1 << n)) AS mask FROM range(1, 17) x(n)),
+w AS (SELECT n, CAST(bit_count(mask) AS BIGINT) AS n1, CAST(list_sum(list_transform(range(0, n), lambda i: i * ((mask >> i) & 1))) AS BIGINT) - CAST(bit_count(mask) AS BIGINT) * (bit_count(mask)::BIGINT - 1) // 2 AS u FROM m),
+d AS (SELECT n, n1, u, count(*) AS ways FROM w GROUP BY ALL),
+p AS (SELECT user_id, day, g.n1, n0, g.u, least(1.0, 2 * sum(CASE WHEN d.u >= greatest(g.u, g.n1 * n0 - g.u) THEN ways END) / sum(ways)) AS p
+  FROM g JOIN d ON d.n = g.n1 + n0 AND d.n1 = g.n1 WHERE g.n1 > 0 AND n0 > 0 GROUP BY ALL)"""
+
+
+@query(f"WITH {_EXACT} SELECT user_id, day, n1, n0, CAST(u AS DOUBLE) AS u, round(p, 10) AS p_value FROM p")
+def mann_whitney_exact(spark, sf):
+    """Users' values of clicks and views against the rest, every two days: few rows without ties, so p is exact."""
+    rows = events(spark, sf).withColumns({"day": F.expr("t div 172800000000"), "y": F.col("event_type").isin("click", "view").cast("int")})
+    return stats.rank_tests(rows, ["user_id", "day"], value="value", label="y").withColumn("p_value", F.round("p_value", 10))
+
+
 # The closed form of the tail, term by term as in the library.
 _TERMS = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 _TAIL = " + ".join(f"({c}) * pow(1 / (1 + x / 2), {i})" for i, c in enumerate(_TERMS))

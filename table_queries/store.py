@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from burstlens.functions import render
-from burstlens.operators import documents, evaluate, store
+from burstlens.operators import documents, evaluate, pages, store
 from burstlens.session import scratch_path
 from burstlens.sources import sinks, tables
 from table_queries.adapters import EV, REGISTRY, STORED, registry, stored, table
@@ -40,6 +40,28 @@ def flowlet_page(spark, sf):
     return store.flowlet_page(one, skip=25, limit=40).select("id", "user_id", "flowlet_id", "total_bytes")
 
 
+@query(f"""WITH {STORED} SELECT id, row, row // 500 AS page FROM (SELECT id, row_number() OVER (ORDER BY start_ts, id) - 1 AS row FROM st)""")
+def flowlet_pages(spark, sf):
+    """All pages of the stored bursts of all captures, as the page folders hold them."""
+    path = scratch_path(spark, "pages")
+    pages.write_pages(stored(spark, sf).select("id", "start_ts"), path, order=["start_ts", "id"], page_rows=500)
+    return spark.read.parquet(f"{path}/rows").select("id", "row", F.col("part").cast("long").alias("page"))
+
+
+@query(f"""WITH {STORED}, o AS (SELECT id, total_bytes, row_number() OVER (ORDER BY start_ts, id) - 1 AS row FROM st)
+SELECT 'page' AS way, id, total_bytes FROM o WHERE row BETWEEN 130 AND 179 UNION ALL SELECT 'cursor', id, total_bytes FROM o WHERE row BETWEEN 100 AND 149""")
+def flowlet_cursor(spark, sf):
+    """One page by number, and the third page behind the cursors of the first two."""
+    path, order, cursor = scratch_path(spark, "pages"), ["start_ts", "id"], None
+    pages.write_pages(stored(spark, sf).select("id", "start_ts", "total_bytes"), path, order=order, page_rows=50)
+    for _ in range(2):
+        cursor = pages.after(spark, path, cursor, order=order, limit=50).agg(F.max(F.struct(*order))).first()[0]
+    third = pages.after(spark, path, cursor, order=order, limit=50)
+    one = pages.page(spark, path, skip=130, limit=50)
+    out = lambda rows, way: rows.select(F.lit(way).alias("way"), "id", "total_bytes")
+    return out(one, "page").unionByName(out(third, "cursor"))
+
+
 _LLM = "traffic_class = 'llm' OR coalesce(model_llm_prediction NOT IN ('', 'non_llm'), false)"
 
 
