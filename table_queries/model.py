@@ -270,8 +270,8 @@ def mann_whitney(spark, sf):
 
 
 # All orders of up to 16 rows: which of them are of class 1 is a bit mask; U is the sum of their places less the least possible.
-_EXACT = f"""{EV}, v AS (SELECT user_id, t // 172800000000 AS day, value, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS y FROM ev),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY value) - 1 AS place FROM v),
+_EXACT = f"""{EV}, v AS (SELECT user_id, t // 172800000000 AS day, t, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS y FROM ev),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY t) - 1 AS place FROM v),
 g AS (SELECT user_id, day, CAST(sum(y) AS BIGINT) AS n1, CAST(sum(1 - y) AS BIGINT) AS n0, CAST(sum(y * place) AS BIGINT) - CAST(sum(y) AS BIGINT) * (CAST(sum(y) AS BIGINT) - 1) // 2 AS u FROM r GROUP BY 1, 2),
 m AS (SELECT n, unnest(range(0, 1 << n)) AS mask FROM range(1, 17) x(n)),
 w AS (SELECT n, CAST(bit_count(mask) AS BIGINT) AS n1, CAST(list_sum(list_transform(range(0, n), lambda i: i * ((mask >> i) & 1))) AS BIGINT) - CAST(bit_count(mask) AS BIGINT) * (bit_count(mask)::BIGINT - 1) // 2 AS u FROM m),
@@ -282,9 +282,9 @@ p AS (SELECT user_id, day, g.n1, n0, g.u, least(1.0, 2 * sum(CASE WHEN d.u >= gr
 
 @query(f"WITH {_EXACT} SELECT user_id, day, n1, n0, CAST(u AS DOUBLE) AS u, round(p, 10) AS p_value FROM p")
 def mann_whitney_exact(spark, sf):
-    """Users' values of clicks and views against the rest, every two days: few rows without ties, so p is exact."""
+    """Users' times of clicks and views against the rest, every two days: few rows without ties, so p is exact."""
     rows = events(spark, sf).withColumns({"day": F.expr("t div 172800000000"), "y": F.col("event_type").isin("click", "view").cast("int")})
-    return stats.rank_tests(rows, ["user_id", "day"], value="value", label="y").withColumn("p_value", F.round("p_value", 10))
+    return stats.rank_tests(rows, ["user_id", "day"], value="t", label="y").withColumn("p_value", F.round("p_value", 10))
 
 
 # The closed form of the tail, term by term as in the library.
