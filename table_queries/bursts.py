@@ -68,19 +68,18 @@ def top_flows(spark, sf):
     return flows.top_flows(flow_summary(spark, sf), 10)
 
 
-_NESTED = f"""WITH {FLOWLETS} SELECT user_id, count(*) AS flowlets, CAST(sum(packet_count) AS BIGINT) AS packets, CAST(sum(total_bytes) AS BIGINT) AS bytes,
-  min(start_ts) AS start_ts, max(end_ts) AS end_ts, string_agg(flowlet_id || ':' || total_bytes, ',' ORDER BY flowlet_id) AS listed
-  FROM fl GROUP BY user_id"""
+_NESTED = f"""WITH {FLOWLETS} SELECT user_id, 'burst' AS kind, flowlet_id AS id, start_ts, end_ts, packet_count, total_bytes FROM fl
+  UNION ALL SELECT user_id, 'flow', count(*), min(start_ts), max(end_ts), CAST(sum(packet_count) AS BIGINT), CAST(sum(total_bytes) AS BIGINT) FROM fl GROUP BY user_id"""
 
 
 def _nested(spark, sf, part_size):
-    """Nested flows, with the lists of their parts joined again: one row per flow."""
-    nested = flows.nested_flows(user_flowlets(spark, sf), key=USER, part_size=part_size,
-                                fields=["start_ts", "end_ts", "packet_count", "total_bytes"])
-    text = F.array_join(F.transform("flowlets", lambda x: F.concat_ws(":", x["id"], x["total_bytes"])), ",")
-    once = [F.sum(c).alias(c) for c in ("packets", "bytes")] + [F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts")]
-    parts = F.array_sort(F.collect_list(F.struct("part", text.alias("t"))))
-    return nested.groupBy("user_id").agg(F.sum(F.size("flowlets")).alias("flowlets"), *once, F.array_join(parts["t"], ",").alias("listed"))
+    """Nested flows as one row per list entry, and the totals of each flow."""
+    fields = ["start_ts", "end_ts", "packet_count", "total_bytes"]
+    nested = flows.nested_flows(user_flowlets(spark, sf), key=USER, part_size=part_size, fields=fields)
+    entries = nested.select("user_id", F.lit("burst").alias("kind"), F.explode("flowlets").alias("x")).select("user_id", "kind", F.col("x.id").cast("long").alias("id"), *[F.col(f"x.{c}") for c in fields])
+    totals = nested.groupBy("user_id").agg(
+        F.sum(F.size("flowlets")).alias("id"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("packets").alias("packet_count"), F.sum("bytes").alias("total_bytes"))
+    return entries.unionByName(totals.withColumn("kind", F.lit("flow")))
 
 
 @query(_NESTED)
@@ -212,13 +211,12 @@ def nested_responses(spark, sf):
     return n.select("user_id", "query_id", "part", F.array_join(text, ",").alias("responses"))
 
 
-_RECORDS = f"""WITH {BURSTS} SELECT 'u' || user_id AS src_ip, flowlet_id, count(*) AS packet_count, CAST(sum(size) AS BIGINT) AS total_bytes,
-  string_agg(CAST(size AS VARCHAR), ',' ORDER BY t, event_id) AS sizes, count(*) - 1 AS gaps,
-  CAST(coalesce(sum(CASE WHEN NOT opens THEN gap END), 0) AS BIGINT) AS gap_sum FROM b GROUP BY user_id, flowlet_id"""
+_RECORDS = f"""WITH {BURSTS} SELECT 'u' || user_id AS src_ip, flowlet_id, row_number() OVER (PARTITION BY user_id, flowlet_id ORDER BY t, event_id) - 1 AS place, size, NULL AS total_bytes, NULL AS gap_sum FROM b
+  UNION ALL SELECT 'u' || user_id, flowlet_id, count(*), NULL, CAST(sum(size) AS BIGINT), CAST(coalesce(sum(CASE WHEN NOT opens THEN gap END), 0) AS BIGINT) FROM b GROUP BY user_id, flowlet_id"""
 
 
 def _records(spark, sf, part_size):
-    """Exchanged records written as JSON lines, read with the record schema, parts joined again: one row per burst."""
+    """Exchanged records written as JSON lines and read with the record schema: one row per packet, and the totals of each burst."""
     b = user_bursts(spark, sf)
     key_fields = {"src_ip": F.concat(F.lit("u"), F.col("user_id").cast("string")), "src_port": F.lit(1), "dst_ip": F.lit("d"),
                   "dst_port": F.lit(2), "protocol": F.lit("TCP")}
@@ -227,11 +225,13 @@ def _records(spark, sf, part_size):
     path = scratch_path(spark, "records")
     sinks.write_json(bursts.feature_records(found, seq, key=USER, flow_key=KEY), path)
     r = tables.load_flowlets(spark, path, "json", multi_line=False)
-    parts = F.array_sort(F.collect_list(F.struct("part", F.array_join(F.col("packet_sizes").cast("array<string>"), ",").alias("t"))))
     total = F.aggregate("inter_packet_times", F.lit(0.0), lambda a, x: a + x)
-    return r.groupBy("flow_key.src_ip", "flowlet_id").agg(
-        F.sum("packet_count").alias("packet_count"), F.sum("total_bytes").alias("total_bytes"), F.array_join(parts["t"], ",").alias("sizes"),
-        F.sum(F.size("inter_packet_times")).alias("gaps"), F.round(F.sum(total)).cast("long").alias("gap_sum"))
+    null = F.lit(None).cast("long")
+    entries = r.select("flow_key.src_ip", "flowlet_id", "part", F.posexplode("packet_sizes").alias("at", "size")).select(
+        "src_ip", "flowlet_id", (F.col("part").cast("long") * part_size + F.col("at")).alias("place"), F.col("size").cast("long").alias("size"), null.alias("total_bytes"), null.alias("gap_sum"))
+    totals = r.groupBy("flow_key.src_ip", "flowlet_id").agg(
+        F.sum("packet_count").alias("place"), F.sum("total_bytes").alias("total_bytes"), F.round(F.sum(total)).cast("long").alias("gap_sum")).withColumn("size", null)
+    return entries.unionByName(totals)
 
 
 @query(_RECORDS)

@@ -8,12 +8,12 @@ from burstlens.functions import addresses as ip
 from burstlens.functions import capture_text as ct
 from burstlens.functions import labels, payload
 from burstlens.functions.addresses import KEY
-from burstlens.operators import addresses, networks
+from burstlens.operators import addresses, bursts, networks
 from burstlens.plans import ingest, summary
 from burstlens.schemas import RECORD_8, RECORD_13, RECORD_20
 from burstlens.session import scratch_path
 from burstlens.sources import captures, records, sinks
-from table_queries.adapters import ENDS, EV, FLOWS, KEYS, ends, events, flow_flowlets, flow_packets, table
+from table_queries.adapters import BURSTS, ENDS, EV, FLOWS, KEYS, ends, events, flow_flowlets, flow_packets, table, user_bursts
 from table_queries.registry import query
 
 LINES = ["t", "event_id"]
@@ -402,6 +402,37 @@ def host_port(spark, sf):
     return c.select("conv_id", "turn", ct.split_host_port(token).alias("e")).select("conv_id", "turn", "e.host", "e.port")
 
 
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '10.1.2' ELSE 'host' END AS host, CASE WHEN turn % 2 = 0 AND conv_id % 250 > 0 THEN CAST(conv_id % 250 AS INTEGER) END AS port FROM conversations""")
+def host_port_v1(spark, sf):
+    """The old rule takes the last part of a plain address for the port."""
+    token = F.when(F.col("turn") % 2 == 0, F.format_string("10.1.2.%d", F.col("conv_id") % 250)).otherwise("host")
+    return table(spark, sf, "conversations").select("conv_id", "turn", ct.split_host_port(token, "v1").alias("e")).select("conv_id", "turn", "e.host", "e.port")
+
+
+@query("SELECT max(user_id % 8) AS capture FROM (SELECT user_id FROM events)")
+def newest_capture(spark, sf):
+    """The file written last: the captures are written again one after the other, in order of their number."""
+    rows, path = record_table(spark, sf), scratch_path(spark, "newest")
+    for capture in range(8):
+        one = rows.where(F.col("capture") == capture).select(F.concat_ws(" ", "capture", "event_id").alias("value"))
+        if not one.isEmpty():
+            one.coalesce(1).write.text(f"{path}/capture={capture}")
+    return captures.newest_file(spark, f"{path}/*", ["*.txt"]).select(F.regexp_extract("file_path", r"capture=(\d+)/", 1).cast("long").alias("capture"))
+
+
+@query(f"""WITH {BURSTS}, g2 AS (SELECT user_id, flowlet_id, list(size ORDER BY t, event_id) AS sizes FROM b GROUP BY 1, 2)
+SELECT user_id, flowlet_id, to_json(sizes)::VARCHAR AS written, CAST(len(sizes) AS INTEGER) AS n, CAST(list_sum(sizes) AS BIGINT) AS total FROM g2
+UNION ALL SELECT user_id, -1, '[]', 0, 0 FROM (SELECT DISTINCT user_id FROM b)""")
+def text_columns(spark, sf):
+    """Lists stored as JSON text and read back; a null list is the empty one."""
+    sized = bursts.burst_sequences(user_bursts(spark, sf), key=["user_id"], ts="t", order=["event_id"], size="size").select("user_id", "flowlet_id", F.col("packet_sizes").cast("array<bigint>").alias("sizes"))
+    none = sized.select("user_id").distinct().select("user_id", F.lit(-1).cast("long").alias("flowlet_id"), F.lit(None).cast("array<bigint>").alias("sizes"))
+    path = scratch_path(spark, "texts")
+    sized.unionByName(none).select("user_id", "flowlet_id", sinks.as_text(F.col("sizes")).alias("written")).write.parquet(path)
+    back = spark.read.parquet(path).withColumn("a", sinks.from_text(F.col("written"), "array<bigint>"))
+    return back.select("user_id", "flowlet_id", "written", F.size("a").alias("n"), F.aggregate("a", F.lit(0).cast("long"), lambda x, y: x + y).alias("total"))
+
+
 # Whole paths: the written captures read again and taken through each plan.
 def _capture():
     return F.regexp_extract("source_file", r"capture=(\d+)/", 1).cast("long").alias("capture")

@@ -162,6 +162,14 @@ def documents_overwrite(spark, sf):
                       v["is_llm_prediction"].alias("is_llm_prediction"), v["ground_truth_llm_name"].alias("ground_truth_llm_name"))
 
 
+@query(f"WITH {_DOCS} SELECT capture_id, printf('flowlet_%06d', n) AS field, id, total_bytes * 8 AS bits FROM nb")
+def documents_own_transform(spark, sf):
+    """Documents shaped by a transform of the caller."""
+    bits = lambda d: d.select("capture_id", "_n", "id", (F.col("total_bytes") * 8).alias("bits"))
+    rows = documents.document_rows(stored(spark, sf), capture="capture_id", order=["start_ts", "id"], transform=bits)
+    return rows.select("capture_id", "field", "value.id", "value.bits")
+
+
 @query(f"""WITH {STORED}, a AS (SELECT capture_id, count(*) AS n FROM st WHERE flowlet_id <= 10 GROUP BY 1),
 late AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY start_ts, id) AS k FROM st WHERE flowlet_id > 10)
 SELECT late.capture_id, printf('flowlet_%06d', coalesce(a.n, 0) + k) AS field, id FROM late LEFT JOIN a ON a.capture_id = late.capture_id""")
