@@ -174,7 +174,8 @@ def sample(labels: DataFrame) -> DataFrame:
         share = F.when(F.col("y") == y, min(1.0, (1.2 * SAMPLE_PER_CLASS + 100) / n)).otherwise(share)
     h = F.xxhash64(F.col("id").cast("string"), F.lit(12))
     near = agreed.withColumn("h", h).where(F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0) < share)
-    return near.withColumn("k", F.expr("row_number() over (partition by y order by h, id)")).where(F.col("k") <= SAMPLE_PER_CLASS).drop("k")
+    of = [near.where(F.col("y") == y).orderBy("h", "id").limit(SAMPLE_PER_CLASS) for y in (0, 1)]
+    return of[0].unionByName(of[1])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Machine | None:
@@ -183,17 +184,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine | None:
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [cells_of(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["h", "y", "cells"])
+            found = [cells_of(t).astype("<u4").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["h", "y", "cells"])
 
-    out = T.StructType([T.StructField("h", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("cells", T.ArrayType(T.LongType()))])
+    out = T.StructType([T.StructField("h", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("cells", T.BinaryType())])
     made = docs.join(chosen, "id").select("h", F.col("y").cast("int").alias("y"), "text").mapInArrow(cells, out)
     examples, held = [], 0
     for r in made.orderBy("h", "cells").toLocalIterator():
-        held += len(r["cells"])
+        held += len(r["cells"]) // 4
         if held > SAMPLE_CELLS:
             break
-        examples.append((r["y"], np.array(r["cells"], np.int64)))
+        examples.append((r["y"], np.frombuffer(r["cells"], "<u4").astype(np.int64)))
     return fit(examples) if examples else None
 
 
