@@ -7,7 +7,9 @@ of the prefix word in the window fixes where the window would begin (positional
 (length bound), and then all its words are compared. There is no hashing in the last step: matches are exact.
 
 The index is broadcast in blocks of at most ``BLOCK_WORDS`` words of benchmark text, whatever the size of the benchmark: every
-block meets all documents where they lie. Documents are never shuffled.
+block meets all documents where they lie, up to ``BLOCKS_A_PASS`` of them at a time, for which the words are counted in one scan. Documents
+are never shuffled. What a document keeps is its covered words as merged runs and the set of the items found, however often a passage
+stands in it and however many items share it.
 
 Defined results: a null or empty text has no words, no hits and is not contaminated; an item without words is never found; equal
 windows of several items, and several items of one id, count for each item id once; a null item id is left out of the list of
@@ -18,7 +20,8 @@ documents give no rows; only the named columns are read, so clashing names do no
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,66 +29,93 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
-from .words import PLAIN, lower_ascii
+from .words import plain_words
 
 WINDOW = 10
 # Words of benchmark text in one broadcast index: about 100 MB of Python objects.
 BLOCK_WORDS = 200_000
 BLOCKS_A_PASS = 4
-HIT = T.StructType([T.StructField("item", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
-HITS = pa.list_(pa.struct([("item", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
+RUN = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(RUN)), T.StructField("items", T.ArrayType(T.StringType()))])
+FOUND_ARROW = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
 
-def windows_of(text: str | None, window: int = WINDOW) -> list[tuple[str, ...]]:
-    words = PLAIN.findall(lower_ascii(text or ""))
+@dataclass
+class Index:
+    """prefix word -> (its place, window length) -> window -> number, and the item ids of each number."""
+
+    prefixes: dict[bytes, dict[tuple[int, int], dict[tuple[bytes, ...], int]]] = field(default_factory=dict)
+    items: list[set[str | None]] = field(default_factory=list)
+
+
+def windows_of(text: str | None, window: int = WINDOW) -> list[tuple[bytes, ...]]:
+    words = plain_words(text or "")
     if len(words) <= window:
         return [tuple(words)] if words else []
     return [tuple(words[i : i + window]) for i in range(len(words) - window + 1)]
 
 
-def word_counts(docs: DataFrame, vocabulary: set[str], text_col: str = "text") -> dict[str, int]:
+def word_counts(docs: DataFrame, vocabulary: set[bytes], text_col: str = "text") -> dict[bytes, int]:
     """How often the corpus holds each word of a bounded vocabulary; counted in the tasks, one row per word and task."""
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[str] = Counter()
+        total: Counter[bytes] = Counter()
         wanted = shared.value
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    total.update(filter(wanted.__contains__, PLAIN.findall(lower_ascii(text))))
-        yield pa.RecordBatch.from_pydict({"word": list(total), "n": list(total.values())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
+                    total.update(filter(wanted.__contains__, plain_words(text)))
+        yield pa.RecordBatch.from_pydict({"word": list(total), "n": list(total.values())}, pa.schema([("word", pa.binary()), ("n", pa.int64())]))
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long")
-    return {r["word"]: r["n"] for r in rows.groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator()}
+    rows = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "word binary, n long")
+    return {bytes(r["word"]): r["n"] for r in rows.groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator()}
 
 
-def build_index(items: list[tuple[str | None, str | None]], counts: dict[str, int], window: int) -> dict:
-    """prefix word -> (its place, window length) -> window -> item ids."""
-    index: dict[str, dict[tuple[int, int], dict[tuple[str, ...], set]]] = {}
+def build_index(items: list[tuple[str | None, str | None]], counts: dict[bytes, int], window: int) -> Index:
+    index, numbers = Index(), {}
     for item_id, text in items:
         for w in windows_of(text, window):
-            place = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
-            index.setdefault(w[place], {}).setdefault((place, len(w)), {}).setdefault(w, set()).add(item_id)
+            if w not in numbers:
+                numbers[w] = len(index.items)
+                index.items.append(set())
+                place = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
+                index.prefixes.setdefault(w[place], {}).setdefault((place, len(w)), {})[w] = numbers[w]
+            index.items[numbers[w]].add(item_id)
     return index
 
 
-def find(words: list[str], index: dict) -> list[tuple[str | None, int, int]]:
-    """(item id, first word, end) of every occurrence of an indexed window."""
-    hits = []
-    total = len(words)
-    for at in [i for i, w in enumerate(words) if w in index]:
-        for (place, length), windows in index[words[at]].items():
+def find(words: list[bytes], index: Index) -> tuple[list[tuple[int, int]], set[int]]:
+    """(first word, end) of every occurrence of an indexed window, and the numbers of the windows found."""
+    runs, numbers = [], set()
+    total, prefixes = len(words), index.prefixes
+    for at in [i for i, w in enumerate(words) if w in prefixes]:
+        for (place, length), windows in prefixes[words[at]].items():
             first = at - place
             if first >= 0 and first + length <= total:
-                hits += [(i, first, first + length) for i in windows.get(tuple(words[first : first + length]), ())]
-    return hits
+                number = windows.get(tuple(words[first : first + length]))
+                if number is not None:
+                    runs.append((first, first + length))
+                    numbers.add(number)
+    return runs, numbers
+
+
+def merge_runs(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint runs in order that cover the same words."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(runs):
+        if out and first <= out[-1][1]:
+            if last > out[-1][1]:
+                out[-1] = (out[-1][0], last)
+        else:
+            out.append((first, last))
+    return out
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str | None, str | None]]]:
     """The benchmark, item by item, in lists of at most ``BLOCK_WORDS`` words (one item may exceed it)."""
     block, size = [], 0
-    for r in items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
+    for r in items.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).where("t is not null").toLocalIterator():
         n = len(r["t"]) // 2 + 1
         if block and size + n > BLOCK_WORDS:
             yield block
@@ -96,55 +126,71 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
         yield block
 
 
+def _passes(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[list[tuple[str | None, str | None]]]]:
+    """Up to ``BLOCKS_A_PASS`` blocks at a time; one empty list for an empty benchmark."""
+    held, some = [], False
+    for block in _blocks(items, id_col, text_col):
+        held.append(block)
+        some = True
+        if len(held) == BLOCKS_A_PASS:
+            yield held
+            held = []
+    if held or not some:
+        yield held
+
+
 def _with_hits(docs: DataFrame, text: str, hits: str, shared: list, fresh: bool) -> DataFrame:
-    """``docs`` with the occurrences of the windows of these indexes, added to those already in ``hits``."""
+    """``docs`` with what the windows of these indexes cover, added to what ``hits`` holds already."""
     kinds = docs.schema if fresh else T.StructType(docs.schema.fields[:-1])
+    at = kinds.names.index(text)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[]] * len(batch) if fresh else batch.column(hits).to_pylist()
+            before = [None] * batch.num_rows if fresh else batch.column(len(kinds)).to_pylist()
             found = []
-            for text_now, before in zip(batch.column(text).to_pylist(), rows):
-                words = PLAIN.findall(lower_ascii(text_now)) if text_now else []
-                found.append(before + [{"item": i, "first": a, "last": b} for x in shared for i, a, b in find(words, x.value)])
+            for text_now, old in zip(batch.column(at).to_pylist(), before):
+                words = plain_words(text_now) if text_now else []
+                runs = [(r["first"], r["last"]) for r in old["runs"]] if old else []
+                ids = set(old["items"]) if old else set()
+                for x in shared:
+                    more, numbers = find(words, x.value)
+                    runs += more
+                    ids.update(i for n in numbers for i in x.value.items[n])
+                found.append({"n_words": len(words), "runs": [{"first": a, "last": b} for a, b in merge_runs(runs)], "items": sorted(ids - {None})})
             columns = [batch.column(i) for i in range(len(kinds.fields))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, HITS)], names=[*kinds.names, hits])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, FOUND_ARROW)], names=[*kinds.names, hits])
 
-    return docs.mapInArrow(probe, T.StructType([*kinds.fields, T.StructField(hits, T.ArrayType(HIT))]))
+    return docs.mapInArrow(probe, T.StructType([*kinds.fields, T.StructField(hits, FOUND)]))
 
 
 def occurrences(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, hits: str = "hits") -> DataFrame:
-    """``docs`` with an array column: item id, first word and end of every occurrence of an item's window.
+    """``docs`` with a struct column: n_words, the runs of words inside found windows, and the sorted ids of the items they belong to.
 
-    A pass holds at most ``BLOCKS_A_PASS`` indexes; a larger benchmark takes several passes, with the rows and the hits so far
+    A pass holds at most ``BLOCKS_A_PASS`` indexes; a larger benchmark takes several passes, with the rows and what was found so far
     written to the shared folder between them.
     """
-    spark, out, shared, fresh = docs.sparkSession, docs, [], True
-    for block in _blocks(items, item_col, item_text):
-        if len(shared) == BLOCKS_A_PASS:
-            out, fresh = stage(_with_hits(out, text_col, hits, shared, fresh), "hits"), False
+    spark, out, shared = docs.sparkSession, docs, []
+    for k, blocks in enumerate(_passes(items, item_col, item_text)):
+        if k:
+            out = stage(out, "hits")
             for x in shared:
                 x.unpersist()
-            shared = []
-        vocabulary = {w for _, text in block for w in PLAIN.findall(lower_ascii(text))}
-        shared.append(spark.sparkContext.broadcast(build_index(block, word_counts(docs, vocabulary, text_col), window)))
-    return _with_hits(out, text_col, hits, shared, fresh)
+        counts = word_counts(docs, {w for block in blocks for _, text in block for w in plain_words(text)}, text_col) if blocks else {}
+        shared = [spark.sparkContext.broadcast(build_index(block, counts, window)) for block in blocks]
+        out = _with_hits(out, text_col, hits, shared, not k)
+    return out
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per document row: id, n_words, n_hit (words inside a found window), items (sorted ids of items with found windows)."""
-    found = occurrences(docs.select(id_col, text_col), items, text_col, item_col, item_text, window, "_hits")
-    begun = F.array_sort(F.transform("_hits", lambda h: F.struct(h["first"].alias("a"), h["last"].alias("b"))))
-    # words covered: each hit in order adds what lies beyond the furthest end so far
-    covered = F.aggregate(begun, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, h: F.struct(
-        (s["n"] + F.greatest(F.lit(0), h["b"] - F.greatest(h["a"], s["end"]))).alias("n"), F.greatest(h["b"], s["end"]).alias("end")))
-    names = F.array_sort(F.array_distinct(F.filter(F.transform("_hits", lambda h: h["item"]), lambda i: i.isNotNull())))
-    words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
-    return found.select(id_col, F.size(words).cast("long").alias("n_words"), covered["n"].cast("long").alias("n_hit"), names.alias("items"))
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = occurrences(source, items, "text", item_col, item_text, window, "found")
+    covered = F.aggregate("found.runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
+    return found.select(F.col("id").alias(id_col), "found.n_words", covered.alias("n_hit"), "found.items")
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **names) -> DataFrame:
     """The rows without a hit, with all their columns."""
-    taken = {c.lower() for c in docs.columns}
-    hits = next(f"hits_{i}" for i in range(len(taken) + 1) if f"hits_{i}" not in taken)
-    return occurrences(docs, items, text_col, hits=hits, **names).where(F.size(hits) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    found = occurrences(plain, items, f"c{docs.columns.index(text_col)}", hits="found", **names).where(F.size("found.runs") == 0)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -42,3 +42,21 @@ def test_empty_tables(spark):
     docs, bench = frame(spark, [(1, "a b")]), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert [tuple(r) for r in decontaminate.contamination(docs, bench.limit(0)).collect()] == [(1, 2, 0, [])]
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_passage_repeated_and_shared(spark):
+    """One passage 100,000 times in one text, and 1,000 items that share it."""
+    passage = "Alpha beta, gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.createDataFrame([(i, passage) for i in range(1000)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{passage}. " * 100_000), (2, "nothing")], "doc_id long, `text` string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1]["items"]) == (1_000_000, 1_000_000, sorted(map(str, range(1000))))
+    assert (got[2].n_hit, got[2]["items"]) == (0, [])
+
+
+def test_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "x")], "`doc.id` long, `the text` string")
+    bench = spark.createDataFrame([("q", "b C")], "`item id` string, `t.t` string")
+    names = {"text_col": "the text", "item_col": "item id", "item_text": "t.t"}
+    assert sorted(tuple(r) for r in decontaminate.contamination(docs, bench, "doc.id", **names).collect()) == [(1, 3, 2, ["q"]), (2, 1, 0, [])]
+    assert [r["doc.id"] for r in decontaminate.clean(docs, bench, **names).collect()] == [2]
