@@ -9,7 +9,8 @@ than its longest ``article``: then its articles are teasers, and all unshared li
 
 Words of class, id and role mark an element as not the article, but such a wrapper may hold it: ``main`` below a wrapper counts as anywhere, an
 ``article`` below it when it is longer than any marked text outside wrappers (else than the unmarked lines, which stay then too), and an
-``article`` or ``main`` is never dropped by its own words. A page that is wrappers throughout keeps its unshared lines.
+``article`` or ``main`` is never dropped by its own words, but for those that name a reader comment or a list of them: such elements go
+whole, however long. A page that is wrappers throughout keeps its unshared lines.
 
 Pages are dealt out by slices of the (host, path, id) order, each of about ``SLICE_PAGES`` pages whatever the size of a host; the
 first and last page of a slice are also sent to the neighbouring slice, so every page meets its true neighbours. Slice
@@ -61,6 +62,8 @@ DROPPED_WORDS = frozenset("""ad ads advert adverts advertisement advertising ban
     gdpr masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related respond share sharing sidebar signup social
     sponsor sponsored subscribe toolbar widget widgets complementary contentinfo search""".split())
 KEPT_WORDS = frozenset(("articlebody",))
+# Names of class and id that hold reader comments and nothing else, whatever their element (``comments-open`` says something of a page).
+COMMENTS = re.compile(r"(?:user|reader|post)?-?comments?(?:-?(?:list|area|section|thread|body|content|text|item|wrap|wrapper|container|[0-9]+))?|respond|repl(?:y|ies)(?:-?list)?|disqus[a-z_-]*", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -73,6 +76,8 @@ def zone_of(tag: str, attributes: str, inside: int) -> int:
         words = {w.lower() for k in ("class", "id", "role") for w in WORD.findall(named.get(k, ""))}
         if tag not in ("html", "body") and re.search(r"(?:^|\s)hidden(?=[\s/=]|$)", attributes):
             return DROP
+        if tag not in ("html", "body", "main") and any(COMMENTS.fullmatch(name) for k in ("class", "id") for name in named.get(k, "").split()):
+            return DROP
         role = named.get("role", "").lower()
         if named.get("itemprop", "").lower() in KEPT_WORDS:
             return KEEP
@@ -147,9 +152,9 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
             zone = close(name)
         new = zone_of(name, attributes, zone)
         if new == CARD and zone == OPEN:
-            new, cards = CARD + cards % 100, cards + 1
+            new, cards = CARD + cards, cards + 1
         elif new == HELD and zone == WRAP:
-            new, cards = HELD - cards % 100, cards + 1
+            new, cards = HELD - cards, cards + 1
         if name in OPTIONAL_END and new == zone:
             continue
         if new != zone:
@@ -276,7 +281,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     shared = pages.sparkSession.sparkContext.broadcast(borders)
     kinds = {f.name: f for f in source.schema.fields}
     cut = T.StructType([T.StructField("slice", T.IntegerType()), T.StructField("own", T.BooleanType()), *[kinds[c] for c in ("host", "path", "id", "url")],
-                        T.StructField("sum", T.LongType()), T.StructField("zones", T.ArrayType(T.ByteType())), T.StructField("lines", T.ArrayType(T.StringType()))])
+                        T.StructField("sum", T.LongType()), T.StructField("zones", T.ArrayType(T.IntegerType())), T.StructField("lines", T.ArrayType(T.StringType()))])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = shared.value
@@ -301,7 +306,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 columns = [part.column(c).take(take) for c in ("host", "path", "id", "url")]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([s for _, s in which], pa.int32()), pa.array(mine, pa.bool_()), *columns, pa.array([rows[i][2] for i, _ in which], pa.int64()),
-                    pa.array([rows[i][0] for i, _ in which], pa.list_(pa.int8())), pa.array([rows[i][1] for i, _ in which], pa.list_(pa.string()))], names=cut.names)
+                    pa.array([rows[i][0] for i, _ in which], pa.list_(pa.int32())), pa.array([rows[i][1] for i, _ in which], pa.list_(pa.string()))], names=cut.names)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []

@@ -102,3 +102,22 @@ def test_wrappers_hold_the_article():
     assert text_of("<p>the text</p><div id=comments><article class=comment>first</article></div>") == "the text"
     cards = "".join(f"<article>card {k}</article>" for k in range(5))
     assert text_of(f"<div class='has-sidebar'>{story}</div>{cards}").startswith("the whole story of it")
+
+
+def test_comments_go_however_long(spark):
+    long = "".join(f"<article class='comment even' id=comment-{k}><p>{'a long opinion of a reader ' * 20}</p></article>" for k in range(30))
+    post = "<article class='post comments-open'><p>a short post</p></article>"
+    for area in ("<div id=comments class='comments-area'>{}</div>", "<section class='comment-list'>{}</section>", "<div class=has-sidebar>{}</div>", "<ol class=commentlist><li>{}</ol>", "{}"):
+        assert text_of(f"<header>no</header>{post}{area.format(long)}<footer>no</footer>") == "a short post", area
+        assert text_of(f"<div class='has-sidebar'>{post}</div>{area.format(long)}") == "a short post", area
+    assert text_of("<body class='comments'><main class='comments'><p>kept") == "kept"
+
+
+@pytest.mark.parametrize("n", [20, 300])
+def test_any_number_of_teasers(spark, n):
+    cards = "".join(f"<article><h2>Card {k}</h2></article>" for k in range(n))
+    text = "The one main text of this page, longer than any card"
+    assert text_of(f"<div><p>{text}</p></div>{cards}") == " ".join([text, *[f"Card {k}" for k in range(n)]])
+    held = "".join(f"<article>h{k}</article>" for k in range(n))
+    assert text_of(f"<p>{text}</p><div class=has-sidebar>{held}</div>") == text
+    assert whole(spark, [f"<div><p>{text} {i}</p></div>{cards}" for i in range(3)]) == [f"{text} {i}" for i in range(3)]
