@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from burstlens.functions import render
 from burstlens.operators import documents, evaluate, pages, store
-from burstlens.session import scratch_path
-from burstlens.sources import sinks, tables
+from burstlens.session import scratch_path, stage
+from burstlens.sources import bucketed, sinks, tables
 from table_queries.adapters import EV, REGISTRY, STORED, registry, stored, table
 from table_queries.registry import query
 
@@ -141,6 +143,47 @@ def writeback(spark, sf):
         "id", F.col("capture_id").cast("long").alias("capture_id"), "model_llm_prediction", "model_llm_confidence")
 
 
+def _bucketed(spark, sf):
+    """A store of the bursts whose count of buckets follows the rows; its name, folder and buckets."""
+    name, path, st = f"store_{uuid.uuid4().hex}", scratch_path(spark, "store"), stage(stored(spark, sf), "stored")
+    buckets = bucketed.bucket_count(st.count(), bucket_rows=20_000)
+    bucketed.create_store(st, name, path, buckets=buckets)
+    return name, path, buckets
+
+
+_TWICE = "total_bytes % 3 = 0"
+
+
+@query(f"""WITH {STORED} SELECT id, capture_id, total_bytes,
+  CASE WHEN {_TWICE} THEN 'Gemini' WHEN capture_id = 2 AND flowlet_id % 2 = 1 THEN 'Claude' ELSE model_llm_prediction END AS model_llm_prediction,
+  CASE WHEN {_TWICE} THEN NULL WHEN capture_id = 2 AND flowlet_id % 2 = 1 THEN 0.75 ELSE CAST(model_llm_confidence AS DOUBLE) END AS model_llm_confidence FROM st""")
+def bucketed_writeback(spark, sf):
+    """Two rounds of predictions appended to a bucketed store and joined in when it is read; the later round wins."""
+    name, path, buckets = _bucketed(spark, sf)
+    now = bucketed.bursts(spark, name, capture_id=2)
+    bucketed.append_predictions(_predictions(now), name, path, version=1, buckets=buckets)
+    later = bucketed.bursts(spark, name).where(_TWICE).select(
+        "id", F.lit("Gemini").alias("model_llm_prediction"), F.lit(None).cast("double").alias("model_llm_confidence"))
+    bucketed.append_predictions(later, name, path, version=2, buckets=buckets)
+    return bucketed.bursts(spark, name).select("id", "capture_id", "total_bytes", "model_llm_prediction", "model_llm_confidence")
+
+
+@query(f"""WITH {_COUNTS}, bp AS (SELECT capture_id, count(CASE WHEN total_bytes % 7 = 0 THEN 1 END) AS said FROM st GROUP BY 1)
+SELECT id, file_path, coalesce(flow_count, 0) AS flow_count, CASE WHEN classified + said > 0 THEN llm_flow_count END AS llm_flow_count
+FROM rg LEFT JOIN cc ON rg.id = cc.capture_id LEFT JOIN bp ON rg.id = bp.capture_id WHERE id <> 4""")
+def bucketed_listing(spark, sf):
+    """The listing from a bucketed store that got predictions, lost capture 4 and was written anew."""
+    name, path, buckets = _bucketed(spark, sf)
+    said = bucketed.bursts(spark, name).where("total_bytes % 7 = 0").select(
+        "id", F.lit("non_llm").alias("model_llm_prediction"), F.lit(0.5).alias("model_llm_confidence"))
+    bucketed.append_predictions(said, name, path, version=1, buckets=buckets)
+    files = registry(spark, sf)
+    gone = files.where("id = 4").select(F.col("id").alias("capture_id"))
+    bucketed.compact(spark, name, path, scratch_path(spark, "store"), buckets=buckets, deleted=gone)
+    left = files.where("id <> 4")
+    return store.capture_listing(left, bucketed.bursts(spark, name)).select("id", "file_path", "flow_count", "llm_flow_count")
+
+
 @query(f"WITH {STORED}, {REGISTRY} SELECT capture_id, count(*) AS n FROM st WHERE capture_id NOT IN (SELECT id FROM rg WHERE id % 3 = 0) GROUP BY 1")
 def delete_captures(spark, sf):
     gone = registry(spark, sf).where("id % 3 = 0").select(F.col("id").alias("capture_id"))
