@@ -147,6 +147,20 @@ def parse_packets(
 ) -> DataFrame:
     """One row per packet: file, order columns, ts, protocol, ends, length, raw."""
     paired = pair_lines(lines, file=file, order=order, strict=strict, target_rows=target_rows)
+    return parse_pairs(
+        paired, file=file, order=order, split_rule=split_rule, ipv6_compat=ipv6_compat, protocol_by_number=protocol_by_number)
+
+
+def parse_pairs(
+    paired: DataFrame,
+    *,
+    file: str = "source_file",
+    order: Sequence[str] = LINE_ORDER,
+    split_rule: str = "v2",
+    ipv6_compat: bool = False,
+    protocol_by_number: bool = False,
+) -> DataFrame:
+    """``parse_packets`` of lines that are paired already (value, address)."""
     ended = ct.address_ends(paired, "address", rule=split_rule, ipv6_compat=ipv6_compat)
     line, address = F.col("value"), F.col("address")
     measured = ended.withColumns({"_la": ct.line_length(address), "_lc": ct.line_length(line)})
@@ -193,6 +207,14 @@ def read_headers(
     return named.groupBy(file, "ip").agg(F.max_by("name", "_at").alias("name"))
 
 
+def header_map(heads: DataFrame, *, file: str = "source_file", order: Sequence[str] = LINE_ORDER) -> DataFrame:
+    """``read_headers`` of lines that are known to be leading header lines: only these are grouped."""
+    text = ct.strip(F.col("value"))
+    ip = F.regexp_replace(F.regexp_extract(text, ct.HEADER, 2), r"\.+$", "")
+    named = heads.select(file, F.struct(*order).alias("_at"), ip.alias("ip"), F.regexp_extract(text, ct.HEADER, 1).alias("name"))
+    return named.groupBy(file, "ip").agg(F.max_by("name", "_at").alias("name"))
+
+
 def with_folder_class(
     df: DataFrame, *, file: str = "source_file", table: Mapping[str, str] = labels.FOLDER_CLASS
 ) -> DataFrame:
