@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from burstlens.functions.addresses import KEY, direction_code, flow_direction, flow_key_columns
 from burstlens.operators import addresses, bursts, flows
 from burstlens.session import stage
-from burstlens.sources import captures
+from burstlens.sources import capture_reader, captures
 
 AT = ("block", "row")
 
@@ -32,17 +32,23 @@ def flowlets_of(
 
 def flowlets_by_address(
     spark: SparkSession, path: str, *, glob: str = "capture*.txt", gap: float = 0.1, bidirectional: bool = False,
-    carry: bool = True,
+    carry: bool = True, ranges: bool = False, range_bytes: int = capture_reader.RANGE_BYTES,
 ) -> DataFrame:
     """Bursts labelled by the address headers of the captures.
 
     With ``carry`` a file also sees the headers of all earlier files (directory
     run); without it only its own (single-capture run).  Ground truth always
-    comes from the file's own header.
+    comes from the file's own header.  With ``ranges`` the captures, in ``path`` and
+    below, are read by byte ranges (``capture_reader``): lines are not exchanged and headers cost
+    the leading lines.
     """
-    lines = captures.read_lines(spark, path, glob=glob)
-    found = flowlets_of(stage(captures.parse_packets(lines), "packets"), gap=gap, bidirectional=bidirectional)
-    headers = captures.read_headers(lines)
+    if ranges:
+        packets = captures.parse_pairs(capture_reader.read_pairs(spark, path, glob=glob, recursive=True, range_bytes=range_bytes))
+        headers = captures.header_map(capture_reader.read_header_lines(spark, path, glob=glob, recursive=True))
+    else:
+        lines = captures.read_lines(spark, path, glob=glob)
+        packets, headers = captures.parse_packets(lines), captures.read_headers(lines)
+    found = flowlets_of(stage(packets.drop("raw"), "packets"), gap=gap, bidirectional=bidirectional)
     seen = addresses.carry_ip_map(headers, addresses.end_addresses(found)) if carry else headers
     return addresses.label_by_ip(found, seen, truth_map=headers)
 
@@ -64,7 +70,7 @@ def flowlets_by_folder(
     lines = captures.read_lines(spark, root, glob=glob, recursive=True)
     direct = F.regexp_extract("source_file", r"^(.*)/[^/]+/[^/]+$", 1) == root.rstrip("/")
     chosen = captures.with_folder_class(lines.where(direct)).drop("traffic_class")
-    found = flowlets_of(stage(captures.parse_packets(chosen), "packets"), gap=gap, bidirectional=bidirectional)
+    found = flowlets_of(stage(captures.parse_packets(chosen).drop("raw"), "packets"), gap=gap, bidirectional=bidirectional)
     return with_direction(captures.with_folder_class(found), **hints)
 
 
@@ -73,7 +79,7 @@ def labelled_dataset(
 ) -> dict[str, DataFrame]:
     """captures, flows, flowlets and totals of every file below ``root``."""
     lines = captures.read_lines(spark, root, glob=glob, recursive=True)
-    found = flowlets_of(stage(captures.parse_packets(lines), "packets"), gap=gap, bidirectional=bidirectional)
+    found = flowlets_of(stage(captures.parse_packets(lines).drop("raw"), "packets"), gap=gap, bidirectional=bidirectional)
     flowlets = captures.with_path_class(found, root)
     per_flow = flows.flow_summary(flowlets, key=["source_file", *KEY], first="first_at", keep=["traffic_class"])
     files = captures.with_path_class(lines.select("source_file").distinct(), root)

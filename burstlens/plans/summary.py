@@ -49,7 +49,7 @@ def capture_summary(
     ordered scans then cut that timeline into slices.
     """
     lines = captures.read_lines(spark, path, glob=glob)
-    found = flowlets_of(stage(captures.parse_packets(lines), "packets"), gap=gap, bidirectional=bidirectional, per_file=per_file)
+    found = flowlets_of(stage(captures.parse_packets(lines).drop("raw"), "packets"), gap=gap, bidirectional=bidirectional, per_file=per_file)
     directed = with_direction(found, **hints)
     scope = ["source_file"] if per_file else []
     key = [*scope, *KEY]

@@ -12,7 +12,7 @@ from burstlens.operators import addresses, bursts, networks
 from burstlens.plans import ingest, summary
 from burstlens.schemas import RECORD_8, RECORD_13, RECORD_20
 from burstlens.session import scratch_path
-from burstlens.sources import captures, records, sinks
+from burstlens.sources import capture_reader, captures, records, sinks
 from table_queries.adapters import BURSTS, ENDS, EV, FLOWS, KEYS, ends, events, flow_flowlets, flow_packets, table, user_bursts
 from table_queries.registry import query
 
@@ -73,6 +73,20 @@ def parse_roundtrip(spark, sf):
     return _parsed_columns(captures.parse_packets(lines))
 
 
+@query(f"WITH {ENDS} {_PACKETS}")
+def parse_ranges(spark, sf):
+    """The written captures read by byte ranges of 50 kB: packets are paired where they are read."""
+    pairs = capture_reader.read_pairs(spark, written_capture(spark, sf), glob="*.txt", recursive=True, range_bytes=50_000)
+    return _parsed_columns(captures.parse_pairs(pairs))
+
+
+@query(f"WITH {EV} SELECT DISTINCT user_id % 8 AS capture, '8.8.8.8' AS ip, 'VIEWER' AS name FROM ev WHERE user_id % 2 = 0")
+def header_ranges(spark, sf):
+    """The address maps of the written captures, from their leading lines alone."""
+    heads = capture_reader.read_header_lines(spark, written_capture(spark, sf), glob="*.txt", recursive=True)
+    return captures.header_map(heads).select(_capture(), "ip", "name")
+
+
 @query(f"WITH {ENDS} {_PACKETS}")
 def union_sources(spark, sf):
     """Both halves of the captures read by two globs in one scan."""
@@ -470,6 +484,76 @@ def address_flowlets(spark, sf):
         F.sum("packet_count").alias("packets"), F.sum("total_bytes").alias("bytes"), F.count(F.lit(1)).alias("flowlets"))
 
 
+@query(_CLOCKED + _GAPS.format(scope="capture, ") + """, seen AS (SELECT min(capture) AS c FROM pk WHERE capture % 2 = 0)
+SELECT fw.*, CASE WHEN capture >= seen.c AND '8.8.8.8' IN (src_ip, dst_ip) THEN 'llm' ELSE 'non_llm' END AS traffic_class,
+  CASE WHEN capture >= seen.c AND '8.8.8.8' IN (src_ip, dst_ip) THEN 'VIEWER' END AS llm_name,
+  CASE WHEN capture % 2 = 0 AND '8.8.8.8' IN (src_ip, dst_ip) THEN 'VIEWER' END AS ground_truth_llm FROM fw, seen""")
+def carried_flowlets(spark, sf):
+    """Bursts of the written captures read by byte ranges; a capture also sees the headers of those before it, the truth only its own."""
+    f = ingest.flowlets_by_address(spark, written_capture(spark, sf), glob="*.txt", ranges=True)
+    return f.groupBy(_capture(), *KEY, "traffic_class", "llm_name", "ground_truth_llm").agg(
+        F.sum("packet_count").alias("packets"), F.sum("total_bytes").alias("bytes"), F.count(F.lit(1)).alias("flowlets"))
+
+
+_FOLDERS = tuple(labels.FOLDER_CLASS)
+
+
+@query(_CLOCKED + _GAPS.format(scope="capture, ") + f""" SELECT fw.*, f.folder, f.traffic_class FROM fw
+  JOIN (VALUES {", ".join(f"({i}, '{name}', '{kind}')" for i, (name, kind) in enumerate(labels.FOLDER_CLASS.items()) if i)}) f(n, folder, traffic_class) ON fw.capture = f.n""")
+def folder_flowlets(spark, sf):
+    """The written captures in class folders, scanned by folder: one lies in a folder without a class, one file directly in the root."""
+    lines, root = sinks.record_lines(record_table(spark, sf), capture="capture", order=["event_id"]), scratch_path(spark, "classes")
+    for i, folder in enumerate(("unknown", *_FOLDERS[1:])):
+        one = lines.where(F.col("capture") == i)
+        if not one.isEmpty():
+            one.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(f"{root}/{folder}")
+    lines.limit(3).select("value").coalesce(1).write.mode("append").text(root)
+    f = ingest.flowlets_by_folder(spark, root, glob="*.txt")
+    folder = F.regexp_extract("source_file", r"([^/]+)/[^/]+$", 1)
+    number = F.array_position(F.array(*[F.lit(x) for x in _FOLDERS]), folder) - 1
+    return f.groupBy(number.alias("capture"), folder.alias("folder"), *KEY, "traffic_class").agg(
+        F.sum("packet_count").alias("packets"), F.sum("total_bytes").alias("bytes"), F.count(F.lit(1)).alias("flowlets"))
+
+
+@query(_CLOCKED + _GAPS.format(scope="capture, ") + """ SELECT 'flow' AS kind, capture, src_ip, src_port, dst_ip, dst_port, protocol, packets, bytes, flowlets FROM fw
+UNION ALL SELECT 'events', NULL, src_ip, NULL, dst_ip, NULL, protocol, NULL, CAST(sum(bytes) AS BIGINT), CAST(sum(flowlets) AS BIGINT) FROM fw GROUP BY src_ip, dst_ip, protocol
+UNION ALL SELECT 'numbers', NULL, NULL, NULL, NULL, NULL, NULL, NULL, CAST(sum(flowlets) AS BIGINT), CAST(sum(flowlets) AS BIGINT) FROM fw""")
+def summary_written(spark, sf):
+    """The summary by file, written as JSON lines and read back: nested bursts per flow, and the numbered events per flow."""
+    path = scratch_path(spark, "summary")
+    tables = summary.capture_summary(spark, f"{written_capture(spark, sf)}/*", glob="*.txt")
+    summary.write_summary(tables, path, part_size=3)
+    flows_ = spark.read.json(f"{path}/flows").select("source_file", *KEY, F.explode("flowlets").alias("b"))
+    flows_ = flows_.groupBy(_capture(), *KEY).agg(
+        F.sum("b.packet_count").alias("packets"), F.sum("b.total_bytes").alias("bytes"), F.count(F.lit(1)).alias("flowlets"))
+    told = spark.read.json(f"{path}/events").select("bytes", "protocol", F.col("srcIp").alias("src_ip"), F.col("dstIp").alias("dst_ip"),
+                                                    F.substring_index("id", "_", -1).cast("long").alias("number"))
+    per_end = told.groupBy("src_ip", "dst_ip", "protocol").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("flowlets"))
+    numbers = told.agg(F.max("number").alias("bytes"), F.countDistinct("number").alias("flowlets"))
+    parts = [rows.withColumn("kind", F.lit(kind)) for kind, rows in (("flow", flows_), ("events", per_end), ("numbers", numbers))]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+
+
+@query(_CLOCKED + _GAPS.format(scope="capture, ") + """ SELECT 'captures' AS part, capture, count(*) AS flows, CAST(sum(flowlets) AS BIGINT) AS flowlets, CAST(sum(packets) AS BIGINT) AS packets FROM fw GROUP BY capture
+UNION ALL SELECT 'flows', capture, count(*), CAST(sum(flowlets) AS BIGINT), CAST(sum(packets) AS BIGINT) FROM fw GROUP BY capture
+UNION ALL SELECT 'flowlets', capture, NULL, CAST(sum(flowlets) AS BIGINT), CAST(sum(packets) AS BIGINT) FROM fw GROUP BY capture
+UNION ALL SELECT 'totals', count(DISTINCT capture), count(*), CAST(sum(flowlets) AS BIGINT), NULL FROM fw""")
+def dataset_written(spark, sf):
+    """The labelled dataset written as its four tables and read back."""
+    path = scratch_path(spark, "dataset")
+    sinks.write_dataset(path, **ingest.labelled_dataset(spark, written_capture(spark, sf)))
+    read = lambda name: spark.read.parquet(f"{path}/{name}").withColumn("part", F.lit(name))
+    files = read("captures").groupBy("part", _capture()).agg(
+        F.sum("flows_count").alias("flows"), F.sum("flowlets_count").alias("flowlets"), F.sum("packets").alias("packets"))
+    flows_ = read("flows").groupBy("part", _capture()).agg(
+        F.count(F.lit(1)).alias("flows"), F.sum("flowlets").alias("flowlets"), F.sum("packets").alias("packets"))
+    bursts_ = read("flowlets").groupBy("part", _capture()).agg(F.count(F.lit(1)).alias("flowlets"), F.sum("packet_count").alias("packets"))
+    totals = read("totals").select(
+        "part", F.col("files_processed").alias("capture"), F.col("total_flows").alias("flows"), F.col("total_flowlets").alias("flowlets"))
+    out = files.unionByName(flows_)
+    return out.unionByName(bursts_, allowMissingColumns=True).unionByName(totals, allowMissingColumns=True)
+
+
 @query(_CLOCKED + _GAPS.format(scope="capture, ") + " SELECT capture, count(*) AS flows_count, CAST(sum(flowlets) AS BIGINT) AS flowlets_count, CAST(sum(packets) AS BIGINT) AS packets, 'llm' AS traffic_class FROM fw GROUP BY capture")
 def labelled_captures(spark, sf):
     """Captures of the labelled dataset, with their counts."""

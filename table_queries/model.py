@@ -191,6 +191,19 @@ def ml_vector(spark, sf):
     return v.select(*IDENT, *[scaled.get(i, F.round(F.col("v")[i], 4)).alias(f"f{i}") for i in range(12)])
 
 
+_ELEVEN = ", ".join(f"round(greatest(least(coalesce({c}, -100), 0), -100), 4) AS f{i + 7}" for i, c in enumerate(features.LIKELIHOODS))
+
+
+@query(f"""WITH {_VECTOR} SELECT fl.user_id, fl.flowlet_id, CAST(round(duration * 1e6) AS DOUBLE) AS f0, CAST(packet_count AS DOUBLE) AS f1, CAST(total_bytes AS DOUBLE) AS f2,
+  round(inter_packet_time_mean * 1e6, 3) AS f3, round(inter_packet_time_std, 4) AS f4, round(packet_size_mean, 4) AS f5, round(packet_size_std, 4) AS f6, {_ELEVEN}
+FROM fl LEFT JOIN ll ON fl.user_id = ll.user_id AND fl.flowlet_id = ll.flowlet_id""")
+def provider_vector(spark, sf):
+    """The vector of the provider models: eleven features, without the direction."""
+    v = vectors(spark, sf, with_direction=False).select(*IDENT, vector_to_array("features").alias("v"))
+    scaled = {0: F.round(F.col("v")[0] * 1e6), 3: F.round(F.col("v")[3] * 1e6, 3)}
+    return v.select(*IDENT, *[scaled.get(i, F.round(F.col("v")[i], 4)).alias(f"f{i}") for i in range(11)])
+
+
 @query("""WITH g AS (SELECT DISTINCT 'u' || user_id AS g, user_id FROM events), h AS (
   SELECT user_id, row_number() OVER (ORDER BY CAST('0x' || substr(md5('42:' || g), 1, 13) AS BIGINT), g) AS k, count(*) OVER () AS n FROM g)
 SELECT user_id, k <= ceil(n * 0.2) AS is_test FROM h""")
