@@ -1,9 +1,12 @@
 """Secrets: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 The patterns give the base spans. One model is trained on random strings, the other on ordinary words and identifiers, both first
-order over letters, digits and ``+/_=-``. A run of such characters of 20 or more with a letter and a digit is added if
+order over letters, digits and ``+/_=-``. A run of 20 or more such characters with a letter and a digit is added if
 the mean log-likelihood ratio per character lies above a threshold set between the two kinds of labelled samples, and it
-overlaps no base span.
+overlaps no base span. Of other runs of 12 or more, the pieces between the signs ``+/_=-`` and numbers of five or more digits are
+judged, so that a key at the end of a path or link counts by itself: a piece of 12 or more letters and digits, not digits alone, is
+added if its mean lies ``DEVIATIONS`` standard errors above that of ordinary words. The error shrinks with the length, so a short
+piece needs a higher mean. Pieces in one case, or capitalised, are read in lower case.
 
 The labelled samples: the values of base spans (random) and the other words of six or more letters (ordinary) of at most
 ``SAMPLE_DOCS`` documents that match a base pattern (those with the smallest hash), with the written ``IDENTIFIERS``. Everything else
@@ -23,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import Span, find_spans
+from .spans import Span, find_spans, sampled_texts
 
 KINDS = ("assign", "access", "hex", "random")
 SAMPLE_DOCS = 300
@@ -32,7 +35,10 @@ SAMPLE_WORDS = 20_000
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
+PIECE = re.compile(r"(?:[A-Za-z]|[0-9]{1,4}(?![0-9]))+")
+WHOLE, SHORTEST = 20, 12
+DEVIATIONS = 5.0
 NAMES = ("passw", "secret", "token", "api")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CODE = np.full(128, len(ALPHABET), np.int64)
@@ -61,15 +67,22 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass
 class Ratio:
-    """Log ratio of the two models per character pair, and the threshold."""
+    """Log ratio of the two models per character pair, the threshold of whole runs, and mean and deviation of a pair in ordinary words."""
 
     table: np.ndarray
     threshold: float
+    usual: float = 0.0
+    spread: float = 1.0
 
     def mean(self, text: str) -> float:
         codes = CODE[np.frombuffer(text.encode("ascii"), np.uint8)]
         return float(self.table[codes[:-1], codes[1:]].mean())
 
+    def is_random(self, piece: str) -> bool:
+        """Whether a piece lies far enough above ordinary words of its length."""
+        plain = piece.lower() if piece.isupper() or piece[1:].islower() else piece
+        return self.mean(plain) > self.usual + DEVIATIONS * self.spread / (len(piece) - 1) ** 0.5
+
 
 def transitions(samples: list[str]) -> np.ndarray:
     """Log probability of a character after another; half a count for those not seen."""
@@ -92,6 +105,9 @@ def train(random: list[str], ordinary: list[str]) -> Ratio:
     high = np.quantile([ratio.mean(s) for s in ordinary if len(s) >= 12] or [0.0], 0.999)
     low = np.quantile([ratio.mean(s) for s in random if len(s) >= 12], 0.05)
     ratio.threshold = float(max((high + low) / 2, 0.0))
+    codes = [CODE[np.frombuffer(s.encode("ascii"), np.uint8)] for s in ordinary]
+    pairs = np.concatenate([ratio.table[c[:-1], c[1:]] for c in codes])
+    ratio.usual, ratio.spread = float(pairs.mean()), float(pairs.std())
     return ratio
 
 
@@ -99,33 +115,41 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Labelled strings (random, ordinary) of at most ``SAMPLE_DOCS`` documents with a base match."""
     text = F.col(f"`{text_col}`")
     matched = text.rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}") | text.rlike(r"(?i)(?:passw|secret|token|api_?key)[a-z]*[\"']?\x20*[:=]")
-    rows = docs.select(F.xxhash64(text, F.col(f"`{id_col}`").cast("string")).alias("h"), text.alias("text")).where(matched)
     random: list[str] = []
     ordinary: list[str] = []
-    for r in rows.orderBy("h", "text").limit(SAMPLE_DOCS).select("text").toLocalIterator():
-        spans = base_spans(r["text"])
+    for found in sampled_texts(docs, matched, id_col, text_col, SAMPLE_DOCS):
+        spans = base_spans(found)
         for kind, a, b in spans:
-            value = ASSIGN.match(r["text"][a:b])[1] if kind == "assign" else r["text"][a:b]
+            value = ASSIGN.match(found[a:b])[1] if kind == "assign" else found[a:b]
             random += re.findall("[A-Za-z0-9+/_=-]{6,}", value)[: SAMPLE_WORDS - len(random)]
-        words = re.findall("[A-Za-z_-]{6,}", r["text"])
-        ordinary += [w for w in words if not any(w in r["text"][a:b] for _, a, b in spans)][: SAMPLE_WORDS - len(ordinary)]
+        words = re.findall("[A-Za-z_-]{6,}", found)
+        ordinary += [w for w in words if not any(w in found[a:b] for _, a, b in spans)][: SAMPLE_WORDS - len(ordinary)]
     return random, ordinary
 
 
 def added_spans(text: str, base: list[Span], ratio: Ratio) -> list[Span]:
+    def free(a: int, b: int) -> bool:
+        return all(e <= a or b <= s for _, s, e in base)
+
     out = []
     for m in RUN.finditer(text):
         a, b = m.span()
         run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and all(e <= a or b <= s for _, s, e in base) and ratio.mean(run) > ratio.threshold:
+        digit = any(c.isdigit() for c in run)
+        if b - a >= WHOLE and digit and any(c.isalpha() for c in run) and free(a, b) and ratio.mean(run) > ratio.threshold:
             out.append(("random", a, b))
+            continue
+        for p in PIECE.finditer(run):
+            first, last = a + p.start(), a + p.end()
+            if last - first >= SHORTEST and not p[0].isdigit() and free(first, last) and ratio.is_random(p[0]):
+                out.append(("random", first, last))
     return out
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: tuple[list[str], list[str]] | None = None) -> DataFrame:
     """Per row: id, text, base and added spans. ``labelled`` is (random, ordinary) strings; by default sampled from ``docs``."""
     ratio = train(*(samples(docs, id_col, text_col) if labelled is None else labelled))
-    shared = docs.sparkSession.sparkContext.broadcast((ratio.table, ratio.threshold))
+    shared = docs.sparkSession.sparkContext.broadcast((ratio.table, ratio.threshold, ratio.usual, ratio.spread))
 
     def finder():
         model = Ratio(*shared.value)

@@ -31,6 +31,20 @@ def find_spans(docs: DataFrame, finder: Callable[[], Callable[[list[str]], list[
     return source.mapInArrow(run, out)
 
 
+def sampled_texts(docs: DataFrame, matched: Column, id_col: str, text_col: str, limit: int) -> Iterator[str]:
+    """The texts of at most ``limit`` matched rows, those with the smallest hash of text and id; rows of one hash count once.
+
+    Only hashes are ranked; texts are read in a second pass, for the hashes that were chosen.
+    """
+    text = F.col(f"`{text_col}`")
+    hashed = docs.select(F.xxhash64(text, F.col(f"`{id_col}`").cast("string")).alias("h"), text.alias("text"), matched.alias("matched"))
+    last = hashed.where("matched").select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    if last is None:
+        return iter(())
+    chosen = hashed.where(F.col("h") <= last).where("matched").groupBy("h").agg(F.first("text").alias("text"))
+    return (r["text"] for r in chosen.orderBy("h").limit(limit).toLocalIterator())
+
+
 def in_order(spans: Column, kinds: tuple[str, ...]) -> Column:
     """By start, then kind as listed, then end."""
     place = F.array(*[F.lit(k) for k in kinds])

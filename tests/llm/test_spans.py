@@ -70,6 +70,21 @@ def test_ratio_parts_random_from_ordinary():
     assert not any(ratio.mean(s) > ratio.threshold for s in ("get_user_name_by_id_2", "articles/2023/12/winter-market"))
 
 
+def test_short_keys_letters_and_ends_of_links():
+    words = [w for _, t in edge_rows()[20:30] for w in re.findall("[A-Za-z]{6,}", t)]
+    ordinary = [w for w in "information international government development understanding performance relationship environment communication particularly responsibility".split()] * 20
+    ratio = secret_scan.train(["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"] * 3, words + ordinary)
+    r = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(r.choice(a) for _ in range(n)) for a, n in ((letters + "0123456789", 19), (letters, 24), (letters + "0123456789", 22), (letters[26:], 24), (letters[:26], 26)) for _ in range(20)]
+    told = {k: [f"key {k}.", f"https://host.example.net/user/local/share/documents/{k}", f"session-window-{k}_end"][i % 3] for i, k in enumerate(keys)}
+    found = sum(any(k == t[a:b] or k in t[a:b] for _, a, b in secret_scan.added_spans(t, [], ratio)) for k, t in told.items())
+    assert found >= 95, found
+    for plain in ("INTERNATIONAL DEVELOPMENT RESPONSIBILITY", "internationalization", "Understanding/communication", "123456789012345678", "ISBN9780306406157", "order-2024-05-01-1234567890",
+                  "articles/2024/05/spring-news", "getInformationFromEnvironment", "performance_development_2024"):
+        assert secret_scan.added_spans(plain, secret_scan.base_spans(plain), ratio) == [], plain
+
+
 def test_rows_and_masks(spark):
     rows = [*edge_rows(), (70, "é a.b@c.de 1.2.3.4"), (71, 'token = "24be64439e3e49cf46b2d7c90f3602a3"'), (72, "+1 (523) 555-1055")]
     docs = frame(spark, rows)
