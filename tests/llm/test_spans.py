@@ -63,6 +63,26 @@ def test_field_learns_and_decodes_as_by_all_paths():
     assert tuple(int(x) for x in field.decode(run)[0]) == best and np.isfinite(s).all()
 
 
+def test_field_adds_emails_and_addresses():
+    field = pii.train([])
+    told = {"write to user@localhost today": ["email:user@localhost"], "o'neil.x@mail.example.com,": ["email:o'neil.x@mail.example.com"], "at 10.0.0.1:8080 now": ["ip:10.0.0.1:8080"],
+            "ask anna (at) sample (dot) org please": ["email:anna (at) sample (dot) org"], "net 2001:db8::1f2e:370:7335 up": ["ip:2001:db8::1f2e:370:7335"],
+            "on help[at]sample[dot]net": ["email:help[at]sample[dot]net"], "mailto:k.l@c.example.net": [], "10.0.0.1 and a.b@c.de": [], "come (at) noon": [],
+            "at 10:15:20 or 00:1B:44:11:3A:B8": [], "99.1.2.3:99999": [], "dress (dot) com": [], "": [], "(at)": [], "x (at)": []}
+    texts = list(told)
+    base = [pii.base_spans(t) for t in texts]
+    added = pii.added_spans(texts, base, field)
+    assert {t: [f"{k}:{t[a:b]}" for k, a, b in row] for t, row in zip(texts, added)} == told
+    assert [t[a:b] for t, row in zip(texts, base) for k, a, b in row if k == "ip"] == ["10.0.0.1", "10.0.0.1", "99.1.2.3"]
+
+
+def test_spelt_words_are_linear():
+    began = time.time()
+    for t in ("(at)" * 60_000, "x (at) " * 40_000, "a" * 200_000 + "(at)", "(at " * 60_000, "1(dot)" * 40_000):
+        pii.runs_of(t), pii.features([t])
+    assert time.time() - began < 20
+
+
 def test_ratio_parts_random_from_ordinary():
     words = [w for _, t in edge_rows()[20:30] for w in re.findall("[A-Za-z]{6,}", t)]
     ratio = secret_scan.train(["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"] * 3, words)
