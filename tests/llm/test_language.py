@@ -1,5 +1,7 @@
+import math
 import zlib
 
+import numpy as np
 from helpers import EXTRA
 
 from burstlens.llm import language
@@ -31,3 +33,48 @@ def test_held_out_accuracy_and_edges(spark):
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in language.languages(docs).collect()] == [("und", 0.0)]
+
+
+def plain_counts(text):
+    """The n-gram counts, character by character."""
+    out, word = [0] * language.DIMENSIONS, " "
+    for c in (text or "").lower():
+        word += c if c.isalpha() else " " if word[-1] != " " or len(word) == 1 else ""
+    if not any(c.isalpha() for c in word):
+        return None
+    word = " " + " ".join(word.split()) + " "
+    m = (1 << 32) - 1
+    one = [ord(c) * 2654435761 & m for c in word]
+    two = [(a * 31 + b * 2246822519) & m for a, b in zip(one, one[1:])]
+    three = [(a * 37 + b * 3266489917) & m for a, b in zip(two, one[2:])]
+    for x in one + two + three:
+        out[((x ^ x >> 15) & m) >> 20] += 1
+    return out
+
+
+def test_equals_a_plain_search_of_all_centroids(spark):
+    table = [*rows(), (900, None, "aa"), (901, "Straße, être! 12 über", None), (902, "", "bb"), (903, "ξένος λόγος", None), (904, "zzz qqq xxx", "aa"), (905, "the über être and", None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(3)
+    learned = [(lang, t) for i, t, lang in table if zlib.crc32(str(i).encode()) % 5 and t is not None and lang is not None]
+    seen = [c for c in (plain_counts(t) for _, t in learned) if c]
+    df = [sum(c[k] > 0 for c in seen) for k in range(language.DIMENSIONS)]
+    chosen = language.sample(docs.selectExpr("doc_id id", "text", "lang").where("crc32(cast(id as string)) % 5 <> 0 and text is not null and lang is not null"))
+    assert sorted(chosen) == sorted(learned)
+    idf, centres, names, limits = language.fit(chosen, np.array(df), len(seen))
+    assert np.allclose(idf, [math.log((1 + len(seen)) / (1 + d)) + 1 for d in df], atol=1e-5)
+    got = {r.doc_id: r for r in language.languages(docs).collect()}
+    for i, text, _ in table:
+        n = plain_counts(text)
+        if n is None:
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        v = [math.log1p(x) * w for x, w in zip(n, idf)]
+        size = math.sqrt(sum(x * x for x in v))
+        near = [sum(x * y for x, y in zip(v, c) if x) / size for c in centres]
+        best = max(range(len(near)), key=lambda k: near[k])
+        assert abs(got[i].score - min(1, max(0, near[best]))) < 1e-4, (i, got[i], near)
+        # Centroids as near as float32 can tell may be taken either way.
+        assert got[i].lang_pred in {names[k] for k in range(len(near)) if near[k] > near[best] - 1e-5}
+        if abs(1 - near[best] - limits[best]) > 1e-4 and sum(x > near[best] - 1e-5 for x in near) == 1:
+            assert got[i].rejected == (1 - near[best] > limits[best])
+    assert got[903].rejected and not got[0].rejected
