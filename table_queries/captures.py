@@ -469,7 +469,7 @@ def summary_flows(spark, sf):
 
 @query(_CLOCKED + _GAPS.format(scope="") + " SELECT count(*) AS flows, CAST(sum(flowlets) AS BIGINT) AS events, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(flowlets) AS BIGINT) AS numbers FROM fw")
 def summary_events(spark, sf):
-    """The events of the same summary by file: every burst is one event with its own number."""
+    """The events of the same summary on one timeline: every burst is one event with its own number."""
     tables = summary.capture_summary(spark, f"{written_capture(spark, sf)}/*", glob="*.txt", per_file=False)
     events_ = tables["events"].agg(F.count(F.lit(1)).alias("events"), F.sum("bytes").alias("bytes"), F.countDistinct("id").alias("numbers"))
     return events_.withColumn("flows", F.lit(tables["flows"].count()))
