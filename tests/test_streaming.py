@@ -66,6 +66,19 @@ def test_target_streams_over_batches(spark, monkeypatch):
     same(marked(spark, out), batch_marks(rows))
 
 
+def test_target_streams_over_many_arrow_batches_a_task(spark):
+    """A task reads more rows than one Arrow batch holds: what is held and what comes may differ in nullability."""
+    path, rows = source(spark)
+    out = scratch_path(spark, "out")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        stream = jobs.read_table_stream(spark, path, glob="*.parquet", files_per_batch=2)
+        jobs.finish(targets.mark_target_streams(stream, out, stream="k", order="id", hit=hits()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    same(marked(spark, out), batch_marks(rows))
+
+
 def test_killed_target_streams_go_on(spark, monkeypatch):
     path, rows = source(spark)
     out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
