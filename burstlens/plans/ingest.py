@@ -32,7 +32,7 @@ def flowlets_of(
 
 def flowlets_by_address(
     spark: SparkSession, path: str, *, glob: str = "capture*.txt", gap: float = 0.1, bidirectional: bool = False,
-    carry: bool = True, ranges: bool = False, range_bytes: int = capture_reader.RANGE_BYTES,
+    carry: bool = True, ranges: bool = False, range_bytes: int = capture_reader.RANGE_BYTES, parts: bool = True,
 ) -> DataFrame:
     """Bursts labelled by the address headers of the captures.
 
@@ -40,13 +40,15 @@ def flowlets_by_address(
     run); without it only its own (single-capture run).  Ground truth always
     comes from the file's own header.  With ``ranges`` the captures, in ``path`` and
     below, are read by byte ranges (``capture_reader``): lines are not exchanged and headers cost
-    the leading lines.
+    the leading lines.  With ``parts``, here and below, the part files of a folder
+    are one capture.
     """
     if ranges:
-        packets = captures.parse_pairs(capture_reader.read_pairs(spark, path, glob=glob, recursive=True, range_bytes=range_bytes))
-        headers = captures.header_map(capture_reader.read_header_lines(spark, path, glob=glob, recursive=True))
+        joined = captures.join_parts if parts else lambda rows: rows
+        packets = captures.parse_pairs(joined(capture_reader.read_pairs(spark, path, glob=glob, recursive=True, range_bytes=range_bytes)))
+        headers = captures.header_map(joined(capture_reader.read_header_lines(spark, path, glob=glob, recursive=True)))
     else:
-        lines = captures.read_lines(spark, path, glob=glob)
+        lines = captures.read_lines(spark, path, glob=glob, parts=parts)
         packets, headers = captures.parse_packets(lines), captures.read_headers(lines)
     found = flowlets_of(stage(packets.drop("raw"), "packets"), gap=gap, bidirectional=bidirectional)
     seen = addresses.carry_ip_map(headers, addresses.end_addresses(found)) if carry else headers
@@ -64,10 +66,11 @@ def with_direction(flowlets: DataFrame, **hints) -> DataFrame:
 
 
 def flowlets_by_folder(
-    spark: SparkSession, root: str, *, glob: str = "capture*.txt", gap: float = 0.1, bidirectional: bool = False, **hints
+    spark: SparkSession, root: str, *, glob: str = "capture*.txt", gap: float = 0.1, bidirectional: bool = False,
+    parts: bool = True, **hints,
 ) -> DataFrame:
     """Bursts of the class folders below ``root``, with direction."""
-    lines = captures.read_lines(spark, root, glob=glob, recursive=True)
+    lines = captures.read_lines(spark, root, glob=glob, recursive=True, parts=parts)
     direct = F.regexp_extract("source_file", r"^(.*)/[^/]+/[^/]+$", 1) == root.rstrip("/")
     chosen = captures.with_folder_class(lines.where(direct)).drop("traffic_class")
     found = flowlets_of(stage(captures.parse_packets(chosen).drop("raw"), "packets"), gap=gap, bidirectional=bidirectional)
@@ -75,10 +78,10 @@ def flowlets_by_folder(
 
 
 def labelled_dataset(
-    spark: SparkSession, root: str, *, glob: str = "*.txt", gap: float = 0.1, bidirectional: bool = False
+    spark: SparkSession, root: str, *, glob: str = "*.txt", gap: float = 0.1, bidirectional: bool = False, parts: bool = True
 ) -> dict[str, DataFrame]:
     """captures, flows, flowlets and totals of every file below ``root``."""
-    lines = captures.read_lines(spark, root, glob=glob, recursive=True)
+    lines = captures.read_lines(spark, root, glob=glob, recursive=True, parts=parts)
     found = flowlets_of(stage(captures.parse_packets(lines).drop("raw"), "packets"), gap=gap, bidirectional=bidirectional)
     flowlets = captures.with_path_class(found, root)
     per_flow = flows.flow_summary(flowlets, key=["source_file", *KEY], first="first_at", keep=["traffic_class"])

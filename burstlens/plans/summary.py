@@ -40,15 +40,17 @@ def capture_summary(
     gap: float = 0.1,
     bidirectional: bool = False,
     per_file: bool = True,
+    parts: bool = True,
     base_timestamp: str = "2025-12-01T21:00:00.000Z",
     **hints,
 ) -> dict[str, DataFrame]:
     """flows, flowlets (with query number and role), queries, events.
 
     ``per_file=False`` puts all files on one flow space and one timeline; the
-    ordered scans then cut that timeline into slices.
+    ordered scans then cut that timeline into slices.  With ``parts`` the part
+    files of a folder are one capture.
     """
-    lines = captures.read_lines(spark, path, glob=glob)
+    lines = captures.read_lines(spark, path, glob=glob, parts=parts)
     found = flowlets_of(stage(captures.parse_packets(lines).drop("raw"), "packets"), gap=gap, bidirectional=bidirectional, per_file=per_file)
     directed = with_direction(found, **hints)
     scope = ["source_file"] if per_file else []
@@ -64,10 +66,10 @@ def capture_summary(
     if per_file:
         ordered, order = paired.join(captures.file_ranks(paired), "source_file"), ["_at", "flow_at", "flowlet_id"]
         # One number over the blocks of all files, so that a large file is cut like any other stretch.
-        ends = ordered.groupBy("file_rank").agg((F.max("flow_at.block") + 1).alias("_size"))
-        starts = scan.sliced_scan(ends, [], ["file_rank"], running={"_upto": F.col("_size")}).select(
-            "file_rank", (F.col("_upto") - F.col("_size")).alias("_before"))
-        ordered = ordered.join(starts, "file_rank").withColumn("_at", F.col("_before") + F.col("flow_at.block"))
+        ordered = ordered.withColumn("_block", F.col("flow_at.block"))
+        blocks = ordered.select("file_rank", "_block").distinct()
+        numbered = scan.sliced_scan(blocks, [], ["file_rank", "_block"], running={"_at": F.lit(1).cast("long")})
+        ordered = ordered.join(numbered, ["file_rank", "_block"])
     else:
         ordered, order = paired, ["flow_at", "flowlet_id"]
     return {

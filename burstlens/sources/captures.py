@@ -12,6 +12,8 @@ from burstlens.functions import labels
 from burstlens.operators.scan import TARGET_ROWS, assign_slices, drop_slices, plan_slices, scan
 
 LINE_ORDER = ("block", "row")
+# A part file as Spark names it: the number of its task, and of the file where a task writes several.
+PART = r"/part-(\d+)-[^/]*?c(\d+)\.[^/]*$"
 
 
 def local_path(uri: Column) -> Column:
@@ -24,11 +26,13 @@ def read_lines(
     *,
     glob: str | Sequence[str] = "capture*.txt",
     recursive: bool = False,
+    parts: bool = False,
 ) -> DataFrame:
     """Lines of all matching files: source_file, block, row, value.
 
     (block, row) orders the lines of a file although Spark reads a large file
-    in several splits.  Several globs are read as one union.
+    in several splits.  Several globs are read as one union.  With ``parts`` the
+    part files of a folder are one capture (``join_parts``).
     """
     globs = [glob] if isinstance(glob, str) else list(glob)
     pattern = globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}"
@@ -36,12 +40,24 @@ def read_lines(
     text = reader.text(path if isinstance(path, str) else list(path))
     if not text.inputFiles():
         raise FileNotFoundError(f"no files matched pattern {pattern!r} in {path}")
-    return text.select(
+    lines = text.select(
         local_path(F.col("_metadata.file_path")).alias("source_file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
         F.make_valid_utf8("value").alias("value"),
     )
+    return join_parts(lines) if parts else lines
+
+
+def join_parts(rows: DataFrame, *, file: str = "source_file", block: str = "block") -> DataFrame:
+    """The part files of one folder as one capture, named ``<folder>/part``.
+
+    A large capture is written as consecutive part files; its header stands in the first one, and its flows go on over all. ``block`` is made
+    to grow with the part number (up to 2^19 parts of 2^44 bytes, or 2^10 files of 2^34 bytes a part). Other files stay as they are.
+    """
+    number = lambda i, bits: F.shiftleft(F.regexp_extract(file, PART, i).try_cast("long"), bits)
+    before = F.coalesce(number(1, 44) + number(2, 34), F.lit(0).cast("long"))
+    return rows.withColumns({file: F.regexp_replace(file, PART, "/part"), block: before + F.col(block)})
 
 
 def newest_file(spark: SparkSession, path: str, globs: Sequence[str]) -> DataFrame:

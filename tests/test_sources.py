@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from burstlens.functions import capture_text as ct
 from burstlens.operators import documents, models, store
 from burstlens.plans import ingest, summary, training
 from burstlens.schemas import RECORD_20
@@ -281,3 +282,22 @@ def test_artifacts(spark):
     spark.createDataFrame([('{"parts": ["models"], "models": []}',)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     with pytest.raises(KeyError):
         models.load_artifacts(spark, path)
+
+
+def test_part_files_of_a_folder_are_one_capture(spark, tmp_path):
+    """A flow that goes on in the next part file stays one flow; the header of the first part counts for all."""
+    name = "part-0000{}-9e0f7d7c-1111-2222-3333-444455556666.c000.txt"
+    texts = ["LLM_IP A 8.8.8.8\n\n" + PACKET.format(1, 5000), PACKET.format(1, 5000) + PACKET.format(1, 5001), PACKET.format(1, 5000)]
+    for i, text in enumerate(texts):
+        write(str(tmp_path / "all_v4" / name.format(i)), text)
+    write(str(tmp_path / "all_v4" / "capture_1.txt"), PACKET.format(2, 5000))
+    for ranges in (False, True):
+        root = str(tmp_path) if ranges else str(tmp_path / "all_v4")
+        f = ingest.flowlets_by_address(spark, root, glob="*.txt", carry=False, ranges=ranges).where("source_file like '%/part'").collect()
+        assert sorted((r.packet_count, r.llm_name) for r in f) == [(1, "A"), (3, "A")]
+    d = ingest.labelled_dataset(spark, str(tmp_path))
+    assert sorted((r.flows_count, r.flowlets_count, r.packets) for r in d["captures"].collect()) == [(1, 1, 1), (2, 2, 4)]
+    assert ingest.flowlets_by_folder(spark, str(tmp_path), glob="*.txt").count() == 3
+    t = summary.capture_summary(spark, str(tmp_path / "all_v4"), glob="*.txt")
+    assert t["flows"].count() == 3 and sorted(r.id for r in t["events"].collect()) == ["evt_1", "evt_2", "evt_3"]
+    assert captures.read_lines(spark, str(tmp_path / "all_v4"), glob="part*").select("source_file").distinct().count() == 3
