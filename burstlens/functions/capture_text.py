@@ -35,9 +35,15 @@ def is_clock_line(line: Column) -> Column:
 
 
 def clock_seconds(line: Column) -> Column:
-    """``hh:mm:ss.frac`` at the line start as seconds since midnight (double)."""
+    """``hh:mm:ss.frac`` at the line start as seconds since midnight: the double nearest to the written time.
+
+    Minutes are added to whole seconds, before the fraction: a sum of doubles may be off by a last digit, which moves
+    gaps that equal a threshold.
+    """
+    seconds = F.regexp_extract(line, CLOCK_SECONDS, 1)
     whole = F.substring(line, 1, 2).try_cast("int") * 3600 + F.substring(line, 4, 2).try_cast("int") * 60
-    return whole.cast("double") + F.regexp_extract(line, CLOCK_SECONDS, 1).try_cast("double")
+    whole = whole + F.substring(seconds, 1, 2).try_cast("int")
+    return F.concat(whole.cast("string"), F.lit("."), F.substring_index(seconds, ".", -1)).try_cast("double")
 
 
 def protocol(line: Column, *, by_number: bool = False) -> Column:

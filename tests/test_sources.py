@@ -301,3 +301,12 @@ def test_part_files_of_a_folder_are_one_capture(spark, tmp_path):
     t = summary.capture_summary(spark, str(tmp_path / "all_v4"), glob="*.txt")
     assert t["flows"].count() == 3 and sorted(r.id for r in t["events"].collect()) == ["evt_1", "evt_2", "evt_3"]
     assert captures.read_lines(spark, str(tmp_path / "all_v4"), glob="part*").select("source_file").distinct().count() == 3
+
+
+def test_clock_is_the_nearest_double(spark):
+    rows = spark.range(20_000).select((F.col("id") * 4_319_983 + 40_000_100_000).alias("us"))
+    clock = F.date_format(F.timestamp_micros("us"), "HH:mm:ss.SSSSSS")
+    line = F.concat(clock, F.lit(" IP (x"))
+    seconds = F.col("us") % 86_400_000_000 / 1e6
+    assert rows.where(~F.col("us").isNull() & (ct.clock_seconds(line) != seconds)).count() == 0
+    assert spark.range(1).select(ct.clock_seconds(F.lit("no clock")).alias("t")).first().t is None
