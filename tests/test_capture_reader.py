@@ -105,6 +105,15 @@ def test_equals_the_line_reader_without_exchange(spark, tmp_path):
         assert at == [x["line1"] for x in want.orderBy("source_file", "block", "row").select("raw.line1").collect()]
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    data = (CLOCK % 1 + b"\n" + ADDRESS % 5 + b"\n") * 400
+    store(str(tmp_path / "capture_1.txt"), data)
+    pairs = cr.read_pairs(spark, str(tmp_path), range_bytes=100)
+    assert pairs.rdd.getNumPartitions() == 1 and pairs.count() == 400 and pairs.select("block").distinct().count() > 100
+    few = cr.read_pairs(spark, str(tmp_path), range_bytes=100, task_bytes=len(data) // 4)
+    assert 4 <= few.rdd.getNumPartitions() <= 6 and rows(few) == rows(pairs)
+
+
 def test_files_chosen_by_name(spark, tmp_path):
     for i in range(5):
         store(str(tmp_path / f"capture_{i}.txt"), CLOCK % i + b"\n" + ADDRESS % i)
