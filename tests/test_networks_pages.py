@@ -78,6 +78,19 @@ def test_pages_read_two_parts(spark, monkeypatch):
     assert pages.page(spark, empty).count() == 0 and pages.after(spark, empty, None, order=order).count() == 0
 
 
+def test_folders_of_pages_grow_with_rows(spark, monkeypatch):
+    """Pages of two rows share folders; a page reads one or two of them."""
+    monkeypatch.setattr(pages, "ROWS_A_FOLDER", 40)
+    rows = spark.range(100).select("id", (F.col("id") % 7).alias("k"))
+    path, order = scratch_path(spark, "pages"), ["k", "id"]
+    pages.write_pages(rows, path, order=order, page_rows=2)
+    assert len({f.split("part=")[1].split("/")[0] for f in spark.read.parquet(f"{path}/rows").inputFiles()}) == 3
+    want = [r.id for r in rows.orderBy(*order).collect()]
+    assert [r.id for r in pages.page(spark, path, skip=38, limit=5).orderBy(*order).collect()] == want[38:43]
+    assert [r.id for r in pages.after(spark, path, rows.where(f"id = {want[37]}").first(), order=order, limit=5).collect()] == want[38:43]
+    assert pages.directory(spark, path).count() == 50
+
+
 def enumerated(n1, n0):
     return Counter(sum(c) - n1 * (n1 - 1) // 2 for c in combinations(range(n1 + n0), n1))
 
