@@ -267,3 +267,15 @@ def test_status_and_event_time(spark):
     assert sorted(one(store.current_status(log).select("capture_id", "status"))) == [(1, "completed"), (2, "running")]
     p = spark.createDataFrame([("x/capture_20251217_001115.txt", 1.25)], "source_file string, ts double")
     assert str(captures.with_event_time(p).first()["event_time"]) == "2025-12-17 00:00:01.250000"
+
+
+def test_exact_rank_query_places_equal_times_and_keeps_the_groups_of_its_sql(spark, tmp_path):
+    from table_queries.model import mann_whitney_exact
+
+    at = "2024-01-01 00:00:0"
+    small = [(1, at + "1", 1, "click"), (2, at + "1", 1, "view"), (3, at + "2", 1, "error"), (4, at + "2", 1, "error")]
+    large = [(10 + i, f"2024-01-01 00:01:{i:02d}", 2, "click" if i % 2 else "error") for i in range(17)]
+    rows = spark.createDataFrame(small + large, "event_id long, ts string, user_id long, event_type string")
+    rows.select("event_id", F.to_timestamp_ntz("ts").alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    # all four places are known, so 2 of the 6 orders are as far out; a group of 17 rows has no row in the SQL
+    assert one(mann_whitney_exact(spark, str(tmp_path)).select("user_id", "n1", "n0", "u", "p_value")) == [(1, 2, 2, 0.0, 0.3333333333)]
