@@ -124,21 +124,22 @@ def traffic_events(
 
     ``paired`` needs src_ip, dst_ip, protocol and total_bytes.  ``order`` is
     the global order (a number first); the numbering is a running count over
-    slices of it.
+    slices of it.  Rows are numbered before they are joined, as the scan reads
+    its input several times.
     """
     words = queries.select(*scope, F.col("query_id").alias("_q"), "confidence")
     # Rows without a query are spread over many keys that match nothing.
     spread = F.coalesce("query_id", -1 - F.pmod(F.xxhash64(*order), F.lit(4096)))
-    joined = paired.withColumn("_q", spread).join(words, [*scope, "_q"], "left")
-    numbered = sliced_scan(
-        joined, [], list(order), target_rows=target_rows, running={"_n": F.lit(1).cast("long")}
-    )
-    used = F.col("query_id").isNotNull()
     seconds = F.col("start_ts") if start_seconds is None else start_seconds
+    told = paired.select(
+        *scope, *[c for c in order if c not in scope], "src_ip", "dst_ip", "protocol", "total_bytes", "query_id", seconds.alias("_seconds"))
+    counted = sliced_scan(told, [], list(order), target_rows=target_rows, running={"_n": F.lit(1).cast("long")})
+    numbered = counted.withColumn("_q", spread).join(words, [*scope, "_q"], "left")
+    used = F.col("query_id").isNotNull()
     base = F.to_timestamp(F.lit(base_timestamp))
     return numbered.select(
         F.concat(F.lit("evt_"), F.col("_n").cast("string")).alias("id"),
-        render.iso_time(base, seconds).alias("timestamp"),
+        render.iso_time(base, F.col("_seconds")).alias("timestamp"),
         F.lit("unknown").alias("userId"),
         render.or_unknown(F.col("src_ip")).alias("srcIp"),
         render.or_unknown(F.col("dst_ip")).alias("dstIp"),

@@ -32,7 +32,7 @@ def write_summary(tables: dict[str, DataFrame], path: str, *, scope: tuple[str,
     sinks.write_json(tables["events"], f"{path}/events")
 
 
-def capture_summary(
+def capture_flowlets(
     spark: SparkSession,
     path: str,
     *,
@@ -41,24 +41,42 @@ def capture_summary(
     bidirectional: bool = False,
     per_file: bool = True,
     parts: bool = True,
-    base_timestamp: str = "2025-12-01T21:00:00.000Z",
     **hints,
+) -> DataFrame:
+    """Bursts of the captures with their direction, written once: all that follows reads them several times."""
+    lines = captures.read_lines(spark, path, glob=glob, parts=parts)
+    found = flowlets_of(stage(captures.parse_packets(lines).drop("raw"), "packets"), gap=gap, bidirectional=bidirectional, per_file=per_file)
+    return stage(with_direction(found, **hints), "flowlets")
+
+
+def flow_table(directed: DataFrame, *, per_file: bool = True) -> DataFrame:
+    """The flows of a summary."""
+    key = [*(["source_file"] if per_file else []), *KEY]
+    return flows.flow_summary(directed, key=[*key, "direction"], first="first_at")
+
+
+def capture_summary(
+    spark: SparkSession,
+    path: str,
+    *,
+    per_file: bool = True,
+    base_timestamp: str = "2025-12-01T21:00:00.000Z",
+    **options,
 ) -> dict[str, DataFrame]:
     """flows, flowlets (with query number and role), queries, events.
 
     ``per_file=False`` puts all files on one flow space and one timeline; the
     ordered scans then cut that timeline into slices.  With ``parts`` the part
-    files of a folder are one capture.
+    files of a folder are one capture; ``options`` are those of ``capture_flowlets``.
     """
-    lines = captures.read_lines(spark, path, glob=glob, parts=parts)
-    found = flowlets_of(stage(captures.parse_packets(lines).drop("raw"), "packets"), gap=gap, bidirectional=bidirectional, per_file=per_file)
-    directed = with_direction(found, **hints)
+    directed = capture_flowlets(spark, path, per_file=per_file, **options)
     scope = ["source_file"] if per_file else []
     key = [*scope, *KEY]
     first_seen = directed.groupBy(*key).agg(F.min("first_at").alias("flow_at"))
-    directed = directed.join(first_seen, key)
+    # The scan reads its rows several times to plan slices, so the join is done once.
+    dated = stage(directed.join(first_seen, key), "dated")
     paired = queries.pair_queries(
-        directed, scope=scope, upload=F.col("direction") == UPLOAD, response=F.col("direction") == RESPONSE,
+        dated, scope=scope, upload=F.col("direction") == UPLOAD, response=F.col("direction") == RESPONSE,
         order=["flow_at", "flowlet_id"],
     )
     paired = stage(paired, "paired")
@@ -74,7 +92,7 @@ def capture_summary(
         ordered, order = paired, ["flow_at", "flowlet_id"]
     return {
         "flowlets": paired,
-        "flows": flows.flow_summary(directed, key=[*key, "direction"], first="first_at"),
+        "flows": flow_table(directed, per_file=per_file),
         "queries": found_queries,
         "events": queries.traffic_events(
             ordered, found_queries, scope=scope, order=order, base_timestamp=base_timestamp),

@@ -310,3 +310,14 @@ def test_clock_is_the_nearest_double(spark):
     seconds = F.col("us") % 86_400_000_000 / 1e6
     assert rows.where(~F.col("us").isNull() & (ct.clock_seconds(line) != seconds)).count() == 0
     assert spark.range(1).select(ct.clock_seconds(F.lit("no clock")).alias("t")).first().t is None
+
+
+def test_summary_flows_read_written_bursts(spark, capture):
+    """Flows, pairs and events start from bursts that are written once, not from the packets again."""
+    for per_file in (True, False):
+        tables_ = summary.capture_summary(spark, capture, per_file=per_file)
+        plan = lambda name: tables_[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan("flows") and "Join" not in plan("flows")
+        # the words of a query are joined after the numbering
+        text = plan("events")
+        assert text.index("LeftOuter") < text.index("Window")
