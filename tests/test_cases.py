@@ -279,3 +279,19 @@ def test_exact_rank_query_places_equal_times_and_keeps_the_groups_of_its_sql(spa
     rows.select("event_id", F.to_timestamp_ntz("ts").alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
     # all four places are known, so 2 of the 6 orders are as far out; a group of 17 rows has no row in the SQL
     assert one(mann_whitney_exact(spark, str(tmp_path)).select("user_id", "n1", "n0", "u", "p_value")) == [(1, 2, 2, 0.0, 0.3333333333)]
+
+
+def test_fourier_features_are_the_cosines_of_each_row(spark):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from burstlens.operators.models import FourierFeatures
+
+    rows = spark.range(5, numPartitions=2).select("id", array_to_vector(F.array(F.col("id") * 0.5, F.lit(1.0))).alias("scaled"))
+    made = FourierFeatures(width=2, gamma=0.5, size=3)
+    got = {r[0]: r[1] for r in made.transform(rows).select("id", vector_to_array("fourier")).collect()}
+    rng = np.random.default_rng(42)
+    w, b = rng.normal(0.0, 1.0, (2, 3)), rng.uniform(0.0, 2 * np.pi, 3)
+    for i in range(5):
+        assert got[i] == pytest.approx(list(np.sqrt(2 / 3) * np.cos(np.array([i * 0.5, 1.0]) @ w + b)))
+    assert made.transform(rows.limit(0)).count() == 0
