@@ -76,9 +76,18 @@ def estimators(
     }
 
 
+# Cached partitions per core while models are fitted.
+PARTITIONS_PER_CORE = 2
+
+
 def train(df: DataFrame, models: Mapping[str, Estimator]) -> dict[str, PipelineModel]:
-    """Fit each estimator on the same cached rows."""
-    rows = df.persist()
+    """Fit each estimator on the same cached rows.
+
+    Fitting takes hundreds of short passes, and each task of a pass sends its
+    state to the driver; so partitions are joined, without an exchange, to a few
+    per core, whatever the size of the input.
+    """
+    rows = df.coalesce(PARTITIONS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).persist()
     try:
         return {name: est.fit(rows) for name, est in models.items()}
     finally:

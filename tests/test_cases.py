@@ -281,6 +281,23 @@ def test_exact_rank_query_places_equal_times_and_keeps_the_groups_of_its_sql(spa
     assert one(mann_whitney_exact(spark, str(tmp_path)).select("user_id", "n1", "n0", "u", "p_value")) == [(1, 2, 2, 0.0, 0.3333333333)]
 
 
+def test_training_joins_partitions_to_a_few_per_core(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    from burstlens.operators import features, models
+
+    seen = []
+
+    class Watched(LogisticRegression):
+        def _fit(self, dataset):
+            seen.append(dataset.rdd.getNumPartitions())
+            return super()._fit(dataset)
+
+    rows = spark.range(400, numPartitions=200).select(F.col("id").alias("a"), (F.col("id") % 2).cast("int").alias("label"))
+    models.train(features.assemble(rows, ["a"], keep=["label"]), {"m": Watched(maxIter=1)})
+    assert seen == [models.PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism]
+
+
 def test_fourier_features_are_the_cosines_of_each_row(spark):
     import numpy as np
     from pyspark.ml.functions import array_to_vector, vector_to_array
