@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstlens.operators import evaluate, features, models, stats
+from burstlens.session import settle
 
 
 def correlation_ranking(matrix: DataFrame, *, target: str) -> DataFrame:
@@ -25,8 +26,9 @@ def analyse(
 ) -> dict[str, DataFrame]:
     """All result tables of the report: counts, correlation, tests, rankings."""
     spark = flowlets.sparkSession
-    matrix = stats.correlate(flowlets, names, target=label)
-    tests = stats.class_stats(flowlets, names, label=label)
+    # Tables of a few rows that stand in the report twice.
+    matrix = settle(stats.correlate(flowlets, names, target=label))
+    tests = settle(stats.class_stats(flowlets, names, label=label))
     split = features.group_split(flowlets, group=group)
     vectors = features.assemble(split.where(~F.col("is_test")), list(names), keep=[label])
     fitted = models.train(vectors, estimators)

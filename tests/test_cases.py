@@ -312,3 +312,13 @@ def test_fourier_features_are_the_cosines_of_each_row(spark):
     for i in range(5):
         assert got[i] == pytest.approx(list(np.sqrt(2 / 3) * np.cos(np.array([i * 0.5, 1.0]) @ w + b)))
     assert made.transform(rows.limit(0)).count() == 0
+
+
+def test_the_report_plans_its_statistics_once(spark):
+    from burstlens.operators import models
+    from burstlens.plans import analysis
+
+    rows = spark.range(60).select(F.col("id").cast("double").alias("a"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.col("id").cast("string").alias("g"))
+    report = analysis.analyse(rows, names=["a"], label="label", group="g", estimators={"random_forest": models.estimators(1, trees=2)["random_forest"]})
+    for name in ("correlation", "statistical_tests", "significant_features", "most_correlated"):
+        assert "Range" not in report[name]._jdf.queryExecution().optimizedPlan().toString()
