@@ -7,7 +7,7 @@ matches it; lines stand in order of document id (null first), hash of the text,
 document.
 
 1. Lines with their tokens are written once to the shared folder, and deleted when their postings are known. Lines of the same words are one class, placed where it comes first.
-2. Tokens are ordered by rarity: by how often the corpus holds their hash bucket (all lines counted, ``BUCKETS`` buckets), then by hash. A
+2. Tokens are ordered by rarity: by how often the corpus holds their hash bucket (all lines counted, ``BUCKETS`` buckets in 128 levels), then by hash. A
    class posts its prefix, so many of its rarest tokens that two matching classes must share one.
 3. Each class meets the earliest class of each of its posting lists. Classes that this does not settle then meet every earlier
    class of their lists. Both apply the length bound and the positional bound (what the two can still share from the
@@ -24,6 +24,8 @@ through ``dedup`` whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,19 +65,26 @@ def line_words(line: Column) -> Column:
     return F.when(line.rlike(r"[\t\x0B\x0C\r]"), words_of(line)).otherwise(plain)
 
 
-def tokens(words: Column) -> Column:
-    """48-bit hashes of the distinct runs of ``SHINGLE`` words; null below that."""
-    run = lambda x, i: F.xxhash64(x, *[F.get(words, i + k) for k in range(1, SHINGLE)]).bitwiseAND(F.lit(MASK))
-    return F.when(F.size(words) >= SHINGLE, F.array_distinct(F.slice(F.transform(words, run), F.lit(1), F.size(words) - (SHINGLE - 1))))
+def word_hashes(words: Column) -> Column:
+    """64-bit hashes of the words: each word is hashed once, runs of words are hashed from these."""
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def tokens(hashes: Column) -> Column:
+    """48-bit hashes of the distinct runs of ``SHINGLE`` words, given by their hashes; null below that."""
+    run = lambda x, i: F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, SHINGLE)]).bitwiseAND(F.lit(MASK))
+    return F.when(F.size(hashes) >= SHINGLE, F.array_distinct(F.transform(F.slice(hashes, F.lit(1), F.size(hashes) - (SHINGLE - 1)), run)))
 
 
 def lines(docs: DataFrame, path: str, id_col: str, text_col: str, short: bool) -> DataFrame:
     """(id, h, line, c, n, sh): every line with a token, its class, and the tokens it may share with another class; written to ``path``."""
     one = docs.select(*_document(id_col, text_col)).select("id", "h", F.posexplode(_lines(F.col("t"))).alias("line", "s"))
     least = 1 if short else SHINGLE
-    built = let(line_words(F.lower("s")), lambda w: let(tokens(w), lambda x: F.struct(
+    built = let(word_hashes(F.col("w")), lambda w: let(tokens(w), lambda x: F.struct(
         F.when(F.size(w) >= least, F.xxhash64(w)).alias("c"), F.when(F.size(w) >= least, F.coalesce(F.size(x), F.lit(1))).alias("n"), x.alias("sh"))))
-    return _written(one.select("id", "h", "line", built.alias("b")), path).where("b.n > 0").select("id", "h", "line", "b.c", "b.n", "b.sh")
+    # lower case and words stand in selects of their own, which compile, unlike what a function of array elements holds
+    words = one.withColumn("s", F.lower("s")).select("id", "h", "line", line_words(F.col("s")).alias("w"))
+    return _written(words.select("id", "h", "line", built.alias("b")), path).where("b.n > 0").select("id", "h", "line", "b.c", "b.n", "b.sh")
 
 
 def bucket_counts(held: DataFrame) -> list[int]:
@@ -98,26 +107,27 @@ def prefix_size(n: Column, similarity: int) -> Column:
 def postings(held: DataFrame, counts: list[int], similarity: int) -> DataFrame:
     """(t, c, pos) of the prefixes, for tokens that two classes post; places beyond 32,767 stand as that, a weaker bound.
 
-    A token's bucket is replaced by the bucket's rank by count, so that the tokens' own order is that of rarity.
+    Tokens stand in order of their bucket's level, then of their hash. Levels follow the buckets' order by count, eight to each
+    halving of the rank from the top: they fit in a byte, so that the table stays in a core's cache while every token is looked up.
     """
-    order = sorted(range(BUCKETS), key=lambda k: (counts[k], k))
-    rank = [0] * BUCKETS
-    for place, k in enumerate(order):
-        rank[k] = place
-    ranks, lists = _constant(rank, "bigint"), _constant([counts[k] // SALT for k in order], "bigint")
-    ranked = lambda t: F.shiftleft(F.get(ranks, F.shiftrightunsigned(t, 32).cast("int")), 32).bitwiseOR(t.bitwiseAND(F.lit((1 << 32) - 1)))
+    levels = [0] * BUCKETS
+    for place, k in enumerate(sorted(range(BUCKETS), key=lambda k: (-counts[k], k))):
+        levels[k] = max(0, 127 - int(8 * math.log2(place + 1)))
+    levels, lists = _constant(levels, "tinyint"), _constant([n // SALT for n in counts], "bigint")
+    ranked = lambda t: F.shiftleft(F.get(levels, F.shiftrightunsigned(t, 32)).cast("bigint"), 48).bitwiseOR(t)
     ordered = F.slice(F.sort_array(F.transform("sh", ranked)), F.lit(1), prefix_size(F.col("n"), similarity))
     place = F.least("pos", F.lit((1 << 15) - 1)).cast("long")
     # what is shuffled is two numbers a posting: place (16 bits) and token, and class
-    rows = held.select("c", F.posexplode(ordered).alias("pos", "t")).select(F.shiftleft(place, 48).bitwiseOR(F.col("t")).alias("u"), "c")
+    rows = held.select("c", F.posexplode(ordered).alias("pos", "t")).select(F.shiftleft(place, 48).bitwiseOR(F.col("t").bitwiseAND(F.lit(MASK))).alias("u"), "c")
     token = F.col("u").bitwiseAND(F.lit(MASK))
-    more = F.get(lists, F.shiftrightunsigned(token, 32).cast("int"))
-    # 0, or below 0 the list of a token that has several
-    part = F.when(more > 0, -1 - F.pmod("c", more + 1)).otherwise(0)
-    dealt = rows.repartition(token, part).select(token.alias("t"), part.alias("s"), "c", F.shiftright("u", 48).cast("int").alias("pos"))
-    over = "over (partition by t, s)"
-    # with several lists a token, a list of one class may have partners in another
-    return dealt.selectExpr("t", "c", "pos", f"s < 0 or min(c) {over} <> max(c) {over} as many").where("many").drop("many").distinct()
+    more = F.get(lists, F.shiftrightunsigned(token, 32))
+    # a token's list in the upper bits: 0, or from 1 on for a token that has several
+    part = F.when(more > 0, 1 + F.pmod("c", F.least(more + 1, F.lit((1 << 15) - 2)))).otherwise(0)
+    key = F.shiftleft(part, 48).bitwiseOR(token)
+    dealt = rows.repartition(key).select(key.alias("k"), "c", F.shiftright("u", 48).cast("int").alias("pos"))
+    # with several lists a token, a list of one class may have partners in another; few lists are left, so they are built and the rows probe them
+    many = dealt.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(f"k > {MASK} or lo <> hi").select("k")
+    return dealt.join(many.hint("shuffle_hash"), "k", "left_semi").select(F.col("k").bitwiseAND(F.lit(MASK)).alias("t"), "c", "pos").distinct()
 
 
 def _may_match(similarity: int) -> Column:
@@ -133,7 +143,8 @@ def matches(pairs: DataFrame, first: DataFrame, texts: DataFrame, similarity: in
     wanted = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct().join(first, "c").select("c", "first.*")
     at = hint_if_small(stage(wanted, "wanted"))
     found = texts.join(at, (texts["h"] == at["h"]) & texts["id"].eqNullSafe(at["id"])).select("c", F.get(_lines(F.col("t")), F.col("line")).alias("s"))
-    sets = stage(found.dropDuplicates(["c"]).select("c", let(line_words(F.lower("s")), tokens).alias("sh")), "sets")
+    words = found.dropDuplicates(["c"]).withColumn("s", F.lower("s")).select("c", line_words(F.col("s")).alias("w"))
+    sets = stage(words.select("c", let(word_hashes(F.col("w")), tokens).alias("sh")), "sets")
     both = pairs.join(sets.select(F.col("c").alias("x"), F.col("sh").alias("a")), "x").join(sets.select(F.col("c").alias("y"), F.col("sh").alias("b")), "y")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(100 * shared >= similarity * (F.size("a") + F.size("b") - shared)).select("x").distinct()
@@ -153,19 +164,25 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alone = held.where("sh is not null").join(common, F.col("c") == F.col("cc"), "left").where(F.col("cc").isNull() | (place == F.col("at")))
     posted = _staged(postings(alone.select("c", "n", "sh"), bucket_counts(held), similarity), "postings")
     discard(docs.sparkSession, path)
-    lists = _staged(posted.join(classes.select("c", "first", "n"), "c"), "lists")
+    found = scratch_path(docs.sparkSession, "found")
+    lists = _written(posted.join(classes.select("c", "first", "n"), "c"), found)
 
     texts = docs.select(*_document(id_col, text_col))
     rank = F.struct("first", "c", "n", "pos")
-    pivots = lists.groupBy("t").agg(F.min(rank).alias("y")).select("t", "y.*")
+    pivots = lists.groupBy("t").agg(F.min(rank).alias("y"))
+    followers = _staged(lists.alias("x").join(pivots.alias("y"), "t").where(F.col("x.c") != F.col("y.y.c")).select("x.*", "y.y"), "followers")
+    discard(docs.sparkSession, found)
     pair = F.col("x.c").alias("x"), F.col("y.c").alias("y")
-    near = lists.alias("x").join(pivots.alias("y"), "t").where((F.col("x.c") != F.col("y.c")) & _may_match(similarity)).select(*pair).distinct()
+    near = followers.select(F.struct("c", "n", "pos").alias("x"), "y").where(_may_match(similarity)).select(*pair).distinct()
     settled = stage(matches(near, first, texts, similarity), "settled")
-    open_ = lists.join(settled.withColumnRenamed("x", "c"), "c", "left_anti")
-    rest = open_.alias("x").join(lists.alias("y"), "t").where((F.col("y.first") < F.col("x.first")) & _may_match(similarity)).select(*pair).distinct()
+    # every pair with the earliest class of a list has been judged, so lists of two are done
+    others = followers.drop("y")
+    open_ = others.join(settled.withColumnRenamed("x", "c"), "c", "left_anti")
+    rest = open_.alias("x").join(others.alias("y"), "t").where((F.col("y.first") < F.col("x.first")) & _may_match(similarity)).select(*pair).distinct()
     later = settled.union(matches(rest, first, texts, similarity)).distinct().select(F.col("x").alias("c"), F.lit(True).alias("gone"))
 
-    judged = places.join(first.join(later, "c", "left"), "c")
+    # the only line of a class that matches no other stays, so such classes are left out
+    judged = places.join(classes.join(later, "c", "left").where((F.col("copies") > 1) | F.col("gone")).select("c", "first", "gone"), "c")
     gone = judged.where(F.col("gone") | (place != F.col("first")))
     return stage(gone.groupBy("id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
 

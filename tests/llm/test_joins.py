@@ -1,5 +1,6 @@
 import pytest
 from helpers import components, edge_rows, edited, frame, key, prose, sets, similar
+from pyspark.sql import functions as F
 
 from burstlens.llm import jaccard, line_dedup
 from burstlens.llm.components import components as of_links
@@ -121,6 +122,21 @@ def test_copies_of_short_lines_go(spark, monkeypatch, limits):
     assert not left & {600, 601} and 500 in left
 
 
+def test_pairs_are_judged_once(spark, monkeypatch):
+    judged, real = [], line_dedup.matches
+
+    def record(pairs, *rest):
+        judged.append(sorted(map(tuple, pairs.collect())))
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "matches", record)
+    monkeypatch.setattr(line_dedup, "_may_match", lambda similarity: F.lit(True))
+    shared = " ".join(f"w{i}" for i in range(12))
+    docs = frame(spark, [(1, shared + " one two"), (2, shared + " three four")])
+    assert [list(r.removed) for r in line_dedup.line_counts(docs).collect()] == [[], []]
+    assert len(judged[0]) == 1 and judged[1] == []
+
+
 def test_queries_remove_copies_of_short_lines(spark, tmp_path):
     import corpus_pipeline
     from burstlens.llm.queries import op3_line_dedup
